@@ -5,3 +5,4 @@ import catalog.patterns_and_outliers  # noqa: F401
 import catalog.profiles  # noqa: F401
 import catalog.row_rules  # noqa: F401
 import catalog.scores  # noqa: F401
+import catalog.similar  # noqa: F401
