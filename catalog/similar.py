@@ -34,8 +34,10 @@ CLEAN = f"""CASE WHEN len(list_filter(string_split_regex(v, '\\s+'), lambda t: t
   THEN list_filter(string_split_regex(v, '\\s+'), lambda t: t NOT IN ({IGNORED}) AND length(t) >= 3) ELSE string_split_regex(v, '\\s+') END"""
 TRIGRAMS = "list_distinct(list_transform(range(1, cast(length({s}) - 1 AS bigint)), lambda i: substr({s}, i, 3)))"
 PADDED = TRIGRAMS.format(s="('##' || v || '##')")
-JACCARD = "len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))"
-CONTAIN = "len(list_intersect(x.g, y.g)) / least(len(x.g), len(y.g))"
+# Shared n-grams are counted by joining on them; pairs without a shared one have similarity 0.
+SHARED = """e AS MATERIALIZED (SELECT v, unnest(g) AS t, len(g) AS size FROM q),
+  overlap AS MATERIALIZED (SELECT x.v AS a, y.v AS b, count(*) / (any_value(x.size) + any_value(y.size) - count(*)) AS jaccard,
+    count(*) / least(any_value(x.size), any_value(y.size)) AS containment FROM e x JOIN e y ON x.t = y.t AND x.v < y.v GROUP BY 1, 2)"""
 
 
 def names(d: Data):
@@ -113,9 +115,7 @@ QGRAM_SETS = f"q AS (SELECT v, {TRIGRAMS.format(s='s')} AS g FROM (SELECT v, arr
 
 
 def qgram_sql(threshold: float) -> str:
-    return f"""pairs AS (SELECT x.v AS a, y.v AS b, {JACCARD} * 100 AS similarity FROM q x JOIN q y ON x.v < y.v
-      AND len(x.g) > 0 AND len(y.g) > 0 AND least(len(x.g), len(y.g)) >= greatest(len(x.g), len(y.g)) * {threshold / 100}
-      WHERE {JACCARD} * 100 >= {threshold})"""
+    return f"{SHARED}, pairs AS MATERIALIZED (SELECT a, b, jaccard * 100 AS similarity FROM overlap WHERE jaccard * 100 >= {threshold})"
 
 
 @query(
@@ -128,8 +128,7 @@ def sim_candidate_pairs(d: Data):
     """Pairs of a common block that can reach q-gram similarity 70, from the signature join."""
     base = names(d)
     blocks = val.with_blocks(base)
-    pairs = pl.candidate_pairs(base.select("v"), "qgrams", 70, blocks)
-    return pairs.where(pl.score_of("qgrams", F.col("a"), F.col("b")) >= 70)
+    return pl.scored_pairs(base.select("v"), "qgrams", 70, blocks).select("a", "b")
 
 
 @query(
@@ -153,8 +152,7 @@ PADDED_SETS = f"q AS (SELECT v, {PADDED} AS g FROM nodes)"
 
 @query(
     "sim_trigram_jaccard",
-    f"""WITH {RAWS}, {PADDED_SETS} SELECT x.v AS a, y.v AS b, round({JACCARD}, 4) AS jaccard FROM q x JOIN q y ON x.v < y.v
-    AND least(len(x.g), len(y.g)) >= greatest(len(x.g), len(y.g)) * 0.5 WHERE {JACCARD} >= 0.5""",
+    f"WITH {RAWS}, {PADDED_SETS}, {SHARED} SELECT a, b, round(jaccard, 4) AS jaccard FROM overlap WHERE jaccard >= 0.5",
     VIEW,
 )
 def sim_trigram_jaccard(d: Data):
@@ -163,7 +161,7 @@ def sim_trigram_jaccard(d: Data):
     return found.select("a", "b", F.round("jaccard", 4).alias("jaccard"))
 
 
-CONTAINED = f"""c AS (SELECT x.v AS a, y.v AS b, {CONTAIN} AS containment FROM q x JOIN q y ON x.v < y.v WHERE {CONTAIN} >= 0.65)"""
+CONTAINED = f"{SHARED}, c AS MATERIALIZED (SELECT a, b, containment FROM overlap WHERE containment >= 0.65)"
 
 
 @query(
@@ -193,8 +191,7 @@ def sim_topk_per_block(d: Data):
 
 @query(
     "sim_topk_jaccard",
-    f"""WITH {RAWS}, {PADDED_SETS} SELECT x.v AS a, y.v AS b, round({JACCARD}, 4) AS jaccard FROM q x JOIN q y ON x.v < y.v
-    AND least(len(x.g), len(y.g)) >= greatest(len(x.g), len(y.g)) * 0.4 ORDER BY {JACCARD} DESC, x.v, y.v LIMIT 50""",
+    f"WITH {RAWS}, {PADDED_SETS}, {SHARED} SELECT a, b, round(jaccard, 4) AS jaccard FROM overlap ORDER BY overlap.jaccard DESC, a, b LIMIT 50",
     VIEW,
 )
 def sim_topk_jaccard(d: Data):
@@ -230,8 +227,8 @@ def plain_join(expression: str, threshold: float, extra: str = "") -> str:
       FROM nodes x JOIN nodes y ON x.v < y.v {extra}) WHERE s >= {threshold}"""
 
 
-join_query("jaro", 85, plain_join("jaro_similarity(x.v, y.v) * 100", 85))
-join_query("jaro_winkler", 88, plain_join("jaro_winkler_similarity(x.v, y.v) * 100", 88))
+join_query("jaro", 90, plain_join("jaro_similarity(x.v, y.v) * 100", 90))
+join_query("jaro_winkler", 92, plain_join("jaro_winkler_similarity(x.v, y.v) * 100", 92))
 join_query(
     "levenshtein", 80,
     plain_join("(1 - levenshtein(x.v, y.v) / greatest(length(x.v), length(y.v))) * 100", 80,
@@ -254,12 +251,12 @@ join_query(
     FROM q x JOIN q y ON x.v < y.v) WHERE s >= 90""",
 )
 join_query(
-    "cosine", 70,
+    "cosine", 60,
     f"""WITH {RAWS}, t AS (SELECT v, w, count(*) AS tf FROM (SELECT v, unnest(regexp_extract_all(v, '\\b\\w\\w+\\b')) AS w FROM nodes) GROUP BY 1, 2),
     n AS (SELECT v, sum(tf * tf) AS ss FROM t GROUP BY 1),
     p AS (SELECT x.v AS a, y.v AS b, sum(x.tf * y.tf) AS dot, sum(x.tf * x.tf) AS sa, sum(y.tf * y.tf) AS sb FROM t x JOIN t y ON x.w = y.w AND x.v < y.v GROUP BY 1, 2)
     SELECT a, b, round(s, 4) AS similarity FROM (SELECT a, b, least(dot / (sqrt(sa + pow(1 + ln(1.5), 2) * (na.ss - sa)) * sqrt(sb + pow(1 + ln(1.5), 2) * (nb.ss - sb))), 1) * 100 AS s
-    FROM p JOIN n na ON na.v = a JOIN n nb ON nb.v = b) WHERE s >= 70""",
+    FROM p JOIN n na ON na.v = a JOIN n nb ON nb.v = b) WHERE s >= 60""",
 )
 join_query("smith_waterman", 86)
 join_query("affine_gap", 88)

@@ -53,8 +53,9 @@ def _accent_table() -> tuple[str, str]:
 _ACCENTED, _PLAIN = _accent_table()
 
 
-def text_of(name: str) -> Column:
-    return F.col(name).cast("string")
+def bind(c: Column, f) -> Column:
+    """``f(c)`` with ``c`` computed once per row. A plain reference inside a lambda is computed per element."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def strip(c: Column) -> Column:
@@ -119,20 +120,25 @@ def words(c: Column) -> Column:
 
 def clean_tokens(c: Column, min_length: int = 3) -> Column:
     """Words without legal suffixes, stop-words and short words; all words if nothing is left."""
-    everything = words(F.lower(c))
     ignored = LEGAL_SUFFIXES + NAME_STOPWORDS
-    kept = F.filter(everything, lambda w: ~w.isin(ignored) & (F.char_length(w) >= min_length))
-    return F.when(F.size(kept) > 0, kept).otherwise(everything)
+
+    def kept(every: Column) -> Column:
+        return F.filter(every, lambda w: (F.char_length(w) >= min_length) & ~w.isin(ignored))
+
+    return bind(
+        words(F.lower(c)), lambda every: bind(kept(every), lambda k: F.when(F.size(k) > 0, k).otherwise(every))
+    )
 
 
 def grams(c: Column, size: int = 3) -> Column:
     """Distinct character n-grams of a text (empty array when the text is shorter than n)."""
-    return F.when(
-        F.char_length(c) >= size,
-        F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.char_length(c) - (size - 1)), lambda i: F.substr(c, i, F.lit(size)))
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+
+    def cut(text: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.char_length(text) - (size - 1))
+        pieces = F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))
+        return F.when(F.char_length(text) >= size, pieces).otherwise(F.array().cast("array<string>"))
+
+    return bind(c, cut)
 
 
 def padded_trigrams(c: Column) -> Column:

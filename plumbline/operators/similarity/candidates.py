@@ -11,14 +11,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import kernels
-from plumbline.functions.text import clean_tokens, grams, padded_trigrams, word_soundex, words
+from plumbline.functions.text import bind, clean_tokens, grams, padded_trigrams, word_soundex, words
+from plumbline.session import checkpointed
 
 UNSHARED_IDF = 1.4054651081081644  # fixed value: 1 + ln(3/2), weight of a term in one of two texts
 EPS = 1e-9
 
 
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def settled(values: DataFrame) -> DataFrame:
+    """Hash-partitioned by value. The exchange also keeps costly token arrays from being computed once per use."""
+    return values.repartition(partitions(values), "v")
+
+
 def ranked(values: DataFrame, tokens: Column) -> DataFrame:
     """(v, tokens): the distinct tokens of every value, rarest first (ties by text)."""
+    return settled(_ranked(values, tokens))
+
+
+def _ranked(values: DataFrame, tokens: Column) -> DataFrame:
     long = values.select("v", F.explode(tokens).alias("t"))
     rarity = long.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     return (
@@ -48,9 +62,19 @@ def joined(probe: DataFrame, index: DataFrame, keep: Column | None = None) -> Da
     pairs = p.join(i, "key").where(F.col("p.v") != F.col("i.v"))
     if keep is not None:
         pairs = pairs.where(keep)
-    return pairs.select(
-        F.least("p.v", "i.v").alias("a"), F.greatest("p.v", "i.v").alias("b")
-    ).distinct()
+    return spread(pairs.select(F.least("p.v", "i.v").alias("a"), F.greatest("p.v", "i.v").alias("b")))
+
+
+def spread(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs over all shuffle partitions: pairs are small but costly to score, so they are not coalesced."""
+    return pairs.repartition(partitions(pairs), "a", "b").dropDuplicates(["a", "b"])
+
+
+def reaching(pairs: DataFrame, threshold: float, **measures: Column) -> DataFrame:
+    """Pairs with their measures, kept where the first one reaches the threshold; each measure is computed once."""
+    first = next(iter(measures))
+    row = F.struct("a", "b", *[m.alias(n) for n, m in measures.items()])
+    return pairs.select(F.inline(F.filter(F.array(row), lambda x: x[first] >= threshold)))
 
 
 def set_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -73,9 +97,10 @@ def containment_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    either = F.size(a) + F.size(b) - both
-    return F.when(either > 0, both / either).otherwise(0.0)
+    return bind(
+        F.struct(F.size(F.array_intersect(a, b)).alias("both"), (F.size(a) + F.size(b)).alias("sizes")),
+        lambda s: F.when(s["sizes"] > 0, s["both"] / (s["sizes"] - s["both"])).otherwise(0.0),
+    )
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -97,19 +122,29 @@ def cosine_terms(v: Column) -> Column:
 
 
 def _term_counts(terms: Column) -> Column:
-    return F.map_from_entries(
-        F.transform(
-            F.array_distinct(terms),
-            lambda t: F.struct(t, F.size(F.filter(terms, lambda x: x == t)).cast("double")),
-        )
+    return bind(
+        terms,
+        lambda every: F.map_from_entries(
+            F.transform(
+                F.array_distinct(every),
+                lambda t: F.struct(t, F.size(F.filter(every, lambda x: x == t)).cast("double")),
+            )
+        ),
     )
 
 
 def cosine_score(a: Column, b: Column) -> Column:
     """TF-IDF cosine fitted on the two texts alone: shared terms weigh 1, others 1 + ln 1.5."""
-    ta, tb = _term_counts(cosine_terms(a)), _term_counts(cosine_terms(b))
-    shared = F.array_intersect(F.map_keys(ta), F.map_keys(tb))
+    counts = F.struct(_term_counts(cosine_terms(a)).alias("a"), _term_counts(cosine_terms(b)).alias("b"))
+
+    def with_shared(c: Column) -> Column:
+        shared = F.array_intersect(F.map_keys(c["a"]), F.map_keys(c["b"]))
+        return bind(shared, lambda s: _cosine(c["a"], c["b"], s))
+
+    return bind(counts, with_shared)
 
+
+def _cosine(ta: Column, tb: Column, shared: Column) -> Column:
     def total(items: Column, f) -> Column:
         return F.aggregate(items, F.lit(0.0), lambda acc, t: acc + f(t))
 
@@ -147,40 +182,37 @@ def edit_pairs(values: DataFrame, threshold: float, algorithm: str) -> DataFrame
     The text is probed with its rarest 3-grams; where too many could be damaged, with 2-grams or single letters.
     """
     text = F.substring("v", 1, kernels.AFFINE_LENGTH) if algorithm == "affine_gap" else F.col("v")
-    base = values.select("v", text.alias("x")).withColumn("len", F.char_length("v")).withColumn("m", F.char_length("x"))
+    sizes = (3, 2, 1)
+    base = settled(
+        values.select("v", F.char_length("v").alias("len"), text.alias("x")).select(
+            "v", "len", F.char_length("x").alias("m"), *[grams(F.col("x"), q).alias(f"g{q}") for q in sizes]
+        )
+    )
     if algorithm == "levenshtein":
         edits = _floor(_floor(F.col("len") / threshold) * (1 - threshold))
-        damage = {q: edits * q for q in (3, 2, 1)}
+        damage = {q: edits * q for q in sizes}
         ratio = threshold
     else:
         budget = F.col("m") * 2 * (1 - threshold)
         damage = {3: _floor(budget * 2), 2: _floor(budget), 1: _floor(budget / 2)}
         ratio = kernels.AFFINE_RATIO if algorithm == "affine_gap" else 0.0
-    sized = {q: F.concat(F.lit(f"{q}:"), F.col("g")) for q in damage}
-    long = None
-    for q in damage:
-        part = base.select("v", F.explode(grams(F.col("x"), q)).alias("g")).select("v", sized[q].alias("t"), F.lit(q).alias("q"))
-        long = part if long is None else long.unionByName(part)
-    rarity = long.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    per_size = long.join(rarity, "t").groupBy("v").agg(
-        *[
-            F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("q") == q, F.struct("df", "t")))), lambda s: s["t"]
-            ).alias(f"g{q}")
-            for q in damage
-        ]
+    # Longest n-grams of which more exist than can be damaged; 0 when even single letters are too few.
+    usable = F.coalesce(*[F.when(F.size(f"g{q}") > damage[q], F.lit(q)) for q in sizes], F.lit(0))
+    safe = base.withColumn("q", usable)
+    damaged = F.coalesce(*[F.when(F.col("q") == q, damage[q]) for q in sizes])
+    chosen = F.coalesce(*[F.when(F.col("q") == q, F.col(f"g{q}")) for q in sizes])
+    probing = safe.where(F.col("q") > 0).select("v", "len", damaged.alias("damaged"), F.explode(chosen).alias("t"))
+    rarity = base.select(F.explode(F.concat(*[f"g{q}" for q in sizes])).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    order = F.array_sort(F.collect_list(F.struct("df", "t")))
+    probe = probing.join(rarity, "t").groupBy("v", "len", "damaged").agg(order.alias("o")).select(
+        "v", "len", F.slice("o.t", 1, F.greatest("damaged", F.lit(0)) + 1).alias("keys")
     )
-    full = base.join(per_size, "v")
-    choice = F.array().cast("array<string>")
-    for q in (1, 2, 3):  # the last condition that holds wins: longest usable n-grams
-        enough = F.size(f"g{q}") > damage[q]
-        choice = F.when(enough, F.slice(f"g{q}", 1, F.greatest(damage[q], F.lit(0)) + 1)).otherwise(choice)
-    # A text with so few distinct letters that no n-gram is safe meets every longer text.
-    anything = F.array(F.lit("*"))
-    probe = full.select("v", "len", F.when(F.size(choice) > 0, choice).otherwise(anything).alias("keys"))
-    unsafe = probe.where(F.col("keys") == anything).limit(1).count() > 0
-    everything = F.concat("g3", "g2", "g1", anything) if unsafe else F.concat("g3", "g2", "g1")
-    index = full.select("v", "len", everything.alias("keys"))
+    index = base.select("v", "len", F.concat(*[f"g{q}" for q in sizes]).alias("keys"))
+    if safe.where(F.col("q") == 0).limit(1).count() > 0:
+        # Texts with so few distinct letters that no n-gram is safe meet every longer text.
+        anything = F.array(F.lit("*"))
+        probe = probe.unionByName(safe.where(F.col("q") == 0).select("v", "len", anything.alias("keys")))
+        index = index.unionByName(base.select("v", "len", anything.alias("keys")))
     keep = (F.col("p.len") <= F.col("i.len")) & (F.col("p.len") >= F.col("i.len") * ratio - EPS)
     return joined(probe, index, keep)
 
@@ -192,21 +224,25 @@ def jaro_floor(threshold: float, winkler: bool) -> float:
 
 def letters(v: Column) -> Column:
     """Letters numbered by occurrence, so that a set overlap counts repeated letters."""
-    single = F.filter(F.split(v, ""), lambda c: c != "")
-    return F.transform(
-        single,
-        lambda c, i: F.concat(c, F.size(F.filter(F.slice(single, 1, i + 1), lambda x: x == c)).cast("string")),
+    return bind(
+        F.filter(F.split(v, ""), lambda c: c != ""),
+        lambda single: F.transform(
+            single,
+            lambda c, i: F.concat(c, F.size(F.filter(F.slice(single, 1, i + 1), lambda x: x == c)).cast("string")),
+        ),
     )
 
 
 def _couples(tokens: Column) -> Column:
     """Hashes of all unordered token couples of a short array."""
-    ordered = F.array_sort(tokens)
-    return F.flatten(
-        F.transform(
-            ordered,
-            lambda x, i: F.transform(F.slice(ordered, i + 2, F.size(ordered)), lambda y: F.xxhash64(x, y)),
-        )
+    return bind(
+        F.array_sort(tokens),
+        lambda ordered: F.flatten(
+            F.transform(
+                ordered,
+                lambda x, i: F.transform(F.slice(ordered, i + 2, F.size(ordered)), lambda y: F.xxhash64(x, y)),
+            )
+        ),
     )
 
 
@@ -226,10 +262,12 @@ def jaro_pairs(values: DataFrame, threshold: float, winkler: bool, blocks: DataF
     def keys(shared: Column, single: Column) -> Column:
         couples = _couples(F.slice(tokens, 1, F.greatest(n - shared + 2, F.lit(0))))
         alone = F.when(single, F.transform(tokens, lambda t: F.xxhash64(t))).otherwise(F.array().cast("array<bigint>"))
-        both = F.concat(couples, alone)
         if blocks is None:
-            return both
-        return F.flatten(F.transform(F.col("blocks"), lambda b: F.transform(both, lambda k: F.xxhash64(b, k))))
+            return F.concat(couples, alone)
+        return bind(
+            F.concat(couples, alone),
+            lambda every: F.flatten(F.transform(F.col("blocks"), lambda b: F.transform(every, lambda k: F.xxhash64(b, k)))),
+        )
 
     # A single letter cannot share two: it meets the texts short enough to reach the threshold with it.
     probe = sets.select("v", "len", keys(short, n == 1).alias("keys"))
@@ -241,11 +279,13 @@ def jaro_pairs(values: DataFrame, threshold: float, winkler: bool, blocks: DataF
 def monge_elkan_pairs(values: DataFrame, threshold: float, near: float = 0.8) -> DataFrame:
     """A value's rarest words must have a near word in the other value; near words come from the vocabulary."""
     near = min(near, threshold - 0.05)
-    tokens = values.select("v", clean_tokens(F.col("v")).alias("tokens")).where(F.size("tokens") > 0)
+    tokens = settled(values.select("v", clean_tokens(F.col("v")).alias("tokens"))).where(F.size("tokens") > 0)
     long = tokens.select("v", F.size("tokens").alias("n"), F.explode(F.array_distinct("tokens")).alias("t"))
     vocabulary = long.select(F.col("t").alias("v")).distinct()
-    close = jaro_pairs(vocabulary, near, winkler=True).where(
-        kernels.jaro_winkler(F.col("a"), F.col("b")) >= near * 100 - 1e-6
+    possible = jaro_pairs(settled(vocabulary), near, winkler=True)
+    # Used three times below and costly: computed once, in the shared checkpoint folder.
+    close = checkpointed(
+        reaching(possible, near * 100 - 1e-6, s=kernels.jaro_winkler(F.col("a"), F.col("b"))).select("a", "b")
     )
     neighbours = (
         close.select(F.col("a").alias("t"), F.col("b").alias("w"))
@@ -259,7 +299,7 @@ def monge_elkan_pairs(values: DataFrame, threshold: float, near: float = 0.8) ->
     probes = long.join(reach, "t").groupBy("v").agg(F.slice(order, 1, below + 1).alias("rare"))
     probe = probes.select("v", F.explode("rare.t").alias("t")).join(neighbours, "t").select("v", F.col("w").alias("key")).distinct()
     pairs = probe.join(long.select(F.col("v").alias("other"), F.col("t").alias("key")), "key").where(F.col("v") != F.col("other"))
-    return pairs.select(F.least("v", "other").alias("a"), F.greatest("v", "other").alias("b")).distinct()
+    return spread(pairs.select(F.least("v", "other").alias("a"), F.greatest("v", "other").alias("b")))
 
 
 def trigram_sets(values: DataFrame) -> DataFrame:
@@ -271,5 +311,6 @@ def trigram_pairs(values: DataFrame, threshold: float, measure: str = "jaccard")
     sets = trigram_sets(values)
     pairs = set_pairs(sets, threshold) if measure == "jaccard" else containment_pairs(sets, threshold)
     ta, tb = padded_trigrams(F.col("a")), padded_trigrams(F.col("b"))
-    scored = pairs.select("a", "b", jaccard(ta, tb).alias("jaccard"), containment(ta, tb).alias("containment"))
-    return scored.where(F.col(measure) >= threshold - EPS)
+    both = {"jaccard": jaccard(ta, tb), "containment": containment(ta, tb)}
+    ordered = {measure: both[measure], **both}
+    return reaching(pairs, threshold - EPS, **ordered).select("a", "b", "jaccard", "containment")

@@ -55,6 +55,7 @@ def score_of(algorithm: str, a: Column, b: Column) -> Column:
 def candidate_pairs(values: DataFrame, algorithm: str, threshold: float, blocks: DataFrame | None = None) -> DataFrame:
     """(a, b): every pair that can reach the threshold; with ``blocks`` only pairs that share a block."""
     t = threshold / 100
+    values = cand.settled(values.select("v"))
     if algorithm in ("jaro", "jaro_winkler"):
         return cand.jaro_pairs(values, t, algorithm == "jaro_winkler", blocks)
     if algorithm == "qgrams":
@@ -84,9 +85,7 @@ def scored_pairs(
 ) -> DataFrame:
     """(a, b, similarity) of all different normal forms at or above the threshold."""
     pairs = candidate_pairs(values, algorithm, threshold, blocks)
-    return pairs.withColumn("similarity", score_of(algorithm, F.col("a"), F.col("b"))).where(
-        F.col("similarity") >= threshold
-    )
+    return cand.reaching(pairs, threshold, similarity=score_of(algorithm, F.col("a"), F.col("b")))
 
 
 class NearDuplicates:
@@ -312,7 +311,7 @@ EPS_FLOOR = 1e-6
 
 def best_pairs_per_block(values: DataFrame, members: DataFrame, k: int, min_containment: float) -> DataFrame:
     """Best k pairs of every block among those with enough containment, ties by text."""
-    pairs = cand.trigram_pairs(values, min_containment, "containment").select("a", "b", "containment")
+    pairs = cand.trigram_pairs(cand.settled(values.select("v")), min_containment, "containment").select("a", "b", "containment")
     left = members.select(F.col("v").alias("a"), "block")
     right = members.select(F.col("v").alias("b"), "block")
     shared = pairs.join(left, "a").join(right, ["b", "block"])
