@@ -6,3 +6,4 @@ import catalog.profiles  # noqa: F401
 import catalog.row_rules  # noqa: F401
 import catalog.scores  # noqa: F401
 import catalog.similar  # noqa: F401
+import catalog.suggested  # noqa: F401

@@ -272,17 +272,17 @@ def run_of(d: Data, blocking: bool = False, **params):
 @query(
     "sim_threshold",
     f"""WITH {RUN_SQL} SELECT a, b, round(similarity, 4) AS similarity FROM pairs
-    UNION ALL SELECT x.raw, y.raw, 100.0 FROM raws x JOIN raws y ON x.v = y.v AND x.raw < y.raw WHERE x.v <> ''""",
+    UNION ALL SELECT m, raw, 100.0 FROM (SELECT raw, v, min(raw) OVER (PARTITION BY v) AS m FROM raws WHERE v <> '') WHERE raw <> m""",
     VIEW,
 )
 def sim_threshold(d: Data):
-    """Pairs at or above the threshold; spellings of one normal form count as 100 (listed by neighbouring spelling)."""
+    """Pairs at or above the threshold; spellings of one normal form count as 100 (each listed with the smallest)."""
     run = run_of(d)
-    spelled = run.raws.where(F.col("v") != "").groupBy("v").agg(F.array_sort(F.collect_set("raw")).alias("r")).where(F.size("r") > 1)
-    chain = spelled.select(
-        F.explode(F.arrays_zip(F.slice("r", 1, F.size("r") - 1).alias("x"), F.slice("r", 2, F.size("r")).alias("y"))).alias("z")
-    ).select(F.col("z")["x"].alias("a"), F.col("z")["y"].alias("b"), F.lit(100.0).alias("similarity"))
-    return run.pairs.withColumn("similarity", F.round("similarity", 4)).unionByName(chain)
+    raws = run.raws.where(F.col("v") != "").select("raw", "v")
+    first = raws.groupBy("v").agg(F.min("raw").alias("a"))
+    spelled = raws.join(first, "v").where(F.col("raw") != F.col("a"))
+    spelled = spelled.select("a", F.col("raw").alias("b"), F.lit(100.0).alias("similarity"))
+    return run.pairs.withColumn("similarity", F.round("similarity", 4)).unionByName(spelled)
 
 
 LINKS = """record_pairs AS (SELECT p.a AS v, x.n * y.n AS links FROM pairs p JOIN nodes x ON x.v = p.a JOIN nodes y ON y.v = p.b
