@@ -100,9 +100,13 @@ SELECT p_partkey * 4 + 2 AS id, p_partkey AS entity,
 FROM part WHERE p_brand IN ('Brand#3', 'Brand#4')
 """
 
-DOCS_D = """
-SELECT doc_id AS id, text, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE lang END AS lang, source, n_chars
-FROM documents
+# A run log derived from orders: one run per order.
+RUNS = """
+SELECT o_orderkey AS run_id, o_custkey % 7 AS owner, o_orderdate AS run_at, o_orderpriority AS purpose,
+  concat('file_', cast(o_custkey % 50 AS string), '.csv') AS file_name,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('Monthly check ', o_orderstatus) END AS description,
+  CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE cast(o_orderkey % 101 AS double) END AS score, o_custkey * 10 AS n_rows
+FROM orders
 """
 
 # view name -> (tables or views it reads, SQL text)
@@ -111,5 +115,5 @@ DIRT = {
     "orders_d": (("orders",), ORDERS_D),
     "parts_d": (("part",), PARTS_D),
     "companies": (("part",), COMPANIES),
-    "docs_d": (("documents",), DOCS_D),
+    "runs": (("orders",), RUNS),
 }

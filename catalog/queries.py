@@ -1,5 +1,7 @@
 """Imports every group of queries so that they register themselves."""
 
+import catalog.corrections  # noqa: F401
+import catalog.evaluation  # noqa: F401
 import catalog.files  # noqa: F401
 import catalog.patterns_and_outliers  # noqa: F401
 import catalog.profiles  # noqa: F401

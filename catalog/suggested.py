@@ -49,7 +49,7 @@ CONTEXT = f"""{VOTES}, kinds AS (SELECT d.col, CASE WHEN format = 'date' THEN 'd
     (SELECT col, v, n, row_number() OVER (PARTITION BY col ORDER BY n DESC, v) AS r FROM counts WHERE v IS NOT NULL) WHERE r <= 10 GROUP BY 1),
   ctx AS (SELECT b.*, CASE WHEN k.kind IS NULL THEN 'numeric' ELSE k.kind END AS kind,
     CASE WHEN kind = 'text' THEN blank_pct ELSE 0.0 END AS blank_pct, CASE WHEN kind = 'text' THEN length_min END AS length_min,
-    CASE WHEN kind = 'text' THEN length_max END AS length_max, kind = 'text' AND mixed_case AS mixed_case,
+    CASE WHEN kind = 'text' THEN length_max END AS length_max, coalesce(kind = 'text' AND mixed_case, false) AS mixed_case,
     CASE WHEN kind = 'text' THEN format ELSE '' END AS format, coalesce(kind = 'categorical', false) AS is_catalogue,
     CASE WHEN kind = 'categorical' THEN t.top_values END AS top_values, kind = 'categorical' AND biggest / n_rows >= 0.95 AS imbalanced,
     CASE WHEN kind = 'categorical' THEN coalesce(n_variants, 0) ELSE 0 END AS n_variants, kind = 'categorical' AND coalesce(abbreviations, false) AS abbreviations,

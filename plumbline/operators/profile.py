@@ -150,7 +150,7 @@ def distinct_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("column").agg(F.count_if(F.col("value").isNotNull()).alias("n_distinct"))
 
 
-def routes(df: DataFrame) -> DataFrame:
+def routes(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Profile kind of every column: numeric, date, categorical or text."""
     texts = string_columns(df)
     fixed = [
@@ -161,7 +161,7 @@ def routes(df: DataFrame) -> DataFrame:
     out = df.sparkSession.createDataFrame(fixed, "column string, kind string")
     if not texts:
         return out
-    counts = cell_counts(df, texts)
+    counts = cell_counts(df, texts) if counts is None else counts
     voted = format_votes(df, texts, counts).join(distinct_counts(counts), "column", "right")
     kind = F.when(F.col("format") == "date", "date").when(F.col("n_distinct") <= CATALOGUE, "categorical").otherwise("text")
     return out.unionByName(voted.select("column", kind.alias("kind")))

@@ -11,6 +11,7 @@ from plumbline.functions.dates import moment
 from plumbline.functions.text import strip, words
 from plumbline.operators import profile as pf
 from plumbline.operators.rules import Rule
+from plumbline.session import checkpointed
 
 # Patterns proposed for a detected format.
 PATTERNS = {
@@ -66,9 +67,12 @@ def context(df: DataFrame, as_of: str | None = None, quantiles: str = "exact") -
     """One row per column: basic facts merged with the profile of its kind, gaps filled with defaults."""
     texts = pf.string_columns(df)
     numbers = pf.numeric_columns(df)
-    counts = pf.cell_counts(df, texts)
-    kinds = pf.routes(df)
-    info = pf.column_info(df, quantiles).join(pf.distinct_counts(pf.cell_counts(df, df.columns)), "column", "left")
+    simple = [n for n, t in df.dtypes if not t.startswith(("array", "map", "struct", "binary"))]
+    # Every text metric below starts from the value counts: they are computed once, in the shared checkpoint folder.
+    every = checkpointed(pf.cell_counts(df, simple))
+    counts = every.where(F.col("column").isin(texts))
+    kinds = checkpointed(pf.routes(df, counts))
+    info = pf.column_info(df, quantiles).join(pf.distinct_counts(every), "column", "left")
     out = info.join(kinds, "column", "left").withColumn("pct_null", F.col("n_nulls") / F.greatest("n_rows", F.lit(1)) * 100)
     if numbers:
         shape = pf.numeric_profile(df, numbers, quantiles).select("column", "negative_pct", "skew_label")
