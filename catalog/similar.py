@@ -213,12 +213,13 @@ def sim_global_cap(d: Data):
     return pl.cap_report(cand.trigram_pairs(names(d), 0.65, "containment"), 300)
 
 
-def join_query(algorithm: str, threshold: float, oracle: str | None = None):
-    """Register all pairs of one algorithm above a threshold."""
+def join_query(algorithm: str, threshold: float, oracle: str | None = None, blocked: bool = False):
+    """Register all pairs of one algorithm above a threshold, of a common block where ``blocked``."""
 
     @query(f"sim_join_{algorithm}", oracle, VIEW if oracle else ())
     def run(d: Data):
-        found = pl.scored_pairs(names(d).select("v"), algorithm, threshold)
+        base = names(d)
+        found = pl.scored_pairs(base.select("v"), algorithm, threshold, val.with_blocks(base) if blocked else None)
         return found.select("a", "b", F.round("similarity", 4).alias("similarity"))
 
 
@@ -227,8 +228,13 @@ def plain_join(expression: str, threshold: float, extra: str = "") -> str:
       FROM nodes x JOIN nodes y ON x.v < y.v {extra}) WHERE s >= {threshold}"""
 
 
-join_query("jaro", 90, plain_join("jaro_similarity(x.v, y.v) * 100", 90))
-join_query("jaro_winkler", 92, plain_join("jaro_winkler_similarity(x.v, y.v) * 100", 92))
+def blocked_join(expression: str, threshold: float) -> str:
+    return f"""WITH {RAWS}, {BLOCKS}, near AS (SELECT DISTINCT m.v AS a, o.v AS b FROM members m JOIN members o ON m.block = o.block AND m.v < o.v)
+      SELECT a, b, round(s, 4) AS similarity FROM (SELECT a, b, {expression} AS s FROM near) WHERE s >= {threshold}"""
+
+
+join_query("jaro", 85, blocked_join("jaro_similarity(a, b) * 100", 85), blocked=True)
+join_query("jaro_winkler", 88, blocked_join("jaro_winkler_similarity(a, b) * 100", 88), blocked=True)
 join_query(
     "levenshtein", 80,
     plain_join("(1 - levenshtein(x.v, y.v) / greatest(length(x.v), length(y.v))) * 100", 80,

@@ -78,12 +78,16 @@ def reaching(pairs: DataFrame, threshold: float, **measures: Column) -> DataFram
 
 
 def set_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose overlap may reach ``threshold`` of the larger set (also holds for Jaccard)."""
-    keyed = sets.select(
-        "v",
-        F.size("tokens").alias("size"),
-        prefix(F.col("tokens"), _ceil(F.size("tokens") * threshold)).alias("keys"),
-    )
+    """Pairs whose overlap may reach ``threshold`` of the larger set (also holds for Jaccard).
+
+    Two shared tokens are required, so values meet on couples of rare tokens; a single token is a key only
+    where one shared token can be enough.
+    """
+    size = F.size("tokens")
+    required = F.greatest(_ceil(size * threshold), F.lit(1))
+    couples = _couples(F.slice("tokens", 1, F.greatest(size - F.greatest(required, F.lit(2)) + 2, F.lit(0))))
+    single = F.when(required == 1, F.transform("tokens", lambda t: F.xxhash64(t))).otherwise(F.array().cast("array<bigint>"))
+    keyed = sets.select("v", size.alias("size"), F.concat(couples, single).alias("keys"))
     near = F.least("p.size", "i.size") >= F.greatest("p.size", "i.size") * threshold - EPS
     return joined(keyed, keyed, (F.col("p.v") < F.col("i.v")) & near)
 
