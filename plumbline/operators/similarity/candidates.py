@@ -16,6 +16,7 @@ from plumbline.session import checkpointed
 
 UNSHARED_IDF = 1.4054651081081644  # fixed value: 1 + ln(3/2), weight of a term in one of two texts
 EPS = 1e-9
+SHARED_KEYS = 3  # rare keys a pair must share where that many can be shown to survive
 
 
 def partitions(df: DataFrame) -> int:
@@ -50,21 +51,26 @@ def _floor(c: Column) -> Column:
     return F.floor(c + EPS).cast("int")
 
 
-def prefix(tokens: Column, required: Column) -> Column:
-    """Rarest tokens of which one must be shared when at least ``required`` tokens are."""
-    return F.slice(tokens, 1, F.greatest(F.size(tokens) - required + 1, F.lit(0)))
-
-
 def joined(probe: DataFrame, index: DataFrame, keep: Column | None = None) -> DataFrame:
     """Distinct (a, b), a < b, of values that share a key. Inputs: (v, keys, ...) tables; ``keep`` sees p and i columns."""
-    p = probe.select(F.struct(*probe.columns).alias("p"), F.explode("keys").alias("key"))
-    i = index.select(F.struct(*index.columns).alias("i"), F.explode("keys").alias("key"))
+    p = probe.select(F.struct(*[c for c in probe.columns if c != "keys"]).alias("p"), F.explode("keys").alias("key"))
+    i = index.select(F.struct(*[c for c in index.columns if c != "keys"]).alias("i"), F.explode("keys").alias("key"))
     pairs = p.join(i, "key").where(F.col("p.v") != F.col("i.v"))
     if keep is not None:
         pairs = pairs.where(keep)
     return spread(pairs.select(F.least("p.v", "i.v").alias("a"), F.greatest("p.v", "i.v").alias("b")))
 
 
+def joined_counting(probe: DataFrame, index: DataFrame, keep: Column) -> DataFrame:
+    """Distinct (a, b) where a probe (v, keys, need, ...) shares at least ``need`` keys with an index value."""
+    p = probe.select(F.struct(*[c for c in probe.columns if c != "keys"]).alias("p"), F.explode("keys").alias("key"))
+    i = index.select(F.struct(*[c for c in index.columns if c != "keys"]).alias("i"), F.explode("keys").alias("key"))
+    met = p.join(i, "key").where((F.col("p.v") != F.col("i.v")) & keep)
+    counted = met.groupBy(F.col("p.v").alias("x"), F.col("i.v").alias("y"), F.col("p.need").alias("need")).agg(F.count(F.lit(1)).alias("n"))
+    enough = counted.where(F.col("n") >= F.col("need"))
+    return spread(enough.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def spread(pairs: DataFrame) -> DataFrame:
     """Distinct pairs over all shuffle partitions: pairs are small but costly to score, so they are not coalesced."""
     return pairs.repartition(partitions(pairs), "a", "b").dropDuplicates(["a", "b"])
@@ -94,10 +100,14 @@ def set_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
 def containment_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose overlap may reach ``threshold`` of the smaller set."""
-    size = F.size("tokens").alias("size")
-    probe = sets.select("v", size, prefix(F.col("tokens"), F.greatest(_ceil(F.size("tokens") * threshold), F.lit(1))).alias("keys"))
-    index = sets.select("v", size, F.col("tokens").alias("keys"))
-    return joined(probe, index, F.col("p.size") <= F.col("i.size"))
+    size = F.size("tokens")
+    required = F.greatest(_ceil(size * threshold), F.lit(1))
+    need = F.least(required, F.lit(SHARED_KEYS))
+    probe = sets.select(
+        "v", size.alias("size"), need.alias("need"), F.slice("tokens", 1, F.greatest(size - required + need, F.lit(0))).alias("keys")
+    )
+    index = sets.select("v", size.alias("size"), F.col("tokens").alias("keys"))
+    return joined_counting(probe, index, F.col("p.size") <= F.col("i.size"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -183,10 +193,10 @@ def cosine_pairs(values: DataFrame, threshold: float) -> DataFrame:
 def edit_pairs(values: DataFrame, threshold: float, algorithm: str) -> DataFrame:
     """Alignments and edit distance: few n-grams of the shorter text can be damaged, so a rare intact one is shared.
 
-    The text is probed with its rarest 3-grams; where too many could be damaged, with 2-grams or single letters.
+    The text is probed with its rarest 4-grams; where too many could be damaged, with shorter ones.
     """
     text = F.substring("v", 1, kernels.AFFINE_LENGTH) if algorithm == "affine_gap" else F.col("v")
-    sizes = (3, 2, 1)
+    sizes = (4, 3, 2, 1)
     base = settled(
         values.select("v", F.char_length("v").alias("len"), text.alias("x")).select(
             "v", "len", F.char_length("x").alias("m"), *[grams(F.col("x"), q).alias(f"g{q}") for q in sizes]
@@ -198,27 +208,31 @@ def edit_pairs(values: DataFrame, threshold: float, algorithm: str) -> DataFrame
         ratio = threshold
     else:
         budget = F.col("m") * 2 * (1 - threshold)
-        damage = {3: _floor(budget * 2), 2: _floor(budget), 1: _floor(budget / 2)}
+        damage = {q: _floor(budget * (q - 1)) if q > 1 else _floor(budget / 2) for q in sizes}
         ratio = kernels.AFFINE_RATIO if algorithm == "affine_gap" else 0.0
-    # Longest n-grams of which more exist than can be damaged; 0 when even single letters are too few.
-    usable = F.coalesce(*[F.when(F.size(f"g{q}") > damage[q], F.lit(q)) for q in sizes], F.lit(0))
+    # Longest n-grams of which the rarest two thirds are enough, else the longest of which more exist than can be
+    # damaged; 0 when even single letters are too few.
+    few = [F.when(F.size(f"g{q}") * 0.67 >= damage[q] + SHARED_KEYS, F.lit(q)) for q in sizes if q > 2]
+    usable = F.coalesce(*few, *[F.when(F.size(f"g{q}") > damage[q], F.lit(q)) for q in sizes], F.lit(0))
     safe = base.withColumn("q", usable)
     damaged = F.coalesce(*[F.when(F.col("q") == q, damage[q]) for q in sizes])
     chosen = F.coalesce(*[F.when(F.col("q") == q, F.col(f"g{q}")) for q in sizes])
     probing = safe.where(F.col("q") > 0).select("v", "len", damaged.alias("damaged"), F.explode(chosen).alias("t"))
     rarity = base.select(F.explode(F.concat(*[f"g{q}" for q in sizes])).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     order = F.array_sort(F.collect_list(F.struct("df", "t")))
+    # Of any ``damaged + need`` grams at least ``need`` stay intact and are shared.
+    need = F.least(F.size("o") - F.col("damaged"), F.lit(SHARED_KEYS))
     probe = probing.join(rarity, "t").groupBy("v", "len", "damaged").agg(order.alias("o")).select(
-        "v", "len", F.slice("o.t", 1, F.greatest("damaged", F.lit(0)) + 1).alias("keys")
+        "v", "len", need.alias("need"), F.slice("o.t", 1, F.col("damaged") + need).alias("keys")
     )
     index = base.select("v", "len", F.concat(*[f"g{q}" for q in sizes]).alias("keys"))
     if safe.where(F.col("q") == 0).limit(1).count() > 0:
         # Texts with so few distinct letters that no n-gram is safe meet every longer text.
         anything = F.array(F.lit("*"))
-        probe = probe.unionByName(safe.where(F.col("q") == 0).select("v", "len", anything.alias("keys")))
+        probe = probe.unionByName(safe.where(F.col("q") == 0).select("v", "len", F.lit(1).alias("need"), anything.alias("keys")))
         index = index.unionByName(base.select("v", "len", anything.alias("keys")))
     keep = (F.col("p.len") <= F.col("i.len")) & (F.col("p.len") >= F.col("i.len") * ratio - EPS)
-    return joined(probe, index, keep)
+    return joined_counting(probe, index, keep)
 
 
 def jaro_floor(threshold: float, winkler: bool) -> float:
