@@ -162,9 +162,8 @@ OVERRIDES = [
 
 
 def overrides(d: Data):
-    """Overrides as a table, one per customer segment-independent setting, joined with real use counts."""
-    rows = d.spark.createDataFrame(OVERRIDES, "purpose string, ai_type string, dimension string, level string")
-    return rows
+    """Overrides of published levels."""
+    return d.spark.createDataFrame(OVERRIDES, "purpose string, ai_type string, dimension string, level string")
 
 
 RESOLVED = """resolved AS (SELECT dimension, CASE dimension WHEN 'timeliness' THEN 'high' WHEN 'similarity' THEN 'critical' ELSE level END AS level,

@@ -1,13 +1,10 @@
-"""Session helpers: checkpoint folder and size-checked broadcast."""
+"""Session helpers: reliable checkpoints in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 200_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -29,7 +26,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting at most ``limit`` + 1 rows; otherwise leave the shuffle join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
