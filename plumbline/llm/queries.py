@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import records
+from plumbline.llm import mixing, records
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -27,6 +27,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query(
+    """
+    WITH RECURSIVE sized AS (
+      SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+             ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 6))::BIGINT AS key
+      FROM documents),
+    src AS (
+      SELECT source, source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source COLLATE C NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+      FROM (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source)),
+    ordered AS (
+      SELECT *, sum(source_size) OVER () AS total,
+             coalesce(sum(3 * source_size) OVER w, 0) AS caps_before,
+             sum(weight) OVER (ORDER BY 3 * source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_after
+      FROM src WINDOW w AS (ORDER BY 3 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    level AS (
+      SELECT arg_min((total - caps_before) / weight_after, 3 * source_size / weight)
+             FILTER (WHERE 3 * source_size / weight >= (total - caps_before) / weight_after) AS level FROM ordered),
+    goal AS (SELECT source, source_size, least(3.0 * source_size, weight * level)::DOUBLE AS target FROM src, level),
+    plan AS (
+      SELECT source, source_size, target, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END::BIGINT AS whole FROM goal),
+    placed AS (
+      SELECT s.doc_id, s.size, p.source_size, p.target, p.whole,
+             greatest(floor(p.target)::BIGINT - p.whole * p.source_size, 0) AS rest,
+             coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source)
+    SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM placed
+    """
+)
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a capped mix of all sources takes from every document."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_epochs=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query()
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length-delimited token-id records of all documents, read back from the files."""
