@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import mixing, records
+from plumbline.llm import jaccard_join, mixing, records
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -61,6 +61,27 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+JACCARD_SQL = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    s AS (
+      SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))
+                                          WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+    n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+    l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 75 * (a.c + b.c - i)),
+    r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.doc_id)
+    SELECT doc_id, coalesce(any_value(n.c), 0)::BIGINT AS n_shingles, min(r.c) AS component_id
+    FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
+@query(JACCARD_SQL)
+def op9_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose 5-word shingles are similar at 0.75 or more."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=75)
+
+
 @query()
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length-delimited token-id records of all documents, read back from the files."""
