@@ -105,7 +105,7 @@ def incidence(docs: DataFrame, width: int, blocks: int) -> DataFrame:
                 schema=ARROW,
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(entries, BLOCKS)
+    return docs.select("ref", "text").mapInArrow(entries, BLOCKS)
 
 
 def shared_entries(matrix: DataFrame, row_blocks: int) -> DataFrame:
@@ -288,17 +288,8 @@ def linked_sets(sets: DataFrame, percent: int, stars: int) -> DataFrame:
     return named
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, stars: int = 2) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
-
-    The words of a text are runs of characters other than space and 09 to 0D, with A-Z lower-cased; its set is the
-    distinct runs of ``width`` words, the whole sequence if it has fewer, and empty if it has none. Two rows are linked
-    when 100 * intersection >= percent * union; component_id is the smallest doc_id that links reach, itself included.
-
-    Empty and null texts have n_shingles 0 and link with nothing. Rows with a null doc_id link like others; they give
-    their component no name, and it is null if nobody else does. Repeated rows are rows of their own in one component.
-    An empty table gives no rows. Other columns are ignored. ``stars`` changes the work, never the result.
-    """
+def _document_rows(docs: DataFrame, width: int, percent: int, stars: int) -> DataFrame:
+    """``docs`` (ref, text) as (ref, n_shingles, name, component): the sets, and null for a set without a link."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // COLUMN_BLOCK))
@@ -310,15 +301,49 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, stars
         for batch in batches:
             for k in range(batch.num_rows):
                 sizes, names = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in ((1, np.int32), (2, np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[k].values, pa.array(sizes.astype(np.int64)), pa.array(names)], ["doc_id", "n_shingles", "name"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k].values, pa.array(sizes.astype(np.int64)), pa.array(names)], ["ref", "n_shingles", "name"])
 
-    rows = shared.where("key < 0").select("ids", "sizes", "counts").mapInArrow(unpack, "doc_id long, n_shingles long, name long")
+    rows = shared.where("key < 0").select("ids", "sizes", "counts").mapInArrow(unpack, "ref long, n_shingles long, name long")
     rows = kept(rows, "document-sets")
-    firsts = rows.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("first"))
-    firsts = firsts.join(named.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-    firsts = kept(firsts, "set-components")
-    lowest = kept(firsts.groupBy("component").agg(F.min("first").alias("component_id")), "lowest")
-    firsts = kept(firsts.join(lowest, "component").select("name", "component_id"), "set-names")
-    rows = rows.join(firsts, "name", "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", own.alias("component_id"))
+    # the sets are told their component first: a set that many documents have is one row here
+    known = rows.where("n_shingles > 0").select("name").distinct().join(named.withColumnRenamed("node", "name"), "name", "left")
+    known = kept(known.withColumn("component", F.coalesce("component", "name")), "set-components")
+    return rows.join(known, "name", "left")
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, stars: int = 2) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
+
+    The words of a text are runs of characters other than space and 09 to 0D, with A-Z lower-cased; its set is the
+    distinct runs of ``width`` words, the whole sequence if it has fewer, and empty if it has none. Two rows are linked
+    when 100 * intersection >= percent * union; component_id is the smallest doc_id that links reach, itself included.
+
+    Empty and null texts have n_shingles 0 and link with nothing. Rows with a null doc_id link like others; they give
+    their component no name, and it is null if nobody else does. Repeated rows are rows of their own in one component.
+    An empty table gives no rows. Other columns are ignored. ``stars`` changes the work, never the result.
+    """
+    rows = _document_rows(docs.select(F.col("doc_id").cast("long").alias("ref"), "text"), width, percent, stars)
+    rows = kept(rows, "document-components")
+    lowest = kept(rows.where("n_shingles > 0").groupBy("component").agg(F.min("ref").alias("component_id")), "lowest")
+    rows = rows.join(lowest, "component", "left")
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("ref"))
+    return rows.select(F.col("ref").alias("doc_id"), "n_shingles", own.alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 75, stars: int = 2) -> DataFrame:
+    """One row of ``docs``, all columns, for each component: the one with the smallest doc_id (null last).
+
+    Texts without words are kept, each doc_id once. Rows that agree in doc_id and text are one.
+    """
+    row_key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit("")))
+    refs = docs.select(row_key.alias("ref"), F.col("doc_id").cast("long").alias("id"), "text")
+    rows = _document_rows(refs.select("ref", "text"), width, percent, stars)
+    rows = kept(rows, "document-components")
+    ids = refs.select("ref", "id").distinct()
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "ref"))
+    linked = rows.where("n_shingles > 0").select("ref", "component").distinct()
+    stay = linked.join(ids, "ref").groupBy("component").agg(first.alias("first")).select(F.col("first.ref").alias("_ref"))
+    stay = kept(stay.unionByName(rows.where("n_shingles = 0").select(F.col("ref").alias("_ref")).distinct()), "stay")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), row_key.alias("_ref"))
+    packed = packed.join(stay, "_ref", "left_semi").groupBy("_ref").agg(F.first("row").alias("row"))
+    return packed.select("row.*")

@@ -12,10 +12,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 LEVELS, WAYS = 3, 256
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of the whole text; null has none."""
+def sized(docs: DataFrame, seed: int) -> DataFrame:
+    """row (all columns of ``docs``), doc_id, source, size (words of the whole text; null has none) and seeded key."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    ids = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")]
+    return docs.select(F.struct(*docs.columns).alias("row"), *ids).withColumn("key", _key(seed))
 
 
 def weighted(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
@@ -57,22 +58,12 @@ def _key(seed: int):
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 6), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17) -> DataFrame:
-    """How many words of each document the mix takes.
-
-    Returns doc_id, source, size, source_size, target, taken. The sources share the words of the whole table in
-    proportion to their weights; a source gives at most ``max_epochs`` times its size, and what it can't give is shared
-    by the others. A source repeats whole as often as its target holds it. The rest is taken in a seeded order of its
-    documents: whole documents up to one that is taken in part, so the words taken equal the target rounded down. No
-    document gives more than ``max_epochs`` times its size. Reruns agree.
-
-    Null text or text without words has size 0 and gives 0. A null source is a source of its own, last in order. Rows
-    that repeat count as rows of their own. An empty table gives no rows. Other columns are ignored.
+def source_cuts(sizes: DataFrame, weights: tuple[float, ...], max_epochs: int) -> DataFrame:
+    """Per source its target, how often it repeats whole, and the key (path) and words (rest) at which the last part ends.
 
     The cut in the seeded order is found by sums over 256 ranges of the order, three times finer and finer, so no task
-    sees the documents of one source together; the last step orders the rows of one of 16 million ranges.
+    sees the documents of one source together.
     """
-    sizes = kept(sized(docs).withColumn("key", _key(seed)), "mix-sizes")
     sources = source_targets(sizes, weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     sources = sources.withColumn("whole", F.least(whole, F.lit(max_epochs)).cast("long"))
@@ -94,34 +85,53 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int
         step = step.select(F.col("source").alias("_s"), F.coalesce("open", F.col("last") + 1).alias("_path"), "full")
         cut = cut.join(step, cut["source"].eqNullSafe(step["_s"])).drop("_s", "path").withColumn("rest", F.col("rest") - F.col("full"))
         cut = kept(cut.withColumnRenamed("_path", "path").drop("full"), "mix-cut")
+    return cut
+
+
+def placed(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """``rows`` (with doc_id, source, size, key) and source_size, target, taken."""
     at = cut.withColumnRenamed("source", "_s")
-    rows = sizes.join(at, sizes["source"].eqNullSafe(at["_s"])).drop("_s")
-    edge = rows.where(F.col("key") == F.col("path"))
+    columns = [*rows.columns, "source_size", "target"]
+    rows = rows.join(at, rows["source"].eqNullSafe(at["_s"])).drop("_s")
     order = Window.partitionBy("source", "key").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    edge = rows.where(F.col("key") == F.col("path"))
     edge = edge.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.coalesce(F.sum("size").over(order), F.lit(0)))))
     clear = rows.where(F.col("key") != F.col("path")).withColumn("part", F.when(F.col("key") < F.col("path"), F.col("size")).otherwise(0))
-    taken = F.col("whole") * F.col("size") + F.col("part")
-    return clear.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    taken = (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken")
+    return clear.unionByName(edge).select(*columns, taken)
 
 
-def repeated(docs: DataFrame, **mixing) -> DataFrame:
-    """The mixed rows themselves: every document as often as the mix takes it whole, and its first words for a part.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17) -> DataFrame:
+    """How many words of each document the mix takes.
+
+    Returns doc_id, source, size, source_size, target, taken. The sources share the words of the whole table in
+    proportion to their weights; a source gives at most ``max_epochs`` times its size, and what it can't give is shared
+    by the others. A source repeats whole as often as its target holds it. The rest is taken in a seeded order of its
+    documents: whole documents up to one that is taken in part, so the words taken equal the target rounded down. No
+    document gives more than ``max_epochs`` times its size. Reruns agree.
+
+    Null text or text without words has size 0 and gives 0. A null source is a source of its own, last in order. Rows
+    that repeat count as rows of their own. An empty table gives no rows. Other columns are ignored.
+    """
+    sizes = kept(sized(docs, seed).drop("row"), "mix-sizes")
+    return placed(sizes, source_cuts(sizes, weights, max_epochs)).drop("key")
+
+
+def repeated(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17) -> DataFrame:
+    """The mixed rows themselves: every document as often as ``mix`` takes it whole, and its first words for a part.
 
     Same columns as ``docs``; n_chars, if there, is set for a cut text. Documents that the mix doesn't take are absent.
-    Rows that share a doc_id, text and source all repeat alike.
     """
-    plan = mix(docs, **mixing).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("_taken"))
-    plan = plan.where("_taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "_taken")
-    names = docs.columns
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    full = docs.withColumn("_size", size)
-    full = full.join(plan, full["doc_id"].eqNullSafe(plan["_id"]) & full["source"].eqNullSafe(plan["_source"]) & (full["_size"] == plan["_words"]))
-    copies = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    full = full.withColumn("_left", F.explode(F.transform(F.sequence(F.lit(1), copies), lambda k: F.least(F.col("_size"), F.col("_taken") - (k - 1) * F.col("_size")))))
-    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.col("_left") < F.col("_size")
-    text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_left").cast("int")), "")).otherwise(F.col("text"))
-    full = full.withColumn("text", text)
-    if "n_chars" in names:
-        full = full.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return full.select(*names)
+    rows = sized(docs, seed)
+    cut = source_cuts(kept(rows.drop("row"), "mix-sizes"), weights, max_epochs)
+    rows = placed(rows, cut).where("taken > 0")
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    left = F.explode(F.transform(F.sequence(F.lit(1), copies), lambda k: F.least(F.col("size"), F.col("taken") - (k - 1) * F.col("size"))))
+    rows = rows.select("row", "size", left.alias("left"))
+    words = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("left") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("left").cast("int")), "")).otherwise(F.col("row.text"))
+    rows = rows.select("row", "size", "left", text.alias("text"))
+    out = {name: F.col("row")[name] for name in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("left") < F.col("size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return rows.select(*[out[name].alias(name) for name in docs.columns])

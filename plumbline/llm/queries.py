@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontamination, jaccard_join, mixing, records
+from plumbline.llm import byte_cnn, decontamination, jaccard_join, mixing, records
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -86,6 +86,12 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query()
+def op7_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by a byte-level network trained on labelled rows."""
+    return byte_cnn.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 JACCARD_SQL = f"""
     WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
     s AS (
