@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import byte_cnn, decontamination, jaccard_join, mixing, records
+from plumbline.llm import block_ann, byte_cnn, decontamination, jaccard_join, mixing, records
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -27,6 +28,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+NEAREST_SQL = """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    d AS (
+      SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM d)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query(NEAREST_SQL)
+def op1_block_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors, by Euclidean distance, of every vec_id divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = block_ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("distance").alias("score"))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 CONTAMINATION_SQL = f"""
     WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
