@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import block_ann, byte_cnn, decontamination, jaccard_join, mixing, records
+from plumbline.llm import block_ann, byte_cnn, decontamination, html_tree, jaccard_join, mixing, records
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -74,6 +74,12 @@ def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("items")
 
 
+@query()
+def op3_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_tree.extracted(table(spark, sf_dir, "pages"))
+
+
 @query(
     """
     WITH RECURSIVE sized AS (
