@@ -20,7 +20,7 @@ def lowered_table(separators: bytes) -> np.ndarray:
 
 
 #: Words between white space: space and the controls 09 to 0D.
-BLANKS = lowered_table(bytes([0x20, *range(0x09, 0x0E), 0x00])[:-1])
+BLANKS = lowered_table(bytes([0x20, *range(0x09, 0x0E)]))
 #: Words of ASCII letters and digits and of everything beyond ASCII.
 NON_WORDS = lowered_table(bytes(b for b in range(128) if not (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or 0x41 <= b <= 0x5A)))
 
@@ -46,10 +46,11 @@ def word_spans(codes: np.ndarray, word: np.ndarray, offsets: np.ndarray) -> tupl
     return np.flatnonzero(here & (~before | edge)), np.flatnonzero(before & (~here | edge))
 
 
-def hashed_words(column: pa.Array, table: np.ndarray, byte_zero: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(column: pa.Array, table: np.ndarray, byte_zero: bool = False, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, first word of every text and the end) of a string column.
 
-    ``byte_zero``: the byte 00 belongs to words; the table can't say so, since 0 marks separators.
+    ``byte_zero``: the byte 00 belongs to words; the table can't say so, since 0 marks separators. ``fold``:
+    words that differ in the case of A-Z are one.
     """
     buf, offsets = utf8(column)
     codes = table[buf]
@@ -62,7 +63,7 @@ def hashed_words(column: pa.Array, table: np.ndarray, byte_zero: bool = False) -
     while at < len(starts):
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + SLICE, "right")))
         a, b = starts[at], ends[to - 1]
-        hashes[at:to] = span_hashes(codes[a:b], starts[at:to] - a, ends[at:to] - a)
+        hashes[at:to] = span_hashes((codes if fold else buf)[a:b], starts[at:to] - a, ends[at:to] - a)
         at = to
     return hashes, np.searchsorted(starts, offsets)
 
