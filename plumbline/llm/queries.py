@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import block_ann, byte_cnn, decontamination, html_tree, jaccard_join, mixing, records, unigram_trie
+from plumbline.llm import block_ann, byte_cnn, decontamination, html_tree, jaccard_join, license_scan, mixing, preference, records, unigram_trie
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -55,6 +55,49 @@ def op8_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_trie.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query()
+def op5_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of all documents that state a known licence."""
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
+PREFERENCE_SQL = """
+    WITH c AS (
+      SELECT DISTINCT conv_id AS pair_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    answers AS (SELECT conv_id AS pair_id, turn, min(text) AS answer FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL AND conv_id IS NOT NULL GROUP BY 1, 2),
+    last AS (SELECT pair_id, max(turn) AS last FROM answers GROUP BY 1),
+    older AS (SELECT pair_id, arg_max(answer, turn) AS older FROM answers JOIN last USING (pair_id) WHERE turn < last GROUP BY 1),
+    r AS (
+      SELECT DISTINCT pair_id, turn, role, CASE WHEN turn = last AND role = 'assistant' THEN coalesce(older, '') ELSE text END AS text
+      FROM c JOIN last USING (pair_id) LEFT JOIN older USING (pair_id) WHERE turn IS NOT NULL),
+    a AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn NULLS FIRST, role, text) AS k FROM c),
+    b AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn NULLS FIRST, role, text) AS k FROM r),
+    z AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.k, b.k) AS k, a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text AS same
+          FROM a FULL JOIN b ON a.pair_id = b.pair_id AND a.k = b.k),
+    n AS (SELECT pair_id, coalesce(min(k) FILTER (WHERE NOT same) - 1, max(k)) AS n FROM z GROUP BY 1),
+    line AS (
+      SELECT pair_id, side, k, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS t,
+             CASE WHEN role = 'assistant' THEN '0:' || (13 + length(role)) || ',1:' || (length(text) + 10) || ',0:1'
+                  ELSE '0:' || (24 + length(role) + length(text)) END AS m
+      FROM (SELECT *, 'a' AS side FROM a UNION ALL SELECT *, 'b' AS side FROM b))
+    SELECT n.pair_id, n.n::BIGINT AS n_prompt_turns,
+           coalesce(string_agg(t, '' ORDER BY k) FILTER (WHERE side = 'a' AND k <= n.n), '') AS prompt,
+           coalesce(string_agg(t, '' ORDER BY k) FILTER (WHERE side = 'a' AND k > n.n), '') AS chosen,
+           coalesce(string_agg(t, '' ORDER BY k) FILTER (WHERE side = 'b' AND k > n.n), '') AS rejected,
+           coalesce(string_agg(m, ',' ORDER BY k) FILTER (WHERE side = 'a' AND k > n.n), '') AS chosen_mask,
+           coalesce(string_agg(m, ',' ORDER BY k) FILTER (WHERE side = 'b' AND k > n.n), '') AS rejected_mask
+    FROM n JOIN last USING (pair_id) JOIN line USING (pair_id) GROUP BY 1, 2
+"""
+
+
+@query(PREFERENCE_SQL)
+def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt, completions and masks of every conversation with an answer against one that repeats its older answer."""
+    chosen = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "pair_id")
+    pairs = preference.preference_pairs(chosen, preference.stale_answers(chosen))
+    return pairs.withColumns({c: preference.mask_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 CONTAMINATION_SQL = f"""
     WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
