@@ -202,7 +202,7 @@ def report_issue_detail(d: Data):
     return report.issue_detail(analysis(d).issues())
 
 
-ALL_DIMS = scoring.DIMENSION_ORDER
+ALL_DIMS = scoring.DIMENSIONS
 
 
 @scored(

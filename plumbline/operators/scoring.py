@@ -14,34 +14,76 @@ LEVELS = {"critical": 4, "high": 3, "medium": 2, "low": 1}
 DEFAULT_PROFILE = "diagnostico_general"
 AI_PURPOSE = "iniciativa_ia"
 
-# Level per dimension (C critical, H high, M medium, L low), columns in the order of DIMENSION_ORDER.
-DIMENSION_ORDER = [
-    "completeness", "uniqueness", "validity", "consistency", "accuracy", "validity_period",
-    "precision", "timeliness", "referential_integrity", "reasonableness", "similarity",
-]
+# Level of each dimension, by purpose and by kind of AI project.
 PURPOSES = {
-    "diagnostico_general":   "M M M M M M M M M M M",
-    "reporteria_bi":         "C C H H M M L L M M H",
-    "migracion":             "C H C H M M H L C L M",
-    "integracion":           "H M C C M M C M H L L",
-    "auditoria":             "C H H M C C M H H M M",
-    "depuracion_duplicados": "H C M H L L M L L L C",
-    "campanas":              "C H C H L H M M M L C",
+    "diagnostico_general": {d: "medium" for d in DIMENSIONS},
+    "reporteria_bi": {
+        "completeness": "critical", "uniqueness": "critical", "validity": "high", "consistency": "high",
+        "similarity": "high", "accuracy": "medium", "validity_period": "medium", "referential_integrity": "medium",
+        "reasonableness": "medium", "precision": "low", "timeliness": "low",
+    },
+    "migracion": {
+        "completeness": "critical", "validity": "critical", "referential_integrity": "critical", "uniqueness": "high",
+        "consistency": "high", "precision": "high", "accuracy": "medium", "validity_period": "medium",
+        "similarity": "medium", "timeliness": "low", "reasonableness": "low",
+    },
+    "integracion": {
+        "validity": "critical", "consistency": "critical", "precision": "critical", "completeness": "high",
+        "referential_integrity": "high", "uniqueness": "medium", "accuracy": "medium", "validity_period": "medium",
+        "timeliness": "medium", "reasonableness": "low", "similarity": "low",
+    },
+    "auditoria": {
+        "completeness": "critical", "accuracy": "critical", "validity_period": "critical", "uniqueness": "high",
+        "validity": "high", "timeliness": "high", "referential_integrity": "high", "consistency": "medium",
+        "precision": "medium", "reasonableness": "medium", "similarity": "medium",
+    },
+    "depuracion_duplicados": {
+        "uniqueness": "critical", "similarity": "critical", "completeness": "high", "consistency": "high",
+        "validity": "medium", "precision": "medium", "accuracy": "low", "validity_period": "low", "timeliness": "low",
+        "referential_integrity": "low", "reasonableness": "low",
+    },
+    "campanas": {
+        "completeness": "critical", "validity": "critical", "similarity": "critical", "uniqueness": "high",
+        "consistency": "high", "validity_period": "high", "precision": "medium", "timeliness": "medium",
+        "referential_integrity": "medium", "accuracy": "low", "reasonableness": "low",
+    },
 }
 AI_TYPES = {
-    "ml_supervisado":        "C H H H C M M L M H C",
-    "deteccion_anomalias":   "H M M M C H C C L H H",
-    "series_tiempo":         "C M M H H C M C L H L",
-    "segmentacion":          "C H H C M L M L M H H",
-    "agente_generativo":     "H M H C M C L H M L C",
-    "recomendacion":         "H C M H M M L M H L C",
+    "ml_supervisado": {
+        "completeness": "critical", "accuracy": "critical", "similarity": "critical", "uniqueness": "high",
+        "validity": "high", "consistency": "high", "reasonableness": "high", "validity_period": "medium",
+        "precision": "medium", "referential_integrity": "medium", "timeliness": "low",
+    },
+    "deteccion_anomalias": {
+        "accuracy": "critical", "precision": "critical", "timeliness": "critical", "completeness": "high",
+        "validity_period": "high", "reasonableness": "high", "similarity": "high", "uniqueness": "medium",
+        "validity": "medium", "consistency": "medium", "referential_integrity": "low",
+    },
+    "series_tiempo": {
+        "completeness": "critical", "validity_period": "critical", "timeliness": "critical", "consistency": "high",
+        "accuracy": "high", "reasonableness": "high", "uniqueness": "medium", "validity": "medium",
+        "precision": "medium", "referential_integrity": "low", "similarity": "low",
+    },
+    "segmentacion": {
+        "completeness": "critical", "consistency": "critical", "uniqueness": "high", "validity": "high",
+        "reasonableness": "high", "similarity": "high", "accuracy": "medium", "precision": "medium",
+        "referential_integrity": "medium", "validity_period": "low", "timeliness": "low",
+    },
+    "agente_generativo": {
+        "consistency": "critical", "validity_period": "critical", "similarity": "critical", "completeness": "high",
+        "validity": "high", "timeliness": "high", "uniqueness": "medium", "accuracy": "medium",
+        "referential_integrity": "medium", "precision": "low", "reasonableness": "low",
+    },
+    "recomendacion": {
+        "uniqueness": "critical", "similarity": "critical", "completeness": "high", "consistency": "high",
+        "referential_integrity": "high", "validity": "medium", "accuracy": "medium", "validity_period": "medium",
+        "timeliness": "medium", "precision": "low", "reasonableness": "low",
+    },
 }
-_LETTER = {"C": "critical", "H": "high", "M": "medium", "L": "low"}
 
 
 def published_levels(profile: str) -> dict[str, str]:
-    row = {**PURPOSES, **AI_TYPES}.get(profile, PURPOSES[DEFAULT_PROFILE])
-    return {d: _LETTER[x] for d, x in zip(DIMENSION_ORDER, row.split())}
+    return {**PURPOSES, **AI_TYPES}.get(profile, PURPOSES[DEFAULT_PROFILE])
 
 
 def weight_matrix(spark: SparkSession) -> DataFrame:
@@ -66,7 +108,7 @@ def resolve_weights(
     """(dimension, level, weight) for a purpose; ``overrides``: (purpose, ai_type, dimension, level)."""
     purpose = purpose or DEFAULT_PROFILE
     if equal:
-        levels = spark.createDataFrame([(d, "medium") for d in DIMENSION_ORDER], "dimension string, level string")
+        levels = spark.createDataFrame([(d, "medium") for d in DIMENSIONS], "dimension string, level string")
     else:
         name = ai_type if purpose == AI_PURPOSE and ai_type else purpose
         base = spark.createDataFrame(list(published_levels(name).items()), "dimension string, published string")
@@ -195,4 +237,4 @@ def summary(df: DataFrame, issues: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
-assert set(DIMENSION_ORDER) == set(DIMENSIONS)
+assert set(DIMENSIONS) == set(DIMENSIONS)

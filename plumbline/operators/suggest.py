@@ -130,13 +130,25 @@ def _params(**values) -> Column:
     return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
 
 
-def _sug(dimension: str, confidence: str, reason, **params) -> Column:
-    return F.struct(
-        F.lit(dimension).alias("dimension"),
-        F.lit(confidence).alias("confidence"),
-        (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"),
-        _params(**params).alias("params"),
-    )
+class Proposal:
+    """Builds the suggestion structs of one dimension: ``Proposal("accuracy").high(reason, min_value=0)``."""
+
+    def __init__(self, dimension: str):
+        self.dimension = dimension
+
+    def at(self, confidence: str, reason: str | Column, **params) -> Column:
+        text = reason if isinstance(reason, Column) else F.lit(reason)
+        fields = {"dimension": F.lit(self.dimension), "confidence": F.lit(confidence), "reason": text, "params": _params(**params)}
+        return F.struct(*[value.alias(name) for name, value in fields.items()])
+
+    def high(self, reason: str | Column, **params) -> Column:
+        return self.at("high", reason, **params)
+
+    def medium(self, reason: str | Column, **params) -> Column:
+        return self.at("medium", reason, **params)
+
+    def low(self, reason: str | Column, **params) -> Column:
+        return self.at("low", reason, **params)
 
 
 def _first(*cases: tuple[Column, Column]) -> Column:
@@ -158,8 +170,8 @@ def _text(c: Column, digits: int = 1) -> Column:
 
 def completeness_rule() -> Column:
     empty = F.col("pct_null") + F.col("blank_pct")
-    return F.when(empty > 0, _sug("completeness", "high", F.concat(_text(empty), F.lit(" % missing or blank")))).otherwise(
-        _sug("completeness", "medium", "preventive")
+    return F.when(empty > 0, Proposal("completeness").high(F.concat(_text(empty), F.lit(" % missing or blank")))).otherwise(
+        Proposal("completeness").medium("preventive")
     )
 
 
@@ -168,9 +180,9 @@ def uniqueness_rule() -> Column:
     return F.when(
         _named(ID_NAMES),
         _first(
-            ((d > 0) & (d == n), _sug("uniqueness", "high", "identifier, all values unique")),
-            (d > 0, _sug("uniqueness", "high", F.concat(F.lit("identifier with repeats: "), (n - d).cast("string")))),
-            (d <= 0, _sug("uniqueness", "medium", "named like an identifier")),
+            ((d > 0) & (d == n), Proposal("uniqueness").high("identifier, all values unique")),
+            (d > 0, Proposal("uniqueness").high(F.concat(F.lit("identifier with repeats: "), (n - d).cast("string")))),
+            (d <= 0, Proposal("uniqueness").medium("named like an identifier")),
         ),
     )
 
@@ -178,38 +190,38 @@ def uniqueness_rule() -> Column:
 def validity_rule() -> Column:
     top, has_top = F.to_json("top_values"), F.size("top_values") > 0
     cases = [
-        (F.col("format") == f, _sug("validity", "high", f"{f} format detected", pattern=PATTERNS[f], format=f))
+        (F.col("format") == f, Proposal("validity").high(f"{f} format detected", pattern=PATTERNS[f], format=f))
         for f in ("email", "phone", "url", "tax_id")
     ]
-    cases.append((F.col("is_catalogue") & has_top, _sug("validity", "high", "catalogue", allowed_values=top)))
-    cases.append((F.col("imbalanced") & has_top, _sug("validity", "high", "one value dominates", allowed_values=top)))
+    cases.append((F.col("is_catalogue") & has_top, Proposal("validity").high("catalogue", allowed_values=top)))
+    cases.append((F.col("imbalanced") & has_top, Proposal("validity").high("one value dominates", allowed_values=top)))
     cases += [
-        (_named(n), _sug("validity", "medium", f"named like {f}", pattern=PATTERNS[f], format=f)) for f, n in FORMAT_NAMES.items()
+        (_named(n), Proposal("validity").medium(f"named like {f}", pattern=PATTERNS[f], format=f)) for f, n in FORMAT_NAMES.items()
     ]
-    cases.append((_named(CATALOGUE_NAMES) & ~F.col("is_catalogue"), _sug("validity", "medium", "named like a catalogue")))
+    cases.append((_named(CATALOGUE_NAMES) & ~F.col("is_catalogue"), Proposal("validity").medium("named like a catalogue")))
     return _first(*cases)
 
 
 def consistency_rule() -> Column:
     return _first(
-        (F.col("mixed_case"), _sug("consistency", "high", "upper and lower case mixed")),
-        (F.col("n_formats") > 1, _sug("consistency", "high", "several date formats")),
-        (F.col("n_variants") > 0, _sug("consistency", "high", "several spellings of one value")),
-        (_named(DATE_NAMES) & (F.col("n_formats") == 0), _sug("consistency", "medium", "named like a date")),
+        (F.col("mixed_case"), Proposal("consistency").high("upper and lower case mixed")),
+        (F.col("n_formats") > 1, Proposal("consistency").high("several date formats")),
+        (F.col("n_variants") > 0, Proposal("consistency").high("several spellings of one value")),
+        (_named(DATE_NAMES) & (F.col("n_formats") == 0), Proposal("consistency").medium("named like a date")),
     )
 
 
 def accuracy_rule() -> Column:
     low, high = F.col("p5"), F.col("p95")
     return _first(
-        (F.col("negative_pct") > 0, _sug("accuracy", "high", "negative values", min_value=0)),
+        (F.col("negative_pct") > 0, Proposal("accuracy").high("negative values", min_value=0)),
         (
             (F.col("outliers") > 0) & low.isNotNull() & high.isNotNull(),
-            _sug("accuracy", "high", "outliers: 5th to 95th percentile", min_value=F.round(low, 2), max_value=F.round(high, 2)),
+            Proposal("accuracy").high("outliers: 5th to 95th percentile", min_value=F.round(low, 2), max_value=F.round(high, 2)),
         ),
-        (_named(AGE_NAMES), _sug("accuracy", "medium", "named like an age", min_value=0, max_value=120)),
-        (_named(MONEY_NAMES), _sug("accuracy", "medium", "named like money", min_value=0)),
-        (_named(SCORE_NAMES), _sug("accuracy", "medium", "named like a score", min_value=0, max_value=100)),
+        (_named(AGE_NAMES), Proposal("accuracy").medium("named like an age", min_value=0, max_value=120)),
+        (_named(MONEY_NAMES), Proposal("accuracy").medium("named like money", min_value=0)),
+        (_named(SCORE_NAMES), Proposal("accuracy").medium("named like a score", min_value=0, max_value=100)),
     )
 
 
@@ -217,7 +229,7 @@ def validity_period_rule(as_of: str | None) -> Column:
     today = moment(as_of).cast("date")
 
     def window(confidence: str, reason: str, years: int) -> Column:
-        return _sug("validity_period", confidence, reason, date_from=F.add_months(today, -12 * years), date_to=today)
+        return Proposal("validity_period").at(confidence, reason, date_from=F.add_months(today, -12 * years), date_to=today)
 
     return F.when(
         _dated() | _named(PERIOD_NAMES),
@@ -234,8 +246,8 @@ def precision_rule() -> Column:
     measured = low.isNotNull() & high.isNotNull() & ~_numeric()
     uneven = (high > 0) & (low > 0) & (high / F.greatest(low, F.lit(1)) > 2)
     return _first(
-        (measured & uneven, _sug("precision", "medium", "uneven text lengths", min_length=low, max_length=high)),
-        (~measured & _named(TEXT_NAMES), _sug("precision", "low", "named like a text", min_length=2, max_length=200)),
+        (measured & uneven, Proposal("precision").medium("uneven text lengths", min_length=low, max_length=high)),
+        (~measured & _named(TEXT_NAMES), Proposal("precision").low("named like a text", min_length=2, max_length=200)),
     )
 
 
@@ -243,9 +255,9 @@ def reasonableness_rule() -> Column:
     return F.when(
         _numeric() | _dated(),
         _first(
-            (F.col("outliers") > 0, _sug("reasonableness", "high", F.concat(F.lit("outliers: "), F.col("outliers").cast("string")))),
-            (F.col("skew_label").isin("left", "right"), _sug("reasonableness", "medium", "skewed distribution")),
-            (~F.col("skew_label").isin("left", "right"), _sug("reasonableness", "low", "preventive")),
+            (F.col("outliers") > 0, Proposal("reasonableness").high(F.concat(F.lit("outliers: "), F.col("outliers").cast("string")))),
+            (F.col("skew_label").isin("left", "right"), Proposal("reasonableness").medium("skewed distribution")),
+            (~F.col("skew_label").isin("left", "right"), Proposal("reasonableness").low("preventive")),
         ),
     )
 
@@ -279,7 +291,7 @@ def similarity_rule() -> Column:
 
     def made(confidence: str, kind: Column) -> Column:
         algorithm, threshold = _choice(kind)
-        return _sug("similarity", confidence, F.concat(F.lit("content: "), kind), algorithm=algorithm, threshold=threshold)
+        return Proposal("similarity").at(confidence, F.concat(F.lit("content: "), kind), algorithm=algorithm, threshold=threshold)
 
     return F.when(
         ~_named(ID_NAMES),
@@ -288,7 +300,7 @@ def similarity_rule() -> Column:
 
 
 def timeliness_rule() -> Column:
-    return F.when(_named(UPDATE_NAMES), _sug("timeliness", "medium", "update date", max_age_days=365))
+    return F.when(_named(UPDATE_NAMES), Proposal("timeliness").medium("update date", max_age_days=365))
 
 
 def suggestions(profile: DataFrame, as_of: str | None = None) -> DataFrame:
