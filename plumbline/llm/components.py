@@ -15,14 +15,14 @@ def components(links: DataFrame) -> DataFrame:
     Both steps join tables that were written before, so that Spark can split the key of a node with many neighbours.
     """
     ends = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    both = kept(ends.unionByName(links.select(F.col("y").alias("a"), F.col("x").alias("b"))).distinct(), "links")
-    names = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "names")
+    both = kept(ends.unionByName(links.select(F.col("y").alias("a"), F.col("x").alias("b"))).distinct(), "links", 8)
+    names = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "names", 8)
     while True:
         heard = both.join(names, both["a"] == names["node"]).groupBy("b").agg(F.min("component").alias("m"))
         lower = names.join(heard, names["node"] == heard["b"]).select("node", F.col("component").alias("old"), F.least("component", "m").alias("low"))
-        lower = kept(lower, "lower")
+        lower = kept(lower, "lower", 8)
         roots = lower.select(F.col("node").alias("root"), F.col("low").alias("top"))
-        names = kept(lower.join(roots, lower["low"] == roots["root"]).select("node", "old", F.least("low", "top").alias("component")), "names")
+        names = kept(lower.join(roots, lower["low"] == roots["root"]).select("node", "old", F.least("low", "top").alias("component")), "names", 8)
         if names.where("component != old").limit(1).count() == 0:
             return names.select("node", "component")
         names = names.select("node", "component")

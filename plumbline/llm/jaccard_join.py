@@ -212,21 +212,13 @@ def _room(percent: int):
 def products(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y, n, m) whose overlap, counted in full, reaches the threshold.
 
-    Pairs are put into blocks by x, so a y that many x meet is sent once to each block. Pairs are turned so that x is
-    the end that fewer pairs have; then no x has more than about the square root of twice the number of pairs.
+    Pairs are put into blocks by x, so a y that many x meet is sent once to each block.
     """
-    pairs = kept(pairs, "pairs")
+    pairs = kept(pairs, "pairs", 4)
     entries = pairs.agg(F.sum(F.col("n") + F.col("m"))).first()[0]
     if not entries:
         return pairs.select("x", "y")
-    degree = pairs.select(F.explode(F.array("x", "y")).alias("end")).groupBy("end").count()
-    degree = kept(degree, "degrees")
-    turned = pairs.join(degree.select(F.col("end").alias("x"), F.col("count").alias("dx")), "x")
-    turned = turned.join(degree.select(F.col("end").alias("y"), F.col("count").alias("dy")), "y")
-    fewer = (F.col("dx") < F.col("dy")) | ((F.col("dx") == F.col("dy")) & (F.col("x") < F.col("y")))
-    turned = turned.select(F.when(fewer, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(fewer, F.col("y")).otherwise(F.col("x")).alias("y"))
-    turned = turned.withColumn("block", F.pmod(F.xxhash64("x"), F.lit(-(-int(entries) // ROW_BLOCK))))
-    turned = kept(turned, "turned")
+    turned = pairs.select("x", "y", F.pmod(F.xxhash64("x"), F.lit(-(-int(entries) // ROW_BLOCK))).alias("block"))
     need = turned.select(F.col("block").alias("tile"), F.explode(F.array("x", "y")).alias("name")).distinct()
     rows = need.join(sets.select("name", "n", "tokens"), "name")
 
@@ -255,6 +247,73 @@ def products(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return turned.groupBy("block").cogroup(rows.groupBy("tile")).applyInArrow(multiply, "x long, y long")
 
 
+def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """The sparse product of two blocks of the incidence matrix: common entries of every row with every column."""
+    tokens = np.concatenate(rows)
+    owner = np.repeat(np.arange(len(rows)), [len(t) for t in rows])
+    order = np.argsort(tokens, kind="stable")
+    owner = owner[order]
+    known, first, count = np.unique(tokens[order], return_index=True, return_counts=True)
+    out = np.zeros((len(rows), len(columns)), np.int64)
+    step = max(1, (1 << 21) // max(1, len(tokens)))
+    for k in range(0, len(columns), step):
+        part = columns[k : k + step]
+        flat, column = np.concatenate(part), np.repeat(np.arange(len(part)), [len(t) for t in part])
+        at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+        hit = known[at] == flat
+        at, column = at[hit], column[hit]
+        n = count[at]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        cell = owner[np.repeat(first[at], n) + inner] * len(part) + np.repeat(column, n)
+        out[:, k : k + step] = np.bincount(cell, minlength=len(rows) * len(part)).reshape(len(rows), -1)
+    return out
+
+
+def across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) between components: for each row one to every component in which some row of its columns is linked.
+
+    In a column the rows outside its largest component meet all its rows. Columns with the same largest component go
+    together: its rows and those outside are cut into blocks by their entries, and the blocks are multiplied. Pairs are
+    never listed, so a large component costs its rows times the few outside it, in tiles of bounded size.
+    """
+    sizes = rows.groupBy("token", "component").count().groupBy("token")
+    largest = sizes.agg(F.max(F.struct("count", "component")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    largest = kept(largest.select("token", F.col("top.component").alias("main")), "largest", 4)
+    members = kept(rows.join(largest, "token").select("main", "name", "n", "component").distinct(), "members", 4)
+    outside = F.col("component") != F.col("main")
+    cuts = members.groupBy("main").agg(F.sum(F.when(outside, F.col("n"))).alias("x"), F.sum("n").alias("y"))
+    parts = [F.ceil(F.col(c) / F.lit(limit)).cast("int").alias(f"{c}s") for c, limit in (("x", ROW_BLOCK // 16), ("y", ROW_BLOCK // 4))]
+    members = members.join(kept(cuts.select("main", *parts), "cuts", 8), "main")
+    here = lambda count: F.pmod(F.xxhash64("name"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    x = members.where(outside).select("main", "name", "component", here("xs").alias("xb"), every("ys").alias("yb"))
+    y = members.select("main", "name", "component", every("xs").alias("xb"), here("ys").alias("yb"))
+    tiles = kept(x.withColumn("side", F.lit(0)).unionByName(y.withColumn("side", F.lit(1))), "tiles", 4)
+    groups = max(1, tiles.count() // 1024)
+    tiles = tiles.join(sets.select("name", "n", "tokens"), "name")
+    tiles = tiles.withColumn("tile", F.xxhash64("main", "xb", "yb")).withColumn("group", F.pmod("tile", F.lit(groups)))
+
+    def multiply(table: pa.Table) -> pa.Table:
+        tile, side, names, component, n = (table.column(c).to_numpy() for c in ("tile", "side", "name", "component", "n"))
+        tokens = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
+        order = np.lexsort((side, tile))
+        found: list[np.ndarray] = []
+        for part in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
+            own, other = part[side[part] == 0], part[side[part] == 1]
+            if not len(own) or not len(other):
+                continue
+            common = overlaps([tokens[k] for k in own], [tokens[k] for k in other])
+            size = n[own].astype(np.int64)[:, None] + n[other].astype(np.int64)[None, :]
+            linked = ((100 + percent) * common >= percent * size) & (component[own][:, None] != component[other][None, :])
+            i, j = np.nonzero(linked)
+            _, one = np.unique(np.column_stack([i, component[other[j]]]), axis=0, return_index=True)
+            found.append(np.column_stack([names[own[i[one]]], names[other[j[one]]]]))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"x": pa.array(pairs[:, 0], pa.int64()), "y": pa.array(pairs[:, 1], pa.int64())})
+
+    return tiles.groupBy("group").applyInArrow(multiply, "x long, y long")
+
+
 def linked_sets(sets: DataFrame, percent: int, stars: int) -> DataFrame:
     """(node, component) of the sets that have a link."""
     first = kept(prefixes(sets, percent), "prefixes")
@@ -263,27 +322,18 @@ def linked_sets(sets: DataFrame, percent: int, stars: int) -> DataFrame:
         rows = first.withColumn("component", F.col("name"))
         if named is not None:
             rows = first.join(named.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-        rows = kept(rows, "columns")
+            rows = kept(rows, "columns", 4)
         if turn < stars:
             # a star: every row of a column meets one row of it
-            other = rows.groupBy("token").agg(
-                F.min(F.struct(F.xxhash64("name", F.lit(turn)), F.col("name").alias("y"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("component").alias("c"))).alias("h"),
-                F.min("component").alias("a"), F.max("component").alias("b"),
-            )
-            other = other.where("a != b").select("token", "h.y", "h.m", "h.spot", "h.c")
-            some = rows
+            hub = F.struct(F.xxhash64("name", F.lit(turn)), F.col("name").alias("y"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("component").alias("c"))
+            hubs = rows.groupBy("token").agg(F.min(hub).alias("h"), F.min("component").alias("a"), F.max("component").alias("b"))
+            hubs = kept(hubs.where("a != b").select("token", "h.y", "h.m", "h.spot", "h.c"), "hubs", 4)
+            pairs = rows.join(hubs, "token").where((F.col("component") != F.col("c")) & _room(percent))
+            found = products(pairs.select(F.col("name").alias("x"), "y", "n", "m").distinct(), sets, percent)
         else:
-            # what is left: rows outside the largest component of a column meet the rows of its other components
-            sizes = rows.groupBy("token", "component").count().groupBy("token")
-            largest = kept(sizes.agg(F.max(F.struct("count", "component")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "top.component"), "largest")
-            other = rows.select("token", F.col("name").alias("y"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("component").alias("c"))
-            some = rows.join(largest.withColumnRenamed("component", "main"), "token").where("component != main").drop("main")
-        other, some = kept(other, "others"), (kept(some, "some") if some is not rows else rows)
-        pairs = some.join(other, "token").where((F.col("component") != F.col("c")) & _room(percent))
-        pairs = pairs.select(F.least("name", "y").alias("x"), F.greatest("name", "y").alias("y"), F.when(F.col("name") < F.col("y"), F.col("n")).otherwise(F.col("m")).alias("n"), F.when(F.col("name") < F.col("y"), F.col("m")).otherwise(F.col("n")).alias("m"))
-        found = products(pairs.distinct(), sets, percent)
+            found = across(rows, sets, percent)
         links = found if links is None else links.unionByName(found)
-        links = kept(links, "linked")
+        links = kept(links, "linked", 8)
         named = components(links)
     return named
 
@@ -307,11 +357,11 @@ def _document_rows(docs: DataFrame, width: int, percent: int, stars: int) -> Dat
     rows = kept(rows, "document-sets")
     # the sets are told their component first: a set that many documents have is one row here
     known = rows.where("n_shingles > 0").select("name").distinct().join(named.withColumnRenamed("node", "name"), "name", "left")
-    known = kept(known.withColumn("component", F.coalesce("component", "name")), "set-components")
+    known = kept(known.withColumn("component", F.coalesce("component", "name")), "set-components", 8)
     return rows.join(known, "name", "left")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, stars: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, stars: int = 1) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
 
     The words of a text are runs of characters other than space and 09 to 0D, with A-Z lower-cased; its set is the
@@ -324,13 +374,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, stars
     """
     rows = _document_rows(docs.select(F.col("doc_id").cast("long").alias("ref"), "text"), width, percent, stars)
     rows = kept(rows, "document-components")
-    lowest = kept(rows.where("n_shingles > 0").groupBy("component").agg(F.min("ref").alias("component_id")), "lowest")
+    lowest = kept(rows.where("n_shingles > 0").groupBy("component").agg(F.min("ref").alias("component_id")), "lowest", 8)
     rows = rows.join(lowest, "component", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("ref"))
     return rows.select(F.col("ref").alias("doc_id"), "n_shingles", own.alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, width: int = 5, percent: int = 75, stars: int = 2) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 75, stars: int = 1) -> DataFrame:
     """One row of ``docs``, all columns, for each component: the one with the smallest doc_id (null last).
 
     Texts without words are kept, each doc_id once. Rows that agree in doc_id and text are one.
@@ -343,7 +393,7 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 75, stars: int
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "ref"))
     linked = rows.where("n_shingles > 0").select("ref", "component").distinct()
     stay = linked.join(ids, "ref").groupBy("component").agg(first.alias("first")).select(F.col("first.ref").alias("_ref"))
-    stay = kept(stay.unionByName(rows.where("n_shingles = 0").select(F.col("ref").alias("_ref")).distinct()), "stay")
+    stay = kept(stay.unionByName(rows.where("n_shingles = 0").select(F.col("ref").alias("_ref")).distinct()), "stay", 4)
     packed = docs.select(F.struct(*docs.columns).alias("row"), row_key.alias("_ref"))
     packed = packed.join(stay, "_ref", "left_semi").groupBy("_ref").agg(F.first("row").alias("row"))
     return packed.select("row.*")
