@@ -47,7 +47,7 @@ def water_level(sources: DataFrame, max_epochs: int) -> float:
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], max_epochs: int) -> DataFrame:
     """(source, source_size, weight, target) of the mix; a small table, one row per source."""
-    sources = kept(weighted(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights), "mix-sources")
+    sources = kept(weighted(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights), "mix-sources", 16)
     level = water_level(sources, max_epochs)
     target = F.least((F.col("source_size") * max_epochs).cast("double"), F.col("weight") * F.lit(level))
     return sources.withColumn("target", target)
@@ -68,7 +68,7 @@ def source_cuts(sizes: DataFrame, weights: tuple[float, ...], max_epochs: int) -
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     sources = sources.withColumn("whole", F.least(whole, F.lit(max_epochs)).cast("long"))
     rest = F.floor(F.col("target")).cast("long") - F.col("whole") * F.col("source_size")
-    cut = kept(sources.withColumn("rest", F.greatest(rest, F.lit(0))).withColumn("path", F.lit(0).cast("long")), "mix-cut")
+    cut = kept(sources.withColumn("rest", F.greatest(rest, F.lit(0))).withColumn("path", F.lit(0).cast("long")), "mix-cut", 16)
     by_range = Window.partitionBy("source").orderBy("range")
     for level in range(1, LEVELS + 1):
         width = WAYS ** (LEVELS - level)
@@ -83,8 +83,9 @@ def source_cuts(sizes: DataFrame, weights: tuple[float, ...], max_epochs: int) -
             F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))), F.lit(0)).alias("full"),
         )
         step = step.select(F.col("source").alias("_s"), F.coalesce("open", F.col("last") + 1).alias("_path"), "full")
-        cut = cut.join(step, cut["source"].eqNullSafe(step["_s"])).drop("_s", "path").withColumn("rest", F.col("rest") - F.col("full"))
-        cut = kept(cut.withColumnRenamed("_path", "path").drop("full"), "mix-cut")
+        # a source that is taken to its end has no rows left to look at
+        cut = cut.join(step, cut["source"].eqNullSafe(step["_s"]), "left").drop("_s").withColumn("rest", F.col("rest") - F.coalesce("full", F.lit(0)))
+        cut = kept(cut.withColumn("path", F.coalesce("_path", F.col("path") * WAYS)).drop("_path", "full"), "mix-cut", 16)
     return cut
 
 
