@@ -269,7 +269,7 @@ def extracted(pages: DataFrame, threshold: float = 0.3, gamma: float = 0.9) -> D
     rows of their own. An empty table gives no rows. Other columns are ignored.
     """
     tree = kept(style_tree(pages), "style-tree")
-    noisy = kept(noisy_branches(tree, pages, threshold, gamma), "noisy-branches")
+    noisy = kept(noisy_branches(tree, pages, threshold, gamma), "noisy-branches", 8)
     rows = pages.select("page_id", "url", "html", hosts(pages).alias("host")).join(noisy, "host", "left").drop("host")
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

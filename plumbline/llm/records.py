@@ -64,7 +64,7 @@ def frames(content: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
         at = stop + 1
 
 
-def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, file_mb: int = 8) -> None:
+def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, file_bytes: int = 8 << 20) -> None:
     """Write one record per row of ``docs`` (doc_id, text) to ``folder``, files and records in ascending doc_id order.
 
     A null text is empty, so its record holds only ``end_id``. A null doc_id comes first. Rows with equal doc_ids stand
@@ -72,7 +72,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    files = max(1, -(-total // (file_mb << 20)))
+    files = max(1, -(-total // file_bytes))
 
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
