@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from catalog.dirt import DIRT
+from plumbline.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,6 +18,7 @@ class Data:
     """Base tables and dirty views of one data folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        ship_package(spark)
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:

@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from catalog.base import Data, query
-from catalog.scores import PURPOSE, analysis, weights
+from catalog.scores import PURPOSE, SQL_SUMMARY, analysis, scored, weights
 from plumbline.operators import profile as pf
+from plumbline.session import ensure_checkpoint_dir
 from plumbline.sources import delimited, sinks
 
 
 def scratch(d: Data, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder; a local one only when none is set (tests)."""
-    shared = d.spark.conf.get("spark.checkpoint.dir", None)
-    root = shared if shared else tempfile.mkdtemp(prefix="plumbline-")
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    """A fresh folder below the shared checkpoint folder (a local one only for a local session without the setting)."""
+    ensure_checkpoint_dir(d.spark)
+    return os.path.join(d.spark.sparkContext.getCheckpointDir(), f"{name}-{uuid.uuid4().hex}")
 
 
 @query(
@@ -54,7 +53,7 @@ def trim_header(d: Data):
     return delimited.trim_header(d.table("region").toDF(" key", "name\t"))
 
 
-@query("write_issues")
+@scored("write_issues", 'SELECT record_id, col AS "column", dimension, reason, value, is_principal FROM issues')
 def write_issues(d: Data):
     """Issues written by dimension and read back."""
     path = scratch(d, "issues")
@@ -62,7 +61,7 @@ def write_issues(d: Data):
     return d.spark.read.parquet(path)
 
 
-@query("write_scores")
+@scored("write_scores", 'SELECT col AS "column", dimension, n_total, n_bad, score FROM scores')
 def write_scores(d: Data):
     """Scores written and read back."""
     path = scratch(d, "scores")
@@ -86,7 +85,14 @@ def write_profile(d: Data):
     return d.spark.read.parquet(os.path.join(path, "columns"))
 
 
-@query("append_run_log")
+@scored(
+    "append_run_log",
+    f"""SELECT '{PURPOSE}' AS purpose, 'orders' AS source, s.total_records AS n_rows, (SELECT round(sum(score * weight) / sum(weight), 1) FROM ranked) AS score,
+      s.records_with_problems AS problems, (SELECT count(DISTINCT col) FROM scores) AS n_columns,
+      (SELECT string_agg(dimension, ',' ORDER BY dimension) FROM (SELECT DISTINCT dimension FROM scores)) AS dimensions,
+      (SELECT '{{' || string_agg('"' || dimension || '":"' || level || '"', ',' ORDER BY dimension) || '}}' FROM levels) AS weights
+      FROM ({SQL_SUMMARY}) s, range(2)""",
+)
 def append_run_log(d: Data):
     """Two runs appended to the run log and read back."""
     path, run = scratch(d, "runs"), analysis(d)

@@ -383,9 +383,22 @@ def sim_score(d: Data):
     )
 
 
-@query("sim_default_run")
+RUN_JW = f"""{RAWS}, pairs AS MATERIALIZED (SELECT a, b, s AS similarity FROM (SELECT x.v AS a, y.v AS b,
+  jaro_winkler_similarity(x.v, y.v) * 100 AS s FROM nodes x JOIN nodes y ON x.v < y.v) WHERE s >= 92)"""
+
+
+@query(
+    "sim_default_run",
+    f"""{MEMBERS.replace(RUN_SQL, RUN_JW)}, f AS (SELECT r.*, k.keep_id, k.keep_value, members >= 3 AND density < 0.6 AS chain, members > 10 AS big, b.similarity
+      FROM recs r JOIN keep k USING (component) JOIN stats USING (component) JOIN raws w ON w.raw = r.name JOIN best b ON b.v = w.v)
+    SELECT id AS record_id, 'name' AS "column", 'similarity' AS dimension, CASE WHEN chain THEN 'dispersed group: possible chain, not in the score'
+      WHEN id = keep_id THEN 'near-duplicate: keep this record' ELSE 'near-duplicate: correct to the kept record' END AS reason, name AS value,
+      id = keep_id AND NOT chain AS is_principal, CASE WHEN id <> keep_id AND NOT chain THEN keep_value END AS correct_value,
+      cast(min(id) OVER (PARTITION BY component) AS string) AS group_id, round(similarity, 1) AS similarity_pct, big AS big_group, chain AS dispersed_group FROM f""",
+    VIEW,
+)
 def sim_default_run(d: Data):
-    """All issues of a run with the default algorithm, threshold and blocks."""
+    """All issues of a run with the default algorithm and threshold."""
     return pl.near_duplicates(d.view("companies"), "id", "name").issues()
 
 
@@ -394,7 +407,7 @@ def report_similarity_detail(d: Data):
     """Counters and warning of a blocked affine-gap run."""
     from plumbline.operators.report import similarity_detail
 
-    return similarity_detail(pl.near_duplicates(d.view("companies"), "id", "name", algorithm="affine_gap", threshold=90).meta())
+    return similarity_detail(pl.near_duplicates(d.view("companies"), "id", "name", algorithm="affine_gap", threshold=90, blocking=True).meta())
 
 
 @query(

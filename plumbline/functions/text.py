@@ -79,6 +79,12 @@ def fold(c: Column) -> Column:
     return folded
 
 
+def number(c: Column) -> Column:
+    """The number a value spells; NULL for other text and for the text NaN, which names no number."""
+    value = c.try_cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def is_missing(c: Column, data_type: str) -> Column:
     """NULL, or NaN in floating-point columns."""
     return (c.isNull() | F.isnan(c)) if data_type in ("double", "float") else c.isNull()

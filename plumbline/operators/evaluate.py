@@ -9,6 +9,7 @@ from plumbline.functions.text import grams, normalise, words
 from plumbline.operators.similarity import candidates as cand
 from plumbline.operators.similarity import pipeline as pl
 from plumbline.operators.similarity import values as val
+from plumbline.session import checkpointed
 
 
 def pairs_of(n: Column) -> Column:
@@ -67,7 +68,7 @@ class PairTruth:
 
     def links(self, algorithm: str, threshold: float) -> DataFrame:
         """(similarity, links, true_links): record pairs behind every scored value pair and every single value."""
-        pairs = pl.scored_pairs(self.nodes.select("v"), algorithm, threshold)
+        pairs = checkpointed(pl.scored_pairs(self.nodes.select("v"), algorithm, threshold))
         left = self.by_entity.select(F.col("v").alias("a"), "entity", F.col("n").alias("na"))
         right = self.by_entity.select(F.col("v").alias("b"), "entity", F.col("n").alias("nb"))
         good = pairs.join(left, "a").join(right, ["b", "entity"]).select("similarity", F.lit(0).cast("bigint").alias("links"), (F.col("na") * F.col("nb")).alias("true_links"))
@@ -103,7 +104,12 @@ def threshold_sweep(
     levels = F.explode(F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: F.col("similarity") >= t))
     sums = scored.select("algorithm", "links", "true_links", levels.alias("threshold")).groupBy("algorithm", "threshold").agg(
         F.sum("true_links").alias("tp"), F.sum("links").alias("detected")
-    ).withColumn("true_pairs", truth.true_pairs().scalar())
+    )
+    # a threshold that no pair reaches has a row of its own
+    asked = df.sparkSession.createDataFrame([(a, float(t)) for a in algorithms for t in thresholds], "algorithm string, threshold double").distinct()
+    none = F.lit(0).cast("bigint")
+    sums = asked.join(sums, ["algorithm", "threshold"], "left").withColumns({c: F.coalesce(c, none) for c in ("tp", "detected")})
+    sums = sums.withColumn("true_pairs", truth.true_pairs().scalar())
     rated = sums.select(
         "algorithm", "threshold", "tp", "detected", *quality(F.col("tp"), F.col("detected"), F.col("true_pairs"))
     )

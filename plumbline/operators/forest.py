@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from plumbline.operators.outliers import exact_quantiles, number_of
 from plumbline.session import checkpointed
 
-TREES, SAMPLE, POOL = 100, 256, 4096
+TREES, SAMPLE = 100, 256
 MIN_ROWS = 10  # fixed value: fewer complete rows give no anomalies
 NODES = "tree int, node int, feature int, split double, low int, high int, depth double"
 
@@ -58,6 +58,24 @@ def _grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["tree", "node", "feature", "split", "low", "high", "depth"])
 
 
+def _samples(rows: DataFrame, n: int) -> DataFrame:
+    """(tree, x, h): for each tree the SAMPLE rows of the whole table with the lowest hashes of record and tree.
+
+    Only rows whose hash is among the lowest few per mille are sent; should a tree lack rows, that part is widened.
+    """
+    hashes = lambda t: F.pmod(F.xxhash64("record_id", "x", t), F.lit(1 << 40))
+    share = 4 * SAMPLE / n
+    while True:
+        low = F.lit(int(min(share, 1.0) * (1 << 40)))
+        trees = F.filter(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), hashes(t).alias("h"))), lambda s: s["h"] < low)
+        drawn = rows.select("x", F.explode(trees).alias("s")).select("s.tree", "x", "s.h")
+        order = Window.partitionBy("tree").orderBy("h", "x")
+        chosen = checkpointed(drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE).drop("r"))
+        if share >= 1 or chosen.count() == TREES * SAMPLE:
+            return chosen
+        share *= 8
+
+
 def _scorer(nodes: pd.DataFrame, sample: int) -> Column:
     trees = [g.sort_values("node") for _, g in nodes.groupby("tree")]
     packed = [(g.feature.to_numpy(), g.split.to_numpy(), g.low.to_numpy(), g.high.to_numpy(), g.depth.to_numpy()) for g in trees]
@@ -102,14 +120,12 @@ class ForestRun:
         """(record_id, shown columns, anomaly); empty below the smallest table size."""
         x = F.array(*[F.col(c) for c in self.columns]).alias("x")
         rows = self.complete.select("*", x)
-        pool = rows.select("x", F.xxhash64("record_id", "x").alias("h")).orderBy("h").limit(POOL)  # bounded sample
-        trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-        drawn = pool.select("x", "h", trees).select("tree", "x", F.xxhash64("h", "tree").alias("h"))
-        chosen = drawn.withColumn("r", F.row_number().over(Window.partitionBy("tree").orderBy("h"))).where(F.col("r") <= SAMPLE)
-        nodes = chosen.select("tree", "x", "h").groupBy("tree").applyInPandas(_grow, NODES).toPandas()
-        size = min(SAMPLE, pool.count())
-        if size < MIN_ROWS:
+        n = rows.count()
+        if n < MIN_ROWS:
             return rows.drop("x").withColumn("anomaly", F.lit(0.0)).where(F.lit(False))
+        chosen = _samples(rows, n)
+        nodes = chosen.select("tree", "x", "h").groupBy("tree").applyInPandas(_grow, NODES).toPandas()
+        size = min(SAMPLE, n)
         return checkpointed(rows.withColumn("anomaly", _scorer(nodes, size)(F.col("x"))).drop("x"))
 
     @cached_property

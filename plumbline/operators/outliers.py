@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import is_missing
+from plumbline.functions.text import is_missing, number
 from plumbline.operators.rules import percent_ok
 
 DIRECT_ROWS = 2_000_000
@@ -16,7 +16,7 @@ DIRECT_ROWS = 2_000_000
 def number_of(df: DataFrame, column: str) -> Column:
     c = F.col(column)
     data_type = dict(df.dtypes)[column]
-    return F.when(~is_missing(c, data_type), c.try_cast("double"))
+    return F.when(~is_missing(c, data_type), number(c))
 
 
 def exact_quantiles(

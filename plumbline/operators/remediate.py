@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import strip, strip_accents
-
-INLINE_MAP = 500
+from plumbline.functions.text import number, strip, strip_accents
 
 
 def drop_surplus(df: DataFrame, id_col: str, issues: DataFrame, column: str) -> DataFrame:
@@ -31,13 +29,8 @@ def drop_duplicate_ids(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def map_values(df: DataFrame, column: str, mapping: dict[str, str | None]) -> DataFrame:
-    """Replace exact values (None clears them). Long mappings become a join."""
+    """Replace exact values (None clears them); the mapping is joined, whatever its length."""
     c = F.col(column)
-    if len(mapping) <= INLINE_MAP:
-        out = c
-        for old, new in mapping.items():
-            out = F.when(c == old, F.lit(new)).otherwise(out)
-        return df.withColumn(column, out)
     table = df.sparkSession.createDataFrame(list(mapping.items()), "__old string, __new string")
     joined = df.join(table, c == F.col("__old"), "left")
     return joined.withColumn(column, F.when(F.col("__old").isNotNull(), F.col("__new")).otherwise(c)).select(*df.columns)
@@ -51,8 +44,8 @@ def iso_date(c: Column) -> Column:
 
 
 def null_out_of_range(c: Column, low: float = 0, high: float | None = None) -> Column:
-    number = c.try_cast("double")
-    outside = (number < low) if high is None else ((number < low) | (number > high))
+    value = number(c)
+    outside = (value < low) if high is None else ((value < low) | (value > high))
     return F.when(F.coalesce(outside, F.lit(False)), None).otherwise(c)
 
 

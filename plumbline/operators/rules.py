@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.dates import DEFAULT_FORMATS, moment, parse_date
 from plumbline.functions.reasons import REASONS
-from plumbline.functions.text import is_missing
+from plumbline.functions.text import is_missing, number
 
 ALLOWED_PARAMS = {
     "completeness": set(),
@@ -27,7 +27,7 @@ ALLOWED_PARAMS = {
     "similarity": {"algorithm", "threshold", "normalise", "blocking"},
 }
 DIMENSIONS = list(ALLOWED_PARAMS)
-INLINE_LIST = 1000
+JOINED_LIST = 1000  # longer lists are joined instead of written into the plan; the findings are the same
 
 
 @dataclass(frozen=True)
@@ -73,8 +73,6 @@ def _in_list(value: Column, values) -> Column:
     return value.cast("string").isin([str(v) for v in values])
 
 
-def _number(c: Column) -> Column:
-    return c.try_cast("double")
 
 
 def _outside(value: Column, low, high) -> Column:
@@ -87,12 +85,21 @@ def _span(low, high) -> str:
     return ", ".join([f"min={low}"] * (low is not None) + [f"max={high}"] * (high is not None))
 
 
+def list_reason(rule: Rule) -> str:
+    """Why a value that a list or reference lacks is bad, whatever the length of the list and the way it is joined."""
+    if rule.dimension == "accuracy":
+        return "not in the reference list"
+    values = rule.params.get("allowed_values")
+    if values is None:
+        return "not in the reference table"
+    shown = ", ".join(str(v) for v in values[:10]) + (f" and {len(values) - 10} more" if len(values) > 10 else "")
+    return f"not an allowed value; allowed: {shown}"
+
+
 def _validity(rule: Rule, c: Column) -> tuple[Column, Column] | None:
     values, pattern = rule.params.get("allowed_values"), rule.params.get("pattern")
     if values is not None:
-        shown = ", ".join(str(v) for v in values[:10])
-        shown += f" and {len(values) - 10} more" if len(values) > 10 else ""
-        return ~_in_list(c, values), F.lit(f"not an allowed value; allowed: {shown}")
+        return ~_in_list(c, values), F.lit(list_reason(rule))
     if pattern is not None:
         text = c.cast("string")
         why = REASONS.get(rule.params.get("format"))
@@ -104,18 +111,19 @@ def _validity(rule: Rule, c: Column) -> tuple[Column, Column] | None:
 def _accuracy(rule: Rule, c: Column) -> tuple[Column, Column] | None:
     p = rule.params
     if p.get("reference_values") is not None:
-        return ~_in_list(c, p["reference_values"]), F.lit("not in the reference list")
+        return ~_in_list(c, p["reference_values"]), F.lit(list_reason(rule))
     low, high = p.get("min_value"), p.get("max_value")
     if low is None and high is None:
         return None
-    return _outside(_number(c), low, high), F.lit(f"outside the range ({_span(low, high)})")
+    return _outside(number(c), low, high), F.lit(f"outside the range ({_span(low, high)})")
 
 
 def _precision(rule: Rule, c: Column) -> tuple[Column, Column] | None:
     p = rule.params
     if p.get("decimals") is not None:
-        scaled = _number(c) * float(10 ** p["decimals"])
-        return _number(c).isNull() | ((scaled % 1) != 0), F.lit(f"more than {p['decimals']} decimals")
+        exact = c.try_cast("double")
+        scaled = exact * float(10 ** p["decimals"])
+        return exact.isNull() | ((scaled % 1) != 0), F.lit(f"more than {p['decimals']} decimals")
     low, high = p.get("min_length"), p.get("max_length")
     if low is None and high is None:
         return None
@@ -174,7 +182,7 @@ def reference_values(df: DataFrame, rule: Rule) -> DataFrame | None:
         return p["reference"].select(F.col(name).cast("string").alias("value")).distinct()
     for key in ("reference_values", "allowed_values"):
         values = p.get(key)
-        if values is not None and len(values) > INLINE_LIST:
+        if values is not None and len(values) > JOINED_LIST:
             rows = [(str(v),) for v in set(values)]
             return df.sparkSession.createDataFrame(rows, "value string")
     return None
@@ -254,13 +262,12 @@ def unknown_values(df: DataFrame, rule: Rule, reference: DataFrame) -> DataFrame
 
 def lookup_issues(df: DataFrame, id_col: str, rule: Rule, reference: DataFrame) -> DataFrame:
     bad = unknown_values(df, rule, reference).select("value")
-    why = {"validity": "not an allowed value", "accuracy": "not in the reference list"}
     rows = df.select(F.col(id_col).alias("record_id"), F.col(rule.column).cast("string").alias("value"))
     return rows.join(bad, "value", "left_semi").select(
         "record_id",
         F.lit(rule.column).alias("column"),
         F.lit(rule.dimension).alias("dimension"),
-        F.lit(why.get(rule.dimension, "not in the reference table")).alias("reason"),
+        F.lit(list_reason(rule)).alias("reason"),
         "value",
     )
 

@@ -89,7 +89,11 @@ def scored_pairs(
 
 
 class NearDuplicates:
-    """One near-duplicate run. Pairs and components are computed once and cut from their lineage."""
+    """One near-duplicate run. Pairs and components are computed once and cut from their lineage.
+
+    All pairs above the threshold count. ``blocking`` keeps only pairs of a common block, as a walk through blocks
+    would find them; since large blocks are split, that answer depends on the other rows of the table.
+    """
 
     def __init__(
         self,
@@ -99,7 +103,7 @@ class NearDuplicates:
         algorithm: str = "jaro_winkler",
         threshold: float = 92,
         normalise: bool = True,
-        blocking: bool = True,
+        blocking: bool = False,
     ):
         if algorithm not in ALGORITHMS:
             raise ValueError(f"unknown algorithm {algorithm!r}; known: {ALGORITHMS}")
@@ -324,7 +328,7 @@ def best_pairs_per_block(values: DataFrame, members: DataFrame, k: int, min_cont
 def cap_report(pairs: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
     """What a cap on the pairs would keep: counts, share discarded, containment of the last kept pair, partial flag.
 
-    The engine itself discards no pair; this is the report on an (a, b, containment) table.
+    A run without ``blocking`` discards no pair; this is the report on an (a, b, containment) table.
     """
     total = pairs.agg(F.count(F.lit(1)).alias("generated"))
     kept = pairs.orderBy(F.desc("containment"), "a", "b").limit(cap)

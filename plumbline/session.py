@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per Spark context, for sessions started outside its folder."""
+    context = spark.sparkContext
+    if getattr(context, "_plumbline_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="plumbline-")) / "plumbline.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._plumbline_shipped = True
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iterative step with a reliable checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)

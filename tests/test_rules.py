@@ -134,3 +134,33 @@ def test_stream_rules(spark, tmp_path):
     assert spark.read.parquet(sink).count() == 2
     with pytest.raises(ValueError):
         stream_issues(stream, "id", [Rule.of("x", "uniqueness")])
+
+
+def test_text_nan_is_no_number(spark):
+    from plumbline.operators import outliers, remediate
+
+    df = spark.createDataFrame([(i, str(i)) for i in range(10)] + [(10, "NaN"), (11, "nan"), (12, "50")], "id int, a string")
+    run = Analysis(df, "id", [Rule.of("a", "accuracy", min_value=0, max_value=20)])
+    assert [r.value for r in run.issues().collect()] == ["50"]
+    q = outliers.exact_quantiles(df, ["a"], [0.5, 1.0])["a"]
+    assert q == [5.0, 50.0]
+    kept = {r.id: r.a for r in df.withColumn("a", remediate.null_out_of_range(df["a"], 0, 20)).collect()}
+    assert kept[10] == "NaN" and kept[12] is None
+
+
+def test_long_and_short_lists_give_one_text(spark):
+    df = spark.createDataFrame([(1, "x")], "id int, a string")
+    reasons = {
+        n: Analysis(df, "id", [Rule.of("a", "validity", allowed_values=[f"v{i}" for i in range(n)])]).issues().first().reason for n in (1000, 1001)
+    }
+    assert reasons[1000].replace("990", "991") == reasons[1001]
+
+
+def test_forest_draws_from_the_whole_table(spark):
+    from plumbline.operators.forest import SAMPLE, TREES, _samples
+
+    rows = spark.range(60_000).select(F.col("id").alias("record_id"), F.array(F.col("id").cast("double")).alias("x"))
+    drawn = _samples(rows, 60_000)
+    assert drawn.count() == TREES * SAMPLE
+    assert drawn.select("x").distinct().count() > 15_000
+    assert sorted(map(tuple, _samples(rows.repartition(7), 60_000).select("tree", "h").collect())) == sorted(map(tuple, drawn.select("tree", "h").collect()))

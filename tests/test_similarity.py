@@ -168,3 +168,20 @@ def test_sweep_marks_one_best_row_per_algorithm(spark):
     rows = threshold_sweep(df, "name", "e", ["levenshtein", "qgrams"], [60, 80]).collect()
     assert sum(r.best for r in rows) == len({r.algorithm for r in rows}) == 2
     assert any(r.f1 == 1.0 for r in rows)
+
+
+def test_sweep_has_a_row_for_every_threshold(spark):
+    from plumbline.operators.evaluate import threshold_sweep
+
+    df = spark.createDataFrame([(1, "gamma delta one", 1), (2, "gamma delta two", 1), (3, "unlike", 2)], "id int, name string, entity int")
+    rows = {r.threshold: r for r in threshold_sweep(df, "name", "entity", ["qgrams"], [30, 60, 99]).collect()}
+    assert set(rows) == {30, 60, 99} and rows[99].detected == 0 and rows[99].f1 == 0.0
+
+
+def test_default_run_does_not_depend_on_other_rows(spark):
+    few = [(1, "comercial andina norte"), (2, "comercial andina nort"), (3, "servicios del sur")]
+    more = few + [(100 + i, f"comercial distinta numero {i} {i * 7919 % 1000}") for i in range(300)]
+    found = [
+        {(r.a, r.b) for r in pl.near_duplicates(spark.createDataFrame(rows, "id int, name string"), "id", "name", threshold=97).pairs.collect()} for rows in (few, more)
+    ]
+    assert found[0] <= found[1] and found[0]
