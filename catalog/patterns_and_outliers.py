@@ -93,6 +93,6 @@ def outliers_iqr(d: Data):
 def outliers_iqr_at_scale(d: Data):
     """Exact fences with bounded memory: ranks are found by narrowing value intervals."""
     lineitem = d.table("lineitem")
-    q1, q3 = out.exact_quantiles(lineitem, ["l_extendedprice"], [0.25, 0.75], direct_rows=5000)["l_extendedprice"]
+    q1, q3 = out.exact_quantiles(lineitem, ["l_extendedprice"], [0.25, 0.75], held=5000)["l_extendedprice"]
     limits = out.pinned(lineitem, q1 - 0.3 * (q3 - q1), q3 + 0.3 * (q3 - q1))
     return out.iqr_scores(lineitem, "l_extendedprice", limits)

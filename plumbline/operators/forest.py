@@ -163,11 +163,10 @@ def forest_run(df: DataFrame, id_col: str, target: str, columns: list[str], cont
 
 def feature_flags(df: DataFrame, shown: list[str], anomalies: DataFrame, quantiles: str = "exact") -> DataFrame:
     """(record_id, value): JSON list of field, value and whether it lies outside the 10th to 90th percentile."""
-    points = F.array(F.lit(0.1), F.lit(0.9))
-    both = [
-        F.percentile(number_of(df, c), points) if quantiles == "exact" else F.percentile_approx(number_of(df, c), points, 10000)
-        for c in shown
-    ]
+    from plumbline.operators.profile import quantile_columns
+
+    points = quantile_columns(df, shown, [0.1, 0.9], quantiles)
+    both = [points[c] for c in shown]
     limits = df.agg(F.struct(*[q.alias(c) for q, c in zip(both, shown)]))
     with_limits = anomalies.withColumn("__q", limits.scalar())
     items = []

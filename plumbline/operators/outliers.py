@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import is_missing, number
 from plumbline.operators.rules import percent_ok
 
-DIRECT_ROWS = 2_000_000
+HELD = 1_000_000  # values among which a place is looked up at once; the answer doesn't depend on it
 
 
 def number_of(df: DataFrame, column: str) -> Column:
@@ -19,76 +19,89 @@ def number_of(df: DataFrame, column: str) -> Column:
     return F.when(~is_missing(c, data_type), number(c))
 
 
-def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: list[float], direct_rows: int = DIRECT_ROWS
-) -> dict[str, list[float | None]]:
-    """Exact linear-interpolated quantiles of several columns with bounded memory.
+def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float], held: int = HELD) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles of several columns in a few passes, with bounded memory for any table size.
 
-    ``percentile`` keeps one map entry per distinct value, so it only runs on at most ``direct_rows`` values.
-    Larger columns are narrowed first: an approximate sketch brackets every wanted rank, one aggregate counts
-    the values below and inside all brackets, and brackets that are still large are narrowed again.
+    A sketch of all columns brackets every wanted place, one aggregate counts the values below and inside all brackets,
+    and one takes the exact place among the values inside. Counts decide whether a bracket holds its place; one that
+    doesn't is widened, and one with more than ``held`` values is bracketed again inside. NULL without values.
     """
-    values = df.select(*[number_of(df, c).alias(c) for c in columns])
-    sizes = values.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
-    small = [c for c in columns if sizes[c] <= direct_rows]
-    out: dict[str, list[float | None]] = {}
-    if small:
-        exact = values.agg(*[F.percentile(c, F.array(*map(F.lit, probabilities))).alias(c) for c in small]).first()
-        out.update({c: list(exact[c]) if exact[c] is not None else [None] * len(probabilities) for c in small})
-    for c in columns:
-        if c not in out:
-            out[c] = _narrowed(values.select(F.col(c).alias("v")).where(F.col("v").isNotNull()), sizes[c], probabilities, direct_rows)
+    values = df.select(*[number_of(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    points = [_Point(i, p) for i in range(len(columns)) for p in probabilities]
+    # the first brackets of a column come from one sketch of it
+    whole = [F.percentile_approx(f"v{i}", F.array(*[F.lit(f) for x in points if x.column == i for f in x.fractions()]), 10000) for i in range(len(columns))]
+    start = values.agg(*[F.struct(F.count(f"v{i}"), q).alias(f"s{i}") for i, q in enumerate(whole)]).first()
+    for k, x in enumerate(points):
+        size, ends = start[f"s{x.column}"]
+        at = 2 * (k % len(probabilities))
+        x.bracket(size, ends and ends[at : at + 2])
+    open_ = points
+    while open_:
+        open_ = [x for x in open_ if x.size]
+        if open_:
+            counts = values.agg(
+                *[F.count_if(x.value() < x.low).alias(f"b{k}") for k, x in enumerate(open_)],
+                *[F.count_if((x.value() >= x.low) & (x.value() <= x.high)).alias(f"i{k}") for k, x in enumerate(open_)],
+            ).first()
+            for k, x in enumerate(open_):
+                x.count(counts[f"b{k}"], counts[f"i{k}"])
+        open_ = [x for x in points if not x.settled(held)]
+        if open_:
+            again = values.agg(*[F.percentile_approx(x.inside(), F.array(*map(F.lit, x.fractions())), 10000).alias(f"q{k}") for k, x in enumerate(open_)]).first()
+            for k, x in enumerate(open_):
+                x.bracket(x.size, again[f"q{k}"])
+    found = [x for x in points if x.size and x.low < x.high]
+    exact = values.agg(*[F.percentile(x.inside(), F.lit(x.place())).alias(f"q{k}") for k, x in enumerate(found)]).first() if found else None
+    answer = {id(x): exact[f"q{k}"] for k, x in enumerate(found)}
+    out: dict[str, list[float | None]] = {c: [] for c in columns}
+    for x in points:
+        out[columns[x.column]].append(answer.get(id(x), x.low if x.size else None))
     return out
 
 
-def _narrowed(v: DataFrame, size: int, probabilities: list[float], direct_rows: int) -> list[float]:
-    ranks = sorted({r for p in probabilities for r in (math.floor(p * (size - 1)), math.ceil(p * (size - 1)))})
-    chosen = {r: _value_at(v, size, r, direct_rows) for r in ranks}
-    out = []
-    for p in probabilities:
-        position = p * (size - 1)
-        low, high = chosen[math.floor(position)], chosen[math.ceil(position)]
-        out.append(low + (high - low) * (position - math.floor(position)))
-    return out
+class _Point:
+    """One wanted place of one column, and the values between which it lies."""
+
+    def __init__(self, column: int, probability: float):
+        self.column, self.probability = column, probability
+        self.low, self.high, self.size = -math.inf, math.inf, None
+        self.below, self.within, self.slack, self.stuck = 0, None, 3e-4, False
+
+    def value(self) -> Column:
+        return F.col(f"v{self.column}")
+
+    def inside(self) -> Column:
+        return F.when((self.value() >= self.low) & (self.value() <= self.high), self.value())
+
+    def position(self) -> float:
+        return self.probability * (self.size - 1)
+
+    def place(self) -> float:
+        """The place among the values inside, 0 to 1."""
+        return min(max((self.position() - self.below) / max(self.within - 1, 1), 0.0), 1.0)
+
+    def fractions(self) -> list[float]:
+        at = self.probability if self.within is None else self.place()
+        return [max(at - self.slack, 0.0), min(at + self.slack, 1.0)]
+
+    def bracket(self, size: int, ends: list[float] | None) -> None:
+        self.size, self.before = size, (self.low, self.high, self.below, self.within)
+        if size:
+            at = self.fractions()
+            self.low = ends[0] if at[0] > 0 else self.low
+            self.high = ends[1] if at[1] < 1 else self.high
 
+    def count(self, below: int, within: int) -> None:
+        if below <= math.floor(self.position()) and math.ceil(self.position()) < below + within:
+            shrunk = self.before[3] is None or within < self.before[3]
+            self.below, self.within = below, within
+            self.stuck = not shrunk
+        else:  # the sketch missed the place
+            self.low, self.high, self.below, self.within = self.before
+            self.slack *= 4
 
-def _value_at(v: DataFrame, size: int, rank: int, direct_rows: int) -> float:
-    """The value with ``rank`` smaller-or-equal predecessors, found by shrinking a value interval."""
-    low, high, below, inside = -math.inf, math.inf, 0, size
-    while True:
-        part = v.where((F.col("v") >= low) & (F.col("v") <= high))
-        if inside <= direct_rows:
-            return part.agg(F.percentile("v", F.lit((rank - below) / max(inside - 1, 1)))).first()[0]
-        at, step = (rank - below) / inside, 0.002
-        left, right = part.agg(
-            F.percentile_approx("v", F.array(F.lit(max(at - step, 0.0)), F.lit(min(at + step, 1.0))), 2000)
-        ).first()[0]
-        left = -math.inf if at - step <= 0 else left
-        right = math.inf if at + step >= 1 else right
-        new_low, new_high = max(left, low), min(right, high)
-        under, within, smallest, largest = v.agg(
-            F.count_if(F.col("v") < new_low),
-            F.count_if((F.col("v") >= new_low) & (F.col("v") <= new_high)),
-            F.min(F.when((F.col("v") >= new_low) & (F.col("v") <= new_high), F.col("v"))),
-            F.max(F.when((F.col("v") >= new_low) & (F.col("v") <= new_high), F.col("v"))),
-        ).first()
-        if under <= rank < under + within:
-            if smallest == largest:
-                return smallest
-            if within == inside:  # ties at both ends: drop the end values that cannot hold the rank
-                ends = v.agg(F.count_if(F.col("v") <= smallest), F.count_if(F.col("v") < largest)).first()
-                if rank < ends[0]:
-                    return smallest
-                if rank >= ends[1]:
-                    return largest
-                low, high = math.nextafter(smallest, math.inf), math.nextafter(largest, -math.inf)
-                below, inside = ends[0], ends[1] - ends[0]
-                continue
-            low, high, below, inside = new_low, new_high, under, within
-        elif rank < under:
-            high, inside = math.nextafter(new_low, -math.inf), under - below
-        else:
-            low, inside, below = math.nextafter(new_high, math.inf), below + inside - under - within, under + within
+    def settled(self, held: int) -> bool:
+        return not self.size or self.within is not None and (self.low == self.high or self.within <= held or self.stuck)
 
 
 def fences(df: DataFrame, column: str, factor: float = 1.5, method: str = "exact") -> DataFrame:
@@ -96,15 +109,12 @@ def fences(df: DataFrame, column: str, factor: float = 1.5, method: str = "exact
     v = number_of(df, column)
     spread = F.min(v).alias("lo"), F.max(v).alias("hi")
     if method == "exact":
-        quartiles = F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))
+        quartiles = F.array(*[F.lit(q).cast("double") for q in exact_quantiles(df, [column], [0.25, 0.75])[column]])
     elif method == "approx":
         quartiles = F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.75)), 10000)
-    elif method == "ranked":
-        q1, q3 = exact_quantiles(df, [column], [0.25, 0.75])[column]
-        quartiles = F.array(F.lit(q1).cast("double"), F.lit(q3).cast("double"))
     else:
-        raise ValueError(f"unknown method {method!r}: exact, approx or ranked")
-    stats = df.agg(*spread, quartiles.alias("q") if method != "ranked" else F.first(quartiles).alias("q"))
+        raise ValueError(f"unknown method {method!r}: exact or approx")
+    stats = df.agg(*spread, quartiles.alias("q"))
     q1, q3 = F.col("q")[0], F.col("q")[1]
     varied = F.col("lo") < F.col("hi")
     return stats.select(

@@ -16,7 +16,7 @@ from plumbline.functions.text import (
     strip,
     words,
 )
-from plumbline.operators.outliers import number_of
+from plumbline.operators.outliers import exact_quantiles, number_of
 from plumbline.operators.uniqueness import duplicate_rows, looks_like_id
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
@@ -86,18 +86,22 @@ def _per_column(df: DataFrame, columns: list[str], metrics) -> DataFrame:
     return _unpivot(stats, columns, list(made[0]))
 
 
-def _quantiles(v: Column, points: list[float], method: str) -> Column:
-    levels = F.array(*map(F.lit, points))
-    return F.percentile(v, levels) if method == "exact" else F.percentile_approx(v, levels, 10000)
+def quantile_columns(df: DataFrame, columns: list[str], points: list[float], method: str) -> dict[str, Column]:
+    """Per column an array of quantiles for use in an aggregate: exact ones are literals found before, or a sketch."""
+    if method == "exact":
+        found = exact_quantiles(df, columns, points) if columns else {}
+        return {c: F.array(*[F.lit(q).cast("double") for q in found[c]]) for c in columns}
+    return {c: F.percentile_approx(number_of(df, c), F.array(*map(F.lit, points)), 10000) for c in columns}
 
 
 def column_info(df: DataFrame, quantiles: str = "exact") -> DataFrame:
     """Name, type, rows, missing values; range and 5th/95th percentile of numeric columns."""
     numeric, types = set(numeric_columns(df)), dict(df.dtypes)
+    points = quantile_columns(df, [c for c in df.columns if c in numeric], [0.05, 0.95], quantiles)
 
     def metrics(c: str) -> dict[str, Column]:
         v = number_of(df, c) if c in numeric else F.lit(None).cast("double")
-        q = _quantiles(v, [0.05, 0.95], quantiles) if c in numeric else F.array(*[F.max(v)] * 2)
+        q = points[c] if c in numeric else F.array(*[F.max(v)] * 2)
         return {
             "data_type": F.max(F.lit(types[c])),
             "n_rows": F.count(F.lit(1)),
@@ -181,11 +185,12 @@ def corrected_skewness(v: Column) -> Column:
 def numeric_profile(df: DataFrame, columns: list[str] | None = None, quantiles: str = "exact") -> DataFrame:
     """Location, spread, shape and special shares of all numeric columns from one aggregate."""
     columns = numeric_columns(df) if columns is None else columns
+    points = quantile_columns(df, columns, [0.05, 0.25, 0.5, 0.75, 0.95], quantiles)
 
     def metrics(c: str) -> dict[str, Column]:
         v, n = number_of(df, c), F.count(F.lit(1))
         mean, std = F.avg(v), F.stddev_samp(v)
-        q = _quantiles(v, [0.05, 0.25, 0.5, 0.75, 0.95], quantiles)
+        q = points[c]
         skew = corrected_skewness(v)
         return {
             "min_value": F.min(v),
@@ -212,10 +217,8 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, quantiles:
 def outlier_counts(df: DataFrame, columns: list[str] | None = None, quantiles: str = "exact") -> DataFrame:
     """Values outside the 1.5 quartile fences per numeric column; the fences come from one scalar subquery."""
     columns = numeric_columns(df) if columns is None else columns
-    quartiles = df.agg(
-        F.struct(*[_quantiles(number_of(df, c), [0.25, 0.75], quantiles).alias(f"q{i}") for i, c in enumerate(columns)]).alias("q")
-    )
-    limits = quartiles.scalar()
+    quartiles = quantile_columns(df, columns, [0.25, 0.75], quantiles)
+    limits = df.agg(F.struct(*[quartiles[c].alias(f"q{i}") for i, c in enumerate(columns)]).alias("q")).scalar()
 
     def metrics(c: str) -> dict[str, Column]:
         v, q = number_of(df, c), F.col("__q").getField(f"q{columns.index(c)}")

@@ -107,7 +107,7 @@ def test_exact_quantiles_by_narrowing(spark, shape):
     }[shape]
     df = spark.createDataFrame([(float(v),) for v in data], "x double")
     probabilities = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
-    found = outliers.exact_quantiles(df, ["x"], probabilities, direct_rows=50)["x"]
+    found = outliers.exact_quantiles(df, ["x"], probabilities, held=50)["x"]
     assert np.allclose(found, np.quantile(data, probabilities))
 
 
