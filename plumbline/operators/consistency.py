@@ -122,7 +122,8 @@ def consistency_findings(df: DataFrame, id_col: str, column: str, detector: str
     """Minority rows (record_id, value, reason) of one detector, or of the first that fires on each row."""
     stats = column_patterns(df, column)
     packed = stats.select(F.struct(*stats.columns).alias("s"))
-    rows = _labelled(df, id_col, column).withColumn("s", packed.scalar())
+    # one row of statistics beside every row; a scalar subquery would be planned again at each of its uses
+    rows = _labelled(df, id_col, column).join(F.broadcast(packed))
     reasons = _detectors(F.col("s"))
     reason = reasons[detector] if detector else F.coalesce(*reasons.values())
     return rows.select("record_id", "value", reason.alias("reason")).where(F.col("reason").isNotNull())
