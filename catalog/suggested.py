@@ -144,8 +144,8 @@ SQL = {
 RENAMED = {"joined": "created_date", "credit": "price_text", "segment": "status_name"}
 
 
-def profile(d: Data):
-    return sg.context(d.view("customers"), as_of=AS_OF).withColumn(
+def profile(d: Data, dimensions: list[str] | None = None):
+    return sg.context(d.view("customers"), as_of=AS_OF, dimensions=dimensions).withColumn(
         "column", F.coalesce(*[F.when(F.col("column") == a, F.lit(b)) for a, b in RENAMED.items()], F.col("column"))
     )
 
@@ -174,7 +174,7 @@ def suggestion(dimension: str, body: str):
 
     @query(f"suggest_{dimension}", sql, ("customers",))
     def run(d: Data):
-        found = sg.suggestions(profile(d), as_of=AS_OF).where(F.col("dimension") == dimension)
+        found = sg.suggestions(profile(d, [dimension]), as_of=AS_OF, dimensions=[dimension])
         return found.select("column", "dimension", "confidence", F.to_json("params").alias("params"))
 
 

@@ -63,8 +63,20 @@ DEFAULTS = {
 }
 
 
-def context(df: DataFrame, as_of: str | None = None, quantiles: str = "exact") -> DataFrame:
-    """One row per column: basic facts merged with the profile of its kind, gaps filled with defaults."""
+# Facts that the rules of a dimension look at, besides the basic ones of every column.
+FACTS = {
+    "completeness": {"text"}, "uniqueness": set(), "validity": {"text", "catalogue"}, "consistency": {"text", "catalogue", "date"},
+    "accuracy": {"numeric"}, "validity_period": {"date"}, "precision": {"text"}, "reasonableness": {"numeric"},
+    "similarity": {"text", "catalogue"}, "timeliness": set(),
+}
+
+
+def context(df: DataFrame, as_of: str | None = None, quantiles: str = "exact", dimensions: list[str] | None = None) -> DataFrame:
+    """One row per column: basic facts merged with the profile of its kind, gaps filled with defaults.
+
+    With ``dimensions`` only the facts are computed that these dimensions look at.
+    """
+    wanted = set().union(*[FACTS[d] for d in (FACTS if dimensions is None else dimensions)])
     texts = pf.string_columns(df)
     numbers = pf.numeric_columns(df)
     simple = [n for n, t in df.dtypes if not t.startswith(("array", "map", "struct", "binary"))]
@@ -74,17 +86,18 @@ def context(df: DataFrame, as_of: str | None = None, quantiles: str = "exact") -
     kinds = checkpointed(pf.routes(df, counts))
     info = pf.column_info(df, quantiles).join(pf.distinct_counts(every), "column", "left")
     out = info.join(kinds, "column", "left").withColumn("pct_null", F.col("n_nulls") / F.greatest("n_rows", F.lit(1)) * 100)
-    if numbers:
+    if numbers and "numeric" in wanted:
         shape = pf.numeric_profile(df, numbers, quantiles).select("column", "negative_pct", "skew_label")
         out = out.join(shape, "column", "left").join(pf.outlier_counts(df, numbers, quantiles), "column", "left")
-    if texts:
+    if texts and "text" in wanted:
         text = pf.text_profile(df, texts, counts).select("column", "blank_pct", "length_min", "length_max", "mixed_case")
         text = text.join(pf.format_votes(df, texts, counts), "column", "left")
         text = text.join(pf.name_signals(df, texts, counts), "column", "left")
         out = out.join(_only(text, kinds, "text"), "column", "left")
+    if texts and "catalogue" in wanted:
         out = out.join(_only(_catalogue(df, texts, counts), kinds, "categorical"), "column", "left")
     dates = [*pf.date_columns(df), *texts]
-    if dates:
+    if dates and "date" in wanted:
         dated = pf.date_profile(df, dates, as_of).select("column", "future_pct", "old_pct")
         formats = pf.date_formats(df, dates).groupBy("column").agg(F.count(F.lit(1)).alias("n_formats"))
         out = out.join(_only(dated.join(formats, "column", "left"), kinds, "date"), "column", "left")
@@ -303,12 +316,14 @@ def timeliness_rule() -> Column:
     return F.when(_named(UPDATE_NAMES), Proposal("timeliness").medium("update date", max_age_days=365))
 
 
-def suggestions(profile: DataFrame, as_of: str | None = None) -> DataFrame:
+def suggestions(profile: DataFrame, as_of: str | None = None, dimensions: list[str] | None = None) -> DataFrame:
     """(column, dimension, confidence, reason, params) for every row of a profile table (see ``context``)."""
-    rules = [
-        completeness_rule(), uniqueness_rule(), validity_rule(), consistency_rule(), accuracy_rule(),
-        validity_period_rule(as_of), precision_rule(), reasonableness_rule(), similarity_rule(), timeliness_rule(),
-    ]
+    makers = {
+        "completeness": completeness_rule, "uniqueness": uniqueness_rule, "validity": validity_rule, "consistency": consistency_rule,
+        "accuracy": accuracy_rule, "validity_period": lambda: validity_period_rule(as_of), "precision": precision_rule,
+        "reasonableness": reasonableness_rule, "similarity": similarity_rule, "timeliness": timeliness_rule,
+    }
+    rules = [make() for d, make in makers.items() if dimensions is None or d in dimensions]
     return profile.select("column", F.explode(F.array_compact(F.array(*rules))).alias("s")).select("column", "s.*")
 
 
