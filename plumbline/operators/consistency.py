@@ -120,10 +120,11 @@ def _detectors(s: Column) -> dict[str, Column]:
 
 def consistency_findings(df: DataFrame, id_col: str, column: str, detector: str | None = None) -> DataFrame:
     """Minority rows (record_id, value, reason) of one detector, or of the first that fires on each row."""
+    # one row of statistics, found first and then a literal beside every row
     stats = column_patterns(df, column)
-    packed = stats.select(F.struct(*stats.columns).alias("s"))
-    # one row of statistics beside every row; a scalar subquery would be planned again at each of its uses
-    rows = _labelled(df, id_col, column).join(F.broadcast(packed))
+    found = stats.first()
+    literals = F.struct(*[F.lit(found[f.name]).cast(f.dataType).alias(f.name) for f in stats.schema.fields])
+    rows = _labelled(df, id_col, column).withColumn("s", literals)
     reasons = _detectors(F.col("s"))
     reason = reasons[detector] if detector else F.coalesce(*reasons.values())
     return rows.select("record_id", "value", reason.alias("reason")).where(F.col("reason").isNotNull())
