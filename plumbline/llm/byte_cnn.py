@@ -22,7 +22,7 @@ CHUNK, STRIDE, WIDTH, FILTERS = 1024, 896, 6, 8
 #: The plane of repetition: a run of eight bytes that stood up to 40 bytes before, averaged over the next 64 bytes.
 RUN, LAGS, SPREAD = 8, 40, 64
 #: Chunks scored at once.
-ROWS = 512
+ROWS = 256
 
 
 @dataclass

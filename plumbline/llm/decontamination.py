@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.pretokens import mixed
-from plumbline.llm.words import NON_WORDS, hashed_words
+from plumbline.llm.words import NON_WORDS, hashed_words, row_slices
 
 #: Bytes of benchmark text that go to the tasks at once, words of a shard, words by which suffixes are sorted.
 ITEM_BLOCK, SHARD_WORDS, DEPTH = 8 << 20, 1 << 19, 64
@@ -170,7 +170,7 @@ class Shard:
 
 def shards(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts batches into runs of whole documents of about SHARD_WORDS words: (rows, word hashes, bounds)."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in row_slices(whole, column)):
         hashes, bounds = hashed_words(batch.column(column), NON_WORDS)
         a = 0
         while a < batch.num_rows:

@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from plumbline.llm.components import components
 from plumbline.llm.pretokens import mixed
 from plumbline.llm.shared import kept
-from plumbline.llm.words import BLANKS, distinct_per_text, hashed_words, shingles
+from plumbline.llm.words import BLANKS, distinct_per_text, hashed_words, row_slices, shingles
 
 #: Text bytes behind one block of columns, and entries in one block of a product.
-COLUMN_BLOCK, ROW_BLOCK = 24 << 20, 2 << 20
+COLUMN_BLOCK, ROW_BLOCK = 12 << 20, 2 << 20
 
 BLOCKS = "key int, ids array<long>, sizes binary, counts binary, tokens binary, dfs binary"
 ARROW = pa.schema(
@@ -70,7 +70,7 @@ def incidence(docs: DataFrame, width: int, blocks: int) -> DataFrame:
 
     def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_slices(whole, 1)):
             values, bounds = distinct_per_text(*shingles(*hashed_words(batch.column(1), BLANKS, True), width))
             sizes = np.diff(bounds)
             names = set_names(values, bounds)

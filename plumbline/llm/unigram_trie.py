@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.pretokens import powers_for
-from plumbline.llm.words import BLANKS, hashed_words, utf8, word_spans
+from plumbline.llm.words import BLANKS, hashed_words, row_slices, utf8, word_spans
 
 #: The mark of a word's beginning in piece vocabularies.
 SPACE = "▁"
@@ -195,7 +195,7 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = remembered(model)
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_slices(whole, 1)):
             pretokens, tokens = memory.of(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pretokens.astype(np.int64)), pa.array(tokens)], ["doc_id", "n_pretokens", "n_tokens"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -35,6 +37,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def row_slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about ``limit`` bytes of one string column; a longer text is a run of its own."""
+    _, offsets = utf8(batch.column(column))
+    a = 0
+    while a < batch.num_rows:
+        b = min(max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1), batch.num_rows)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def word_spans(codes: np.ndarray, word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of words; a text boundary also ends a word."""
     n = len(codes)
