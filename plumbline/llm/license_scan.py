@@ -2,8 +2,9 @@
 
 A sparse logistic regression over the presence of one- and two-word n-grams names the licence family of a paragraph, or
 none. It is trained here, on the templates below, on parts of them and on sentences that only sound alike; its unknown
-class is calibrated on the part of these that it isn't trained on. Paragraphs are scored by DataFrame functions: the
-weights are a table of a few thousand rows, joined to the n-grams of each distinct paragraph.
+class is calibrated on the part of these that it isn't trained on. A paragraph is a run of lines with letters or digits; a
+notice is some lines in a row of one, however they are wrapped. Notices are scored by DataFrame functions: the weights are
+a table of a few thousand rows, joined to the n-grams of each distinct notice.
 """
 
 from __future__ import annotations
@@ -98,9 +99,11 @@ LOOKALIKES = [
     "Copyright law is taught in the second year.", "No license is needed to read this.", "The permission slip is confidential.", "This file is free of errors.",
     "Software of the library can be found in the source.", "Use of the file is governed by the office.",
 ]
-#: A paragraph that states a licence has one of these; others are not looked at.
+#: Words that most notices have. What is looked at doesn't depend on them, but on ``signs``.
 ANCHORS = r"licen[cs]|copyright|rights reserved|permission|redistribut|public domain|proprietary|creative commons|\bcc0?\b|\bgnu\b"
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: What begins a line of a comment and is no part of the notice.
+LEADER = r"^\s*(?:(?:[/*#;%!>|\-]+|(?i:rem|dnl)\b)\s*)*"
 UNKNOWN = "unknown"
 
 
@@ -174,27 +177,124 @@ def trained(seed: int = 3, rounds: int = 500, penalty: float = 2e-4) -> Model:
     return Model(families, vocabulary, weights, base, threshold)
 
 
-def _tables(spark: SparkSession, model: Model) -> tuple[DataFrame, DataFrame]:
-    """Weights by n-gram, and the two-word n-grams of templates by family; their sizes are those of the model."""
-    rows = [(g, [float(v) for v in w]) for g, w in zip(model.vocabulary, model.weights)]
-    weights = spark.createDataFrame(rows, "gram string, w array<double>")
-    rows = []
+def _weights(spark: SparkSession, model: Model) -> DataFrame:
+    """Weights by n-gram; their number is that of the model."""
+    return spark.createDataFrame([(g, [float(v) for v in w]) for g, w in zip(model.vocabulary, model.weights)], "gram string, w array<double>")
+
+
+@lru_cache(maxsize=1)
+def template_grams() -> list[tuple[str, list[str]]]:
+    """(family, its distinct two-word n-grams) of every template."""
+    out = []
     for family, templates in TEMPLATES.items():
-        for text in templates:
-            words = words_of(text)
-            rows.append((family, sorted({f"{a} {b}" for a, b in zip(words, words[1:])} or set(words))))
-    return weights, spark.createDataFrame(rows, "family string, grams array<string>")
+        for words in map(words_of, templates):
+            out.append((family, sorted({f"{a} {b}" for a, b in zip(words, words[1:])} or set(words))))
+    return out
+
+
+def signs(similarity: float) -> list[str]:
+    """Words of which a text has one if it has ``similarity`` of the n-grams of a template: the n-grams without them are fewer."""
+    found: set[str] = set()
+    for _, grams in template_grams():
+        words = sorted({w for g in grams for w in g.split()}, key=lambda w: (w not in found, -len(w), w))
+        for word in words:
+            left = sum(not found & set(g.split()) for g in grams)
+            if left == 0 or left / len(grams) < similarity:
+                break
+            found.add(word)
+    return sorted(found)
+
+
+def _signed(text, similarity: float):
+    return F.lower(text).rlike("(?<![a-z0-9])(?:" + "|".join(map(re.escape, signs(similarity))) + ")")
+
+
+def _words(line):
+    return F.regexp_extract_all(F.lower(F.regexp_replace(line, LEADER, "")), F.lit(WORD), F.lit(0))
+
+
+def _pairs(words):
+    """Two-word n-grams; of a single word the word."""
+    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(F.size(words) > 1, pairs).otherwise(words)
+
+
+def _templates():
+    return F.array(*[F.struct(F.lit(f).alias("family"), F.array(*map(F.lit, g)).alias("grams")) for f, g in template_grams()])
+
 
+def _all_grams():
+    return F.array(*map(F.lit, sorted({g for _, grams in template_grams() for g in grams})))
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, line): the paragraphs, counted from 0, that can state a licence. A paragraph ends at a line feed."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph", "line"))
-    return lines.where(F.col("line").rlike("(?i)" + ANCHORS))
+
+def _hits(pairs):
+    """The n-grams of templates among ``pairs``."""
+    return F.array_intersect(pairs, _all_grams())
+
+
+def _parts(hits):
+    """The part of the n-grams of each template that ``hits`` has."""
+    return F.transform(_templates(), lambda t: F.size(F.array_intersect(hits, t["grams"])) / F.size(t["grams"]))
+
+
+def _once(df: DataFrame, **columns) -> DataFrame:
+    """``df`` with columns that are computed once a row, also where lambdas use them: a generator keeps projections apart."""
+    for name, column in columns.items():
+        df = df.select("*", F.explode(F.array(column)).alias(name))
+    return df
+
+
+def paragraphs(docs: DataFrame, similarity: float = 0.6) -> DataFrame:
+    """(doc_id, paragraph, lines): the runs of lines with a letter or digit that have ``similarity`` of the n-grams of a template.
+
+    ``paragraph`` is the number of the first line, from 0. A line ends at a line feed.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(_signed("text", similarity))
+    rows = _once(rows, all=F.split("text", "\n")).select("doc_id", "all")
+    rows = _once(rows, inked=F.transform("all", lambda line: line.rlike(r"[\p{L}\p{N}]")))
+    edge = lambda other: F.filter(F.transform("inked", lambda x, i: F.when(x & ~F.coalesce(F.get("inked", i + other), F.lit(False)), i)), lambda i: i.isNotNull())
+    rows = rows.select("doc_id", "all", F.explode(F.arrays_zip(edge(-1).alias("first"), edge(1).alias("last"))).alias("run"))
+    rows = rows.select("doc_id", F.col("run.first").alias("paragraph"), F.slice("all", F.col("run.first") + 1, F.col("run.last") - F.col("run.first") + 1).alias("lines"))
+    rows = rows.where(_signed(F.array_join("lines", " "), similarity))
+    rows = _once(rows, words=F.flatten(F.transform("lines", _words)))
+    rows = _once(rows, pairs=_pairs(F.col("words")))
+    rows = _once(rows.select("doc_id", "paragraph", "lines", "pairs"), hits=_hits(F.col("pairs"))).where(F.size("hits") > 0)
+    return rows.where(F.exists(_parts(F.col("hits")), lambda p: p >= similarity)).select("doc_id", "paragraph", "lines")
+
+
+def notices(runs: DataFrame, similarity: float) -> DataFrame:
+    """(lines, at, size, line, families, parts): lines in a row of distinct ``lines`` that can be a notice.
+
+    They have ``similarity`` of the n-grams of a template of each of ``families``, and fewer without the first or the last
+    line. A template has at most as many lines as words, so longer ones needn't be looked at. ``parts`` by template.
+    """
+    longest = max(len(words_of(t)) for ts in TEMPLATES.values() for t in ts)
+    rows = _once(runs, split=F.transform("lines", _words))
+    # a first line has, with the word after it, an n-gram of a template; a last line with the word before it
+    after = lambda k: F.slice(F.flatten(F.slice("split", k + 2, longest)), 1, 1)
+    opens = F.transform("split", lambda words, k: F.when(F.arrays_overlap(_pairs(F.concat(words, after(k))), _all_grams()), k))
+    rows = rows.select("lines", "split", F.explode(F.filter(opens, lambda k: k.isNotNull())).alias("at"))
+    rows = rows.select("lines", "at", F.slice("lines", F.col("at") + 1, longest).alias("near"), F.slice("split", F.col("at") + 1, longest).alias("split"))
+    rows = _once(rows.where(_signed(F.array_join("near", " "), similarity)), reach=_hits(_pairs(F.flatten("split"))))
+    rows = rows.where(F.array_max(_parts(F.col("reach"))) >= similarity).drop("reach")
+    rows = rows.select("lines", "at", "near", "split", F.explode(F.sequence(F.lit(1), F.size("near"))).alias("size"))
+    before = F.slice(F.flatten(F.slice("split", F.lit(1), F.col("size") - 1)), F.lit(-1), F.lit(1))
+    before = F.when(F.size(F.flatten(F.slice("split", F.lit(1), F.col("size") - 1))) > 0, before).otherwise(F.array().cast("array<string>"))
+    rows = rows.where(F.arrays_overlap(_pairs(F.concat(before, F.element_at("split", F.col("size")))), _all_grams()))
+    rows = _once(rows, hits=_hits(_pairs(F.flatten(F.slice("split", F.lit(1), F.col("size"))))))
+    rows = _once(rows, parts=_parts(F.col("hits"))).where(F.array_max("parts") >= similarity)
+    rows = _once(rows, fewer=_hits(_pairs(F.flatten(F.slice("split", F.lit(2), F.col("size") - 1)))), shorter=_hits(_pairs(F.flatten(F.slice("split", F.lit(1), F.col("size") - 1)))))
+    rows = _once(rows, later=_parts(F.col("fewer")), sooner=_parts(F.col("shorter")))
+    whole = F.transform(_templates(), lambda t, k: F.when((F.get("parts", k) >= similarity) & (F.get("parts", k) > F.get("later", k)) & (F.get("parts", k) > F.get("sooner", k)), t["family"]))
+    rows = rows.withColumn("families", F.array_distinct(F.filter(whole, lambda f: f.isNotNull()))).where(F.size("families") > 0)
+    chosen = F.slice("near", F.lit(1), F.col("size"))
+    line = F.when(F.col("size") == 1, F.get("near", F.lit(0))).otherwise(F.array_join(F.transform(chosen, lambda x: F.trim(F.regexp_replace(x, LEADER, ""))), " "))
+    return rows.select("lines", "at", "size", line.alias("line"), "families", "parts")
 
 
 def classified(lines: DataFrame, model: Model) -> DataFrame:
     """(line, family, probability) of distinct lines whose family is known."""
-    weights, _ = _tables(lines.sparkSession, model)
+    weights = _weights(lines.sparkSession, model)
     words = F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))
     rows = lines.select("line", words.alias("words"))
     pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b)))
@@ -215,24 +315,31 @@ def classified(lines: DataFrame, model: Model) -> DataFrame:
 
 
 def licenses(docs: DataFrame, similarity: float = 0.6) -> DataFrame:
-    """doc_id, paragraph, family, probability, similarity, line: every paragraph of ``docs`` that states a known licence.
+    """doc_id, paragraph, family, probability, similarity, line: every notice in ``docs`` that states a known licence.
 
-    A prediction is confirmed when the paragraph has at least ``similarity`` of the two-word n-grams of a template of
-    that family; ``similarity`` in the result is the largest such part.
+    A notice is one line or some lines in a row, without a line that has no letter or digit between them, and without
+    the signs of a comment before each; ``paragraph`` is the number of its first line, from 0, and ``line`` the line, or
+    its lines joined by a space. A prediction is confirmed when the notice has at least ``similarity`` (above 0) of the
+    two-word n-grams of a template of that family; ``similarity`` in the result is the largest such part. Of notices of one
+    family that share lines the one with the largest part stays, then the shortest, then the first; one that lies in a
+    longer one with a larger part is a piece of that.
 
     Null and empty texts state none; an empty table gives no rows. A null doc_id stays null, repeated rows are rows of
     their own. Of families with equal probability the last by name is taken. Other columns are ignored. Each distinct
-    paragraph is scored once, so a line that many documents share is one row of the model's join.
+    paragraph is cut and each distinct notice scored once, so what many documents share is one row of the model's join.
     """
     model = trained()
-    lines = paragraphs(docs)
-    known = kept(lines.select("line").distinct(), "license-lines", 4)
-    named = classified(known, model)
-    _, templates = _tables(docs.sparkSession, model)
-    words = F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))
-    pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    rows = named.withColumn("words", words).withColumn("pairs", F.coalesce(pairs, F.col("words")))
-    part = F.size(F.array_intersect("pairs", "grams")) / F.size("grams")
-    rows = rows.join(F.broadcast(templates), "family").groupBy("line", "family", "probability").agg(F.max(part).alias("similarity"))
-    rows = kept(rows.where(F.col("similarity") >= similarity), "license-matches", 8)
-    return lines.join(rows, "line").select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), "line")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = kept(paragraphs(docs, similarity), "license-paragraphs", 4)
+    found = kept(notices(runs.select("lines").repartition(tasks, "lines").distinct(), similarity), "license-notices")
+    rows = found.join(classified(found.select("line").distinct(), model), "line").where(F.array_contains("families", F.col("family")))
+    part = F.array_max(F.transform(_templates(), lambda t, k: F.when(t["family"] == F.col("family"), F.get("parts", k))))
+    rows = rows.select("lines", F.struct((-part).alias("less"), "size", "at", "family", "probability", "line").alias("notice"))
+    rows = _once(rows.groupBy("lines").agg(F.sort_array(F.collect_list("notice")).alias("all")).select("lines", "all"), none=F.filter("all", lambda x: F.lit(False)))
+    shared = lambda a, b: (a["at"] < b["at"] + b["size"]) & (b["at"] < a["at"] + a["size"])
+    inside = lambda a, b: (a["at"] >= b["at"]) & (a["at"] + a["size"] <= b["at"] + b["size"]) & (a["size"] < b["size"]) & (a["less"] > b["less"])
+    beaten = lambda a, b: (a["family"] == b["family"]) & shared(a, b) | inside(a, b)
+    best = F.aggregate("all", F.col("none"), lambda out, x: F.when(F.exists(out, lambda y: beaten(x, y)), out).otherwise(F.concat(out, F.array(x))))
+    rows = kept(rows.select("lines", F.explode(best).alias("notice")), "license-matches", 8)
+    place = (F.col("paragraph") + F.col("notice.at")).cast("long")
+    return runs.join(rows, "lines").select("doc_id", place.alias("paragraph"), "notice.family", F.round("notice.probability", 6).alias("probability"), F.round(-F.col("notice.less"), 6).alias("similarity"), "notice.line")

@@ -67,3 +67,32 @@ def test_nulls_repeats_and_empty(spark):
 def test_plan_is_native(spark):
     plan = license_scan.paragraphs(frame(spark, [(1, "x")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_wrapped_notices_are_joined(spark):
+    import textwrap
+
+    notices = [(f, t) for f, ts in license_scan.TEMPLATES.items() for t in ts]
+    rows, want = [], set()
+    for k, (family, notice) in enumerate(notices):
+        for width, (before, leader, after) in enumerate((("", "", ""), ("/*\n", " * ", "\n */"), ("Some words of prose.\n", "# ", "\nOther words of prose."), ("rem\n", "rem ", "\n"))):
+            wrapped = textwrap.wrap(notice, (70, 40, 25, 12)[width], break_long_words=False, break_on_hyphens=False)
+            rows.append((10 * k + width, before + "\n".join(leader + w for w in wrapped) + after))
+            want.add((10 * k + width, family))
+    got = {(r.doc_id, r.family) for r in license_scan.licenses(frame(spark, rows)).collect()}
+    named = {(10 * k + w, f) for k, (f, n) in enumerate(notices) if n in brute([n]) for w in range(4)}
+    assert len(named) >= 0.95 * len(want) and got >= named
+
+
+def test_wrapped_notices_of_one_paragraph_and_blank_lines(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met"
+    rows = [(1, f"Prose.\n{gpl}\n{bsd}\nProse."), (2, bsd.replace("\n", "\n//\n")), (3, f"{bsd}\n\n{bsd}"), (None, gpl)]
+    got = sorted(((r.doc_id, r.paragraph, r.family, r.similarity) for r in license_scan.licenses(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, 1, "GPL-3.0", 1.0), (1, 4, "BSD", 1.0), (3, 0, "BSD", 1.0), (3, 4, "BSD", 1.0), (None, 0, "GPL-3.0", 1.0)], key=str)
+
+
+def test_signs_leave_too_little_of_every_template():
+    found = set(license_scan.signs(0.6))
+    for _, grams in license_scan.template_grams():
+        assert sum(not found & set(g.split()) for g in grams) / len(grams) < 0.6
