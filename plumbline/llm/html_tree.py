@@ -35,6 +35,11 @@ NOISE_WORDS = frozenset(
     "recommendations share sharing social widget toolbar login signup search masthead contentinfo complementary alert "
     "skip legal copyright".split()
 )
+#: Words after the one that names an element, and words that say what an element has or lacks rather than what it is.
+BOXES = frozenset("list box area bar wrap wrapper container block section links buttons left right top bottom inner outer slot item items form".split())
+RELATIONS = frozenset("has have no not with without hide show js".split())
+#: What a class or id never makes noise.
+WHOLE_TAGS = frozenset("html body main article".split())
 MAIN_TAGS, MAIN_ROLES = frozenset(("article", "main")), frozenset(("main", "article"))
 INLINE_TAGS = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rt rp s samp small "
@@ -70,6 +75,8 @@ class Element:
     path: str
     noise: bool
     main: bool
+    named: bool = False
+    at: int = -1
     children: list[str] = field(default_factory=list)
 
 
@@ -81,32 +88,43 @@ class Block:
     main: bool
 
 
-def _described(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """(label, noise, main) of a start tag."""
-    noise, main, label = tag in NOISE_TAGS, tag in MAIN_TAGS, tag
+def names_noise(name: str) -> bool:
+    """Whether a class or id says that its element is noise: by its head word, so not has-sidebar or social-science."""
+    words = [w.lower() for w in PIECES.split(name) if w]
+    while len(words) > 1 and words[-1] in BOXES:
+        words.pop()
+    return bool(words) and words[-1] in NOISE_WORDS and not RELATIONS & set(words)
+
+
+def _described(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """(label, noise, main, named) of a start tag; ``named``: a class or id says that it is noise."""
+    noise, main, named, label = tag in NOISE_TAGS, tag in MAIN_TAGS, False, tag
     for name, value in NAMED.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id", "role"):
-            words = {w.lower() for w in PIECES.split(value) if w}
-            noise |= bool(words & NOISE_WORDS)
-            main |= name == "role" and value.strip().lower() in MAIN_ROLES
+        if name == "role":
+            noise |= bool({w.lower() for w in PIECES.split(value) if w} & NOISE_WORDS)
+            main |= value.strip().lower() in MAIN_ROLES
+        elif name in ("class", "id"):
+            named |= any(map(names_noise, value.split()))
             if name == "class":
                 label += "." + ".".join(value.split())
         else:
             noise |= name == "hidden" or value.lower() == "true" if name != "style" else bool(HIDDEN_STYLE.search(value))
-    return label, noise and not main, main
+    return label, noise and not main, main, named
 
 
-def parsed(html: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
+def parsed(html: str | None, spared: frozenset[int] = frozenset()) -> tuple[list[Block], list[tuple[str, str]]]:
     """(blocks of text outside noise in page order, (path, layout of its children) of every element outside noise).
 
     White space in a block is one space; character references are decoded. Unclosed and stray tags are tolerated as
-    browsers do: a block element ends an open paragraph, an end tag closes everything inside its element.
+    browsers do: a block element ends an open paragraph, an end tag closes everything inside its element. An element that
+    is noise by its class or id alone isn't if it holds a marked article that isn't; ``spared``: places of such elements.
     """
     blocks: list[Block] = []
     layouts: list[tuple[str, str]] = []
     stack = [Element("", "", False, False)]
     noise = main = 0
+    holders: set[int] = set()
     buffer: list[str] = []
 
     def flush() -> None:
@@ -148,7 +166,11 @@ def parsed(html: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
             elif tag not in INLINE_TAGS:
                 flush()
             continue
-        label, is_noise, is_main = _described(tag, attributes)
+        label, is_noise, is_main, says_noise = _described(tag, attributes)
+        is_named = says_noise and not is_noise and not is_main and tag not in WHOLE_TAGS and found.start() not in spared
+        is_noise |= is_named
+        if noise and is_main and not says_noise and all(e.named for e in stack if e.noise):
+            holders.update(e.at for e in stack if e.noise)
         if tag in RAW_TAGS:
             end = re.compile(f"</{re.escape(tag)}", re.I).search(html, at)
             at = html.find(">", end.end()) + 1 or len(html) if end else len(html)
@@ -168,14 +190,14 @@ def parsed(html: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
             while len(stack) > 1 and (stack[-1].tag == "p" or stack[-1].tag in INLINE_TAGS or ends and stack[-1].tag in ends):
                 pop()
             if tag == "header":  # the heading of an article, or else of the page
-                is_noise |= not main
+                is_noise, is_named = is_noise or not main, is_named and main > 0
         if not noise:
             stack[-1].children.append(label)
         if attributes.rstrip().endswith("/") and tag not in ("p", "div", "article", "section"):
             continue
         parent = stack[-1]
         path = parent.path if parent.path.rpartition("/")[2] == label else f"{parent.path}/{label}"
-        stack.append(Element(tag, path, is_noise, is_main))
+        stack.append(Element(tag, path, is_noise, is_main, is_named, found.start()))
         noise += is_noise
         main += is_main
     if not noise and at < len(html):
@@ -183,7 +205,7 @@ def parsed(html: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
     flush()
     while len(stack) > 1:
         pop()
-    return blocks, layouts
+    return parsed(html, frozenset(holders)) if holders and not spared else (blocks, layouts)
 
 
 def main_text(blocks: list[Block], noisy: frozenset[int]) -> str:

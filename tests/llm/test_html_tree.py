@@ -58,3 +58,13 @@ def test_identical_articles_of_a_host_stay(spark):
     rows = [(k, "http://h.example.com/", "<article><p>all the same</p></article><footer>f</footer>") for k in range(30)]
     found = html_tree.extracted(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert {r.text for r in found.collect()} == {"all the same"}
+
+
+def test_class_words_that_do_not_name_the_element():
+    page = "<article><p>story</p></article>"
+    for start in ("<html class='no-cookies js'><body>", "<body class='single-post has-sidebar'>", "<body class=sidebar>", "<div class='content-with-sidebar'>", "<div id='social-science'>", "<div class='widget'><div id=menu>"):
+        assert text(start + page) == "story", start
+    assert text("<div id='social-science'><p>about</p></div><div class='site-footer'>f</div><div class='comment-list'>c</div>") == "about"
+    assert text("<p>in</p><div class='comments'><article class='comment'>c</article></div>") == "in"
+    assert text("<article class='has-comments'><p>a</p><div class='ad-free'>b</div><div class='sidebar-left'>c</div></article>") == "a\n\nb"
+    assert text("<div hidden><article>no</article></div><p>yes") == "yes"
