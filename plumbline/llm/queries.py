@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import block_ann, byte_cnn, decontamination, html_tree, jaccard_join, license_scan, mixing, preference, records, unigram_trie
+from plumbline.llm import block_ann, byte_cnn, decontamination, html_tree, jaccard_join, license_scan, mixing, preference, records, simhash_pivots, unigram_trie
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -194,3 +194,10 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length-delimited token-id records of all documents, read back from the files."""
     _, index = records.export(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return index.select("doc_id", "start", "n_tokens", "ids_crc32", "file", "at", "size")
+
+
+@query()
+def op12_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of those that differ in at most 4 bits."""
+    rows = simhash_pivots.simhash_components(table(spark, sf_dir, "documents"), width=4, distance=4)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
