@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import block_ann, byte_cnn, decontamination, html_tree, jaccard_join, license_scan, mixing, preference, records, simhash_pivots, unigram_trie
+from plumbline.llm import block_ann, byte_cnn, decontamination, html_tree, jaccard_join, license_scan, mixing, preference, records, simhash_pivots, spelling, unigram_trie
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -201,3 +201,38 @@ def op12_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of those that differ in at most 4 bits."""
     rows = simhash_pivots.simhash_components(table(spark, sf_dir, "documents"), width=4, distance=4)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: crc32 bit by bit, from the lowest bit of every byte; near words by what is left without one code point.
+SPELLING_SQL = f"""
+    WITH RECURSIVE run AS (
+      SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM documents)
+      WHERE length(w) >= 5 GROUP BY ALL),
+    hex AS (SELECT *, hex(encode(doc_id::VARCHAR || ':' || w)) AS x FROM run),
+    bit AS (
+      SELECT doc_id, w, c, list_transform(range(0, 4 * length(x)), lambda i: (('0x' || substr(x, (i // 8 * 2)::INT + 1, 2))::BIGINT >> (i % 8)) & 1) AS b FROM hex),
+    crc AS (
+      SELECT w, c, xor(list_reduce(b, lambda a, v: xor(a >> 1, 3988292384 * (xor(a, v) & 1)), 4294967295::BIGINT), 4294967295) AS h FROM bit),
+    word AS (
+      SELECT word, sum(c)::BIGINT AS n FROM (
+        SELECT c, CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word FROM crc)
+      WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+    del AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT *, unnest(range(1, length(word) + 1))::INT AS i FROM word)),
+    pair AS (
+      SELECT a.word, b.word AS near, b.n AS m FROM del a JOIN del b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+      UNION SELECT a.word, b.word, b.n FROM del a JOIN word b ON a.d = b.word
+      UNION SELECT b.word, a.word, a.n FROM del a JOIN word b ON a.d = b.word),
+    top AS (SELECT word, count(*) AS n_near, max(m) AS m FROM pair GROUP BY word),
+    best AS (SELECT word, n_near, t.m, min(near) AS near FROM top t JOIN pair p USING (word, m) GROUP BY ALL),
+    form AS (
+      SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN near END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n
+      FROM word w LEFT JOIN best USING (word)),
+    chain AS (SELECT word, word AS root FROM form UNION ALL SELECT c.word, f.form FROM chain c JOIN form f ON f.word = c.root WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, root, f.n, f.n_near, f.form_n FROM form f JOIN chain c ON c.word = f.word JOIN form e ON e.word = c.root AND e.form IS NULL
+"""
+
+
+@query(SPELLING_SQL)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Common words of all documents, their neighbours by one edit, and the forms these lead to."""
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"), least_length=5, least_count=3, ratio=2, delete_every=97)
