@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import block_ann, byte_cnn, decontamination, html_tree, jaccard_join, license_scan, mixing, preference, records, simhash_pivots, spelling, unigram_trie
+from plumbline.llm import block_ann, byte_cnn, decontamination, html_tree, jaccard_join, license_scan, mixing, periodic_runs, preference, records, simhash_pivots, spelling, unigram_trie
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -236,3 +236,17 @@ SPELLING_SQL = f"""
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Common words of all documents, their neighbours by one edit, and the forms these lead to."""
     return spelling.spelling_groups(table(spark, sf_dir, "documents"), least_length=5, least_count=3, ratio=2, delete_every=97)
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of the words of all documents, a tenth of which get a planted one, and the texts without repeats."""
+    docs = periodic_runs.planted(table(spark, sf_dir, "documents"))
+    rows = periodic_runs.periodic_runs(docs, exponent=4, least=6).withColumn("top", periodic_runs.strongest(F.col("runs")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    lines = F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "")
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

@@ -15,7 +15,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str, share: int = 1) -> DataFrame:
+def kept(df: DataFrame, name: str, share: int = 1, compression: str = "snappy") -> DataFrame:
     """``df`` written as a table in the shared folder and read again: cuts lineage and is computed once.
 
     ``share``: a table that is small beside its input is written by this part of the usual number of tasks.
@@ -23,7 +23,7 @@ def kept(df: DataFrame, name: str, share: int = 1) -> DataFrame:
     if share > 1:
         df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // share))
     folder = shared_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
