@@ -8,7 +8,8 @@ first ``n - ceil(t n) + 1`` in the order (count, shingle), at a place that still
 sizes ask for. For the pairs that pass, blocks of rows are multiplied and the overlap counted in full.
 
 Pairs inside one component aren't needed: first every row meets one row of each of its columns (a star, linear in the
-column), linked rows become components, and afterwards only pairs across components meet.
+column), linked rows become components, and afterwards only pairs across components meet, in tiles that return links
+which join what they found linked, fewer than they have rows, and never lists of pairs.
 
 Shingles are 64-bit hashes, of which 48 bits travel within a block of columns, and a set is named by the 64-bit hash of
 its shingles; different texts could be confused with a chance of about n squared / 2 ** 65.
@@ -23,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.components import components
+from plumbline.llm.components import components, star_forest
 from plumbline.llm.pretokens import mixed
-from plumbline.llm.shared import kept
+from plumbline.llm.shared import forgotten, kept
 from plumbline.llm.words import BLANKS, distinct_per_text, hashed_words, row_slices, shingles
 
 #: Text bytes behind one block of columns, and entries in one block of a product.
-COLUMN_BLOCK, ROW_BLOCK = 12 << 20, 2 << 20
+COLUMN_BLOCK, ROW_BLOCK = 24 << 20, 2 << 20
+#: Rows (of a few numbers) that are sent to all tasks at most; larger tables are shuffled.
+SENT = 1 << 17
+#: Cells of a product that are counted at once.
+CELLS = 1 << 21
 
 BLOCKS = "key int, ids array<long>, sizes binary, counts binary, tokens binary, dfs binary"
 ARROW = pa.schema(
@@ -118,8 +123,6 @@ def shared_entries(matrix: DataFrame, row_blocks: int) -> DataFrame:
         key = table.column("key")[0].as_py()
         if key < 0:
             return table
-        sets, counts = _ids(table.column("ids")), _joined(table.column("counts"), np.int32)
-        names, sizes = np.repeat(sets, counts), np.repeat(_joined(table.column("sizes"), np.int32), counts)
         raw = _joined(table.column("tokens"), np.uint8).reshape(-1, 6)
         tokens = np.zeros((len(raw), 8), np.uint8)
         tokens[:, :6] = raw
@@ -129,7 +132,8 @@ def shared_entries(matrix: DataFrame, row_blocks: int) -> DataFrame:
         many = np.append(tokens[1:] == tokens[:-1], False)
         many[1:] |= many[:-1].copy()
         order, tokens = order[many], tokens[many]
-        names, sizes = names[order], sizes[order]
+        row = np.repeat(np.arange(len(counts := _joined(table.column("counts"), np.int32)), dtype=np.int32), counts)[order]
+        names, sizes = _ids(table.column("ids"))[row], _joined(table.column("sizes"), np.int32)[row]
         order = np.lexsort((names, tokens))
         tokens, names, sizes = tokens[order], names[order], sizes[order]
         if len(tokens):
@@ -209,6 +213,11 @@ def _room(percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * room >= percent * (n + m))
 
 
+def sent(rows: DataFrame) -> DataFrame:
+    """A stored table marked for broadcast if its counted rows are few, else as it is."""
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
+
 def products(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y, n, m) whose overlap, counted in full, reaches the threshold.
 
@@ -219,8 +228,8 @@ def products(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     if not entries:
         return pairs.select("x", "y")
     turned = pairs.select("x", "y", F.pmod(F.xxhash64("x"), F.lit(-(-int(entries) // ROW_BLOCK))).alias("block"))
-    need = turned.select(F.col("block").alias("tile"), F.explode(F.array("x", "y")).alias("name")).distinct()
-    rows = need.join(sets.select("name", "n", "tokens"), "name")
+    need = kept(turned.select(F.col("block").alias("tile"), F.explode(F.array("x", "y")).alias("name")).distinct(), "needed", 4)
+    rows = sent(need).join(sets.select("name", "n", "tokens"), "name")
 
     def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
         names = right.column("name").to_numpy()
@@ -247,15 +256,17 @@ def products(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return turned.groupBy("block").cogroup(rows.groupBy("tile")).applyInArrow(multiply, "x long, y long")
 
 
-def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
-    """The sparse product of two blocks of the incidence matrix: common entries of every row with every column."""
+def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """The sparse product of two blocks of the incidence matrix: common entries of every row with every column.
+
+    Comes in bands of columns, each with its first column, of ``CELLS`` cells and entries or so.
+    """
     tokens = np.concatenate(rows)
     owner = np.repeat(np.arange(len(rows)), [len(t) for t in rows])
     order = np.argsort(tokens, kind="stable")
     owner = owner[order]
     known, first, count = np.unique(tokens[order], return_index=True, return_counts=True)
-    out = np.zeros((len(rows), len(columns)), np.int64)
-    step = max(1, (1 << 21) // max(1, len(tokens)))
+    step = max(1, CELLS // max(1, len(tokens)))
     for k in range(0, len(columns), step):
         part = columns[k : k + step]
         flat, column = np.concatenate(part), np.repeat(np.arange(len(part)), [len(t) for t in part])
@@ -265,16 +276,16 @@ def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
         n = count[at]
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         cell = owner[np.repeat(first[at], n) + inner] * len(part) + np.repeat(column, n)
-        out[:, k : k + step] = np.bincount(cell, minlength=len(rows) * len(part)).reshape(len(rows), -1)
-    return out
+        yield k, np.bincount(cell, minlength=len(rows) * len(part)).reshape(len(rows), -1)
 
 
 def across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (x, y) between components: for each row one to every component in which some row of its columns is linked.
+    """Links (x, y) between components, each named by its smallest row, that join all components with linked rows.
 
     In a column the rows outside its largest component meet all its rows. Columns with the same largest component go
     together: its rows and those outside are cut into blocks by their entries, and the blocks are multiplied. Pairs are
-    never listed, so a large component costs its rows times the few outside it, in tiles of bounded size.
+    never listed, so a large component costs its rows times the few outside it, in tiles of bounded size; a task returns fewer
+    links than it has components.
     """
     sizes = rows.groupBy("token", "component").count().groupBy("token")
     largest = sizes.agg(F.max(F.struct("count", "component")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -282,7 +293,7 @@ def across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members = kept(rows.join(largest, "token").select("main", "name", "n", "component").distinct(), "members", 4)
     outside = F.col("component") != F.col("main")
     cuts = members.groupBy("main").agg(F.sum(F.when(outside, F.col("n"))).alias("x"), F.sum("n").alias("y"))
-    parts = [F.ceil(F.col(c) / F.lit(limit)).cast("int").alias(f"{c}s") for c, limit in (("x", ROW_BLOCK // 16), ("y", ROW_BLOCK // 4))]
+    parts = [F.ceil(F.col(c) / F.lit(limit)).cast("int").alias(f"{c}s") for c, limit in (("x", ROW_BLOCK // 8), ("y", ROW_BLOCK // 2))]
     members = members.join(kept(cuts.select("main", *parts), "cuts", 8), "main")
     here = lambda count: F.pmod(F.xxhash64("name"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
@@ -290,26 +301,26 @@ def across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     y = members.select("main", "name", "component", every("xs").alias("xb"), here("ys").alias("yb"))
     tiles = kept(x.withColumn("side", F.lit(0)).unionByName(y.withColumn("side", F.lit(1))), "tiles", 4)
     groups = max(1, tiles.count() // 1024)
-    tiles = tiles.join(sets.select("name", "n", "tokens"), "name")
+    tiles = sent(tiles).join(sets.select("name", "n", "tokens"), "name")
     tiles = tiles.withColumn("tile", F.xxhash64("main", "xb", "yb")).withColumn("group", F.pmod("tile", F.lit(groups)))
 
     def multiply(table: pa.Table) -> pa.Table:
         tile, side, names, component, n = (table.column(c).to_numpy() for c in ("tile", "side", "name", "component", "n"))
         tokens = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
         order = np.lexsort((side, tile))
-        found: list[np.ndarray] = []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for part in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
             own, other = part[side[part] == 0], part[side[part] == 1]
             if not len(own) or not len(other):
                 continue
-            common = overlaps([tokens[k] for k in own], [tokens[k] for k in other])
-            size = n[own].astype(np.int64)[:, None] + n[other].astype(np.int64)[None, :]
-            linked = ((100 + percent) * common >= percent * size) & (component[own][:, None] != component[other][None, :])
-            i, j = np.nonzero(linked)
-            _, one = np.unique(np.column_stack([i, component[other[j]]]), axis=0, return_index=True)
-            found.append(np.column_stack([names[own[i[one]]], names[other[j[one]]]]))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"x": pa.array(pairs[:, 0], pa.int64()), "y": pa.array(pairs[:, 1], pa.int64())})
+            for k, common in overlaps([tokens[k] for k in own], [tokens[k] for k in other]):
+                band = other[k : k + common.shape[1]]
+                size = n[own].astype(np.int64)[:, None] + n[band].astype(np.int64)[None, :]
+                linked = ((100 + percent) * common >= percent * size) & (component[own][:, None] != component[band][None, :])
+                i, j = np.nonzero(linked)
+                found.append(star_forest(component[own[i]], component[band[j]]))
+        x, y = star_forest(*(np.concatenate(ends) for ends in zip(*found)))
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
 
     return tiles.groupBy("group").applyInArrow(multiply, "x long, y long")
 
@@ -335,6 +346,7 @@ def linked_sets(sets: DataFrame, percent: int, stars: int) -> DataFrame:
         links = found if links is None else links.unionByName(found)
         links = kept(links, "linked", 8)
         named = components(links)
+    forgotten(first)
     return named
 
 
@@ -345,7 +357,6 @@ def _document_rows(docs: DataFrame, width: int, percent: int, stars: int) -> Dat
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // COLUMN_BLOCK))
     shared = kept(shared_entries(incidence(docs, width, blocks), blocks), "shared-entries")
     sets = kept(candidate_sets(shared, percent), "candidate-sets")
-    named = linked_sets(sets, percent, stars)
 
     def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,6 +366,9 @@ def _document_rows(docs: DataFrame, width: int, percent: int, stars: int) -> Dat
 
     rows = shared.where("key < 0").select("ids", "sizes", "counts").mapInArrow(unpack, "ref long, n_shingles long, name long")
     rows = kept(rows, "document-sets")
+    forgotten(shared)
+    named = linked_sets(sets, percent, stars)
+    forgotten(sets)
     # the sets are told their component first: a set that many documents have is one row here
     known = rows.where("n_shingles > 0").select("name").distinct().join(named.withColumnRenamed("node", "name"), "name", "left")
     known = kept(known.withColumn("component", F.coalesce("component", "name")), "set-components", 8)
@@ -383,7 +397,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, stars
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 75, stars: int = 1) -> DataFrame:
     """One row of ``docs``, all columns, for each component: the one with the smallest doc_id (null last).
 
-    Texts without words are kept, each doc_id once. Rows that agree in doc_id and text are one.
+    Texts without words are kept, each doc_id once. Rows that agree in doc_id and text
+    are one, the least by its other columns (as JSON).
     """
     row_key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit("")))
     refs = docs.select(row_key.alias("ref"), F.col("doc_id").cast("long").alias("id"), "text")
@@ -394,6 +409,7 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 75, stars: int
     linked = rows.where("n_shingles > 0").select("ref", "component").distinct()
     stay = linked.join(ids, "ref").groupBy("component").agg(first.alias("first")).select(F.col("first.ref").alias("_ref"))
     stay = kept(stay.unionByName(rows.where("n_shingles = 0").select(F.col("ref").alias("_ref")).distinct()), "stay", 4)
-    packed = docs.select(F.struct(*docs.columns).alias("row"), row_key.alias("_ref"))
-    packed = packed.join(stay, "_ref", "left_semi").groupBy("_ref").agg(F.first("row").alias("row"))
+    rest = F.to_json(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")), F.lit(1).alias("_one")), {"ignoreNullFields": "false"})
+    packed = docs.select(F.struct(*docs.columns).alias("row"), row_key.alias("_ref"), F.struct(rest, F.col("text").isNull()).alias("_rest"))
+    packed = packed.join(stay, "_ref", "left_semi").groupBy("_ref").agg(F.min_by("row", "_rest").alias("row"))
     return packed.select("row.*")

@@ -31,3 +31,9 @@ def stale(spark: SparkSession, folder: str) -> None:
     """Delete a folder made by ``shared_folder`` once no plan reads it any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forgotten(table: DataFrame) -> None:
+    """Delete the files of a table made by ``kept``, once no plan reads it any more."""
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        stale(table.sparkSession, folder)

@@ -93,6 +93,7 @@ def test_one_row_of_each_component_stays(spark):
             if doc_id == (min(ids) if ids else None):
                 want.add((doc_id, text))
     # of rows that share the smallest doc_id but not the text one stays
+    assert sum(t == rows[4][1] and d == 4 for d, t in got) <= 1
     assert len({t for _, t in got}) == len(got) or all(not (t or "").strip() for _, t in got if [x for _, x in got].count(t) > 1)
     assert set(got) <= want and {d for d, _ in got} == {d for d, _ in want}
 
@@ -107,4 +108,26 @@ def test_block_product(monkeypatch):
     rng = np.random.default_rng(1)
     rows, columns = ([np.unique(rng.integers(0, 50, rng.integers(1, 30))).astype(np.uint64) for _ in range(n)] for n in (7, 9))
     want = [[len(set(a) & set(b)) for b in columns] for a in rows]
-    assert jaccard_join.overlaps(rows, columns).tolist() == want
+    monkeypatch.setattr(jaccard_join, "CELLS", 150)
+    bands = list(jaccard_join.overlaps(rows, columns))
+    assert [k for k, _ in bands] == sorted({k for k, _ in bands}) and len(bands) > 1
+    assert np.concatenate([part for _, part in bands], axis=1).tolist() == want
+
+
+@pytest.mark.parametrize("stars", [0, 1])
+def test_a_group_of_near_copies_gives_few_links(spark, monkeypatch, stars):
+    """400 edited copies of one text: links stay linear in the rows however little the star joins."""
+    rng, counted = random.Random(8), []
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(400):
+        copy = list(base)
+        for _ in range(rng.randint(1, 5)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 9999)}"
+        rows.append((k, " ".join(copy)))
+    real = jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda links: counted.append(links.count()) or real(links))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in jaccard_join.jaccard_components(docs, stars=stars).collect()]
+    assert sorted(got) == sorted(brute(rows))
+    assert counted and max(counted) <= 4 * len(rows)
