@@ -12,6 +12,7 @@ from plumbline.operators import history as hi
 from plumbline.operators import remediate as rm
 from plumbline.operators import report
 from plumbline.operators.consistency import consistency_issues
+from plumbline.operators.uniqueness import uniqueness_issues
 from plumbline.plans.analysis import Analysis
 
 
@@ -31,12 +32,20 @@ def fix_drop_surplus(d: Data):
     "fix_drop_duplicate_ids",
     """SELECT id, name, brand, size, price FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN id IS NULL THEN 1 ELSE 0 END
       + CASE WHEN name IS NULL THEN 1 ELSE 0 END + CASE WHEN brand IS NULL THEN 1 ELSE 0 END + CASE WHEN size IS NULL THEN 1 ELSE 0 END,
-      name NULLS FIRST, brand NULLS FIRST, size NULLS FIRST, price) AS rn FROM parts_d) WHERE rn = 1""",
+      name NULLS FIRST, brand NULLS FIRST, size NULLS FIRST, price) AS rn, count(*) OVER (PARTITION BY id) AS n FROM parts_d)
+    WHERE rn = 1 AND n > CASE WHEN n > 1 THEN n - 1 ELSE 0 END + CASE WHEN id % 150 = 1 THEN 1 ELSE 0 END""",
     ("parts_d",),
 )
 def fix_drop_duplicate_ids(d: Data):
-    """One row per id, the one with the fewest missing fields."""
-    return rm.drop_duplicate_ids(d.view("parts_d"), "id")
+    """One row per id, from the reported rows to keep; an id whose rows were all marked as not to keep goes."""
+    parts = d.view("parts_d")
+    issues = uniqueness_issues(parts, "id", "id")
+    marked = parts.where("id % 150 = 1").select("id").distinct()
+    by_hand = marked.select(
+        F.col("id").alias("record_id"), F.lit("id").alias("column"), F.lit("uniqueness").alias("dimension"),
+        F.lit("marked in the report").alias("reason"), F.col("id").cast("string").alias("value"), F.lit(False).alias("is_principal"),
+    )
+    return rm.drop_duplicate_ids(parts, "id", issues.unionByName(by_hand))
 
 
 SEGMENTS = {"automobile": "AUTOMOBILE", "building": "BUILDING", "furniture": "FURNITURE", "machinery": "MACHINERY",

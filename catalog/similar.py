@@ -175,17 +175,25 @@ def sim_trigram_containment(d: Data):
     return found.select("a", "b", F.round("containment", 4).alias("containment"))
 
 
-@query(
-    "sim_topk_per_block",
-    f"""WITH {RAWS}, {BLOCKS}, {PADDED_SETS}, {CONTAINED}, r AS (SELECT m.block, row_number() OVER (PARTITION BY m.block ORDER BY containment DESC, a, b) AS rank,
-      a, b, containment FROM c JOIN members m ON m.v = a JOIN members o ON o.v = b AND o.block = m.block)
-    SELECT block, rank, a, b, round(containment, 4) AS containment FROM r WHERE rank <= 3""",
-    VIEW,
-)
+#: Every pair of every block with its trigram measures, ranked; the best of the blocks; the best of those.
+RANKED = f"""pe AS MATERIALIZED (SELECT v, unnest(g) AS t, len(g) AS size FROM (SELECT v, {PADDED} AS g FROM nodes)),
+  common AS MATERIALIZED (SELECT x.v AS a, y.v AS b, count(*) / (any_value(x.size) + any_value(y.size) - count(*)) AS jaccard,
+    count(*) / least(any_value(x.size), any_value(y.size)) AS containment FROM pe x JOIN pe y ON x.t = y.t AND x.v < y.v GROUP BY 1, 2),
+  visits AS MATERIALIZED (SELECT m.block, m.v AS a, o.v AS b, coalesce(containment, 0.0) AS containment, coalesce(jaccard, 0.0) AS jaccard
+    FROM members m JOIN members o ON o.block = m.block AND m.v < o.v LEFT JOIN common c ON c.a = m.v AND c.b = o.v),
+  ranks AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY block ORDER BY containment DESC, a, b) AS rank FROM visits)"""
+
+
+def stream_sql(per_block: int, cap: int) -> str:
+    return f"""{RANKED}, stream AS MATERIALIZED (SELECT DISTINCT a, b, containment, jaccard FROM ranks WHERE rank <= {per_block}),
+  chosen AS MATERIALIZED (SELECT a, b, containment FROM stream ORDER BY containment DESC, a, b LIMIT {cap})"""
+
+
+@query("sim_topk_per_block", f"WITH {RAWS}, {BLOCKS}, {RANKED} SELECT block, rank, a, b, round(containment, 4) AS containment FROM ranks WHERE rank <= 3", VIEW)
 def sim_topk_per_block(d: Data):
-    """Three best pairs of every block by trigram containment."""
+    """Three best pairs of every block by trigram containment, of all its pairs."""
     base = names(d)
-    top = pl.best_pairs_per_block(base, val.split_blocks(base).select("v", "block"), 3, 0.65)
+    top = pl.ranked_in_blocks(base, val.split_blocks(base).select("v", "block"), 3)
     return top.select("block", F.col("rank").cast("bigint").alias("rank"), "a", "b", F.round("containment", 4).alias("containment"))
 
 
@@ -199,27 +207,26 @@ def sim_topk_jaccard(d: Data):
     return pl.best_pairs(names(d), 50).select("a", "b", F.round("jaccard", 4).alias("jaccard"))
 
 
-@query(
-    "sim_global_cap",
-    f"""WITH {RAWS}, {PADDED_SETS}, {CONTAINED}, r AS (SELECT containment, row_number() OVER (ORDER BY containment DESC, a, b) AS k FROM c)
-    SELECT count(*) AS generated, least(count(*), 300) AS evaluated,
-    CASE WHEN count(*) > 0 THEN round((count(*) - least(count(*), 300)) / count(*) * 100.0, 1) ELSE 0.0 END AS discarded_pct,
-    CASE WHEN count(*) > 300 THEN round(min(CASE WHEN k <= 300 THEN containment END), 4) ELSE 0.0 END AS marginal_containment,
-    count(*) > 300 AND min(CASE WHEN k <= 300 THEN containment END) >= 0.65 AS partial FROM r""",
-    VIEW,
-)
+CAP, PER_BLOCK = 300, 20
+CAP_REPORT = """report AS (SELECT (SELECT count(*) FROM visits) AS generated, (SELECT count(*) FROM stream) AS ranked, count(*) AS evaluated,
+    min(containment) AS margin FROM chosen),
+  capped AS (SELECT generated, ranked, evaluated, CASE WHEN generated > 0 THEN round((generated - evaluated) / generated * 100.0, 1) ELSE 0.0 END AS discarded_pct,
+    CASE WHEN ranked > evaluated THEN round(margin, 4) ELSE 0.0 END AS marginal_containment, ranked > evaluated AND margin >= 0.65 AS partial FROM report)"""
+
+
+@query("sim_global_cap", f"WITH {RAWS}, {BLOCKS}, {stream_sql(PER_BLOCK, CAP)}, {CAP_REPORT} SELECT * FROM capped", VIEW)
 def sim_global_cap(d: Data):
-    """Report on what a cap of 300 pairs would discard."""
-    return pl.cap_report(cand.trigram_pairs(names(d), 0.65, "containment"), 300)
+    """What a run leaves out that compares only the 300 best of the 20 best pairs of every block."""
+    return run_of(d, cap=CAP, per_block=PER_BLOCK).report
 
 
-def join_query(algorithm: str, threshold: float, oracle: str | None = None, blocked: bool = False):
-    """Register all pairs of one algorithm above a threshold, of a common block where ``blocked``."""
+def join_query(algorithm: str, threshold: float, oracle: str | None = None):
+    """Register all pairs of one algorithm above a threshold."""
 
     @query(f"sim_join_{algorithm}", oracle, VIEW if oracle else ())
     def run(d: Data):
         base = names(d)
-        found = pl.scored_pairs(base.select("v"), algorithm, threshold, val.with_blocks(base) if blocked else None)
+        found = pl.scored_pairs(base.select("v"), algorithm, threshold)
         return found.select("a", "b", F.round("similarity", 4).alias("similarity"))
 
 
@@ -228,13 +235,8 @@ def plain_join(expression: str, threshold: float, extra: str = "") -> str:
       FROM nodes x JOIN nodes y ON x.v < y.v {extra}) WHERE s >= {threshold}"""
 
 
-def blocked_join(expression: str, threshold: float) -> str:
-    return f"""WITH {RAWS}, {BLOCKS}, near AS (SELECT DISTINCT m.v AS a, o.v AS b FROM members m JOIN members o ON m.block = o.block AND m.v < o.v)
-      SELECT a, b, round(s, 4) AS similarity FROM (SELECT a, b, {expression} AS s FROM near) WHERE s >= {threshold}"""
-
-
-join_query("jaro", 85, blocked_join("jaro_similarity(a, b) * 100", 85), blocked=True)
-join_query("jaro_winkler", 88, blocked_join("jaro_winkler_similarity(a, b) * 100", 88), blocked=True)
+join_query("jaro", 85, plain_join("jaro_similarity(x.v, y.v) * 100", 85))
+join_query("jaro_winkler", 88, plain_join("jaro_winkler_similarity(x.v, y.v) * 100", 88))
 join_query(
     "levenshtein", 80,
     plain_join("(1 - levenshtein(x.v, y.v) / greatest(length(x.v), length(y.v))) * 100", 80,
@@ -383,6 +385,30 @@ def sim_score(d: Data):
     )
 
 
+#: The run of RUN_SQL on the pairs that a cap leaves.
+CAPPED_RUN = f"""{RAWS}, {BLOCKS}, {QGRAM_SETS}, {qgram_sql(80).replace('pairs AS MATERIALIZED', 'every AS MATERIALIZED')}, {stream_sql(PER_BLOCK, CAP)}, {CAP_REPORT},
+  pairs AS MATERIALIZED (SELECT a, b, similarity FROM every JOIN chosen USING (a, b))"""
+
+
+@query(
+    "sim_score_capped",
+    f"""{STATS.replace(RUN_SQL, CAPPED_RUN)}, k AS (SELECT (SELECT count(*) FROM companies WHERE NOT {PLACEHOLDER}) AS evaluated,
+      cast(coalesce(sum(CASE WHEN NOT (members >= 3 AND density < 0.6) THEN members - 1 END), 0) AS bigint) AS surplus,
+      count(CASE WHEN members >= 3 AND density < 0.6 THEN 1 END) AS dispersed_groups,
+      cast(coalesce(sum(CASE WHEN members >= 3 AND density < 0.6 THEN members END), 0) AS bigint) AS dispersed_records FROM stats)
+    SELECT k.evaluated, surplus, dispersed_groups, partial, discarded_pct, round(least(round((1 - surplus / k.evaluated) * 100, 1),
+        CASE WHEN dispersed_groups > 0 THEN greatest(50.0, 100 - dispersed_records / k.evaluated * 100) ELSE 100.0 END,
+        CASE WHEN partial THEN greatest(50.0, 100 - discarded_pct) ELSE 100.0 END), 1) AS score,
+      CASE WHEN partial THEN 'unreliable' WHEN dispersed_groups = 0 THEN 'reliable' WHEN dispersed_records / k.evaluated >= 0.2 THEN 'unreliable' ELSE 'partial' END AS reliability
+    FROM k, capped""",
+    VIEW,
+)
+def sim_score_capped(d: Data):
+    """Score and reliability of a run under a cap that leaves out promising pairs."""
+    meta = run_of(d, cap=CAP, per_block=PER_BLOCK).meta()
+    return meta.select("evaluated", "surplus", "dispersed_groups", "partial", "discarded_pct", "score", "reliability")
+
+
 RUN_JW = f"""{RAWS}, pairs AS MATERIALIZED (SELECT a, b, s AS similarity FROM (SELECT x.v AS a, y.v AS b,
   jaro_winkler_similarity(x.v, y.v) * 100 AS s FROM nodes x JOIN nodes y ON x.v < y.v) WHERE s >= 92)"""
 
@@ -404,10 +430,10 @@ def sim_default_run(d: Data):
 
 @query("report_similarity_detail")
 def report_similarity_detail(d: Data):
-    """Counters and warning of a blocked affine-gap run."""
+    """Counters and warning of an affine-gap run."""
     from plumbline.operators.report import similarity_detail
 
-    return similarity_detail(pl.near_duplicates(d.view("companies"), "id", "name", algorithm="affine_gap", threshold=90, blocking=True).meta())
+    return similarity_detail(pl.near_duplicates(d.view("companies"), "id", "name", algorithm="affine_gap", threshold=90).meta())
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import grams, normalise, words
+from plumbline.functions.text import normalise, padded_trigrams, words
 from plumbline.operators.similarity import candidates as cand
 from plumbline.operators.similarity import pipeline as pl
 from plumbline.operators.similarity import values as val
@@ -119,89 +119,136 @@ def threshold_sweep(
     return rated.withColumn("best", F.row_number().over(order) == 1)
 
 
-def value_links(df: DataFrame, column: str, entity: str) -> DataFrame:
-    """(a, b): every distinct normal form with the first one of its entity, a < b."""
+def value_entities(df: DataFrame, column: str, entity: str) -> DataFrame:
+    """(entity, v): the distinct normal forms of every entity."""
     v = normalise(F.col(column).cast("string"))
     rows = df.where(~val.is_placeholder(F.col(column).cast("string"))).select(F.col(entity).alias("entity"), v.alias("v"))
-    rows = rows.where(F.col("v") != "").distinct()
+    return rows.where(F.col("v") != "").distinct()
+
+
+def value_links(df: DataFrame, column: str, entity: str) -> DataFrame:
+    """(a, b): every distinct normal form with the first one of its entity, a < b."""
+    rows = value_entities(df, column, entity)
     first = rows.groupBy("entity").agg(F.min("v").alias("a"))
     return rows.join(first, "entity").where(F.col("v") != F.col("a")).select("a", F.col("v").alias("b")).distinct()
 
 
-def strategies(links: DataFrame, values: DataFrame, token_limit: int = 200) -> DataFrame:
-    """Which simple blocking strategy proposes a link: same three-letter prefix, a shared rare enough word, length ratio."""
+def judged(pairs: DataFrame, entities: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with ``true``: both values are forms of one entity (null entities link nothing)."""
+    left = entities.select(F.col("v").alias("a"), "entity")
+    right = entities.select(F.col("v").alias("b"), "entity")
+    hits = pairs.select("a", "b").join(left, "a").join(right, ["b", "entity"]).select("a", "b").distinct()
+    return pairs.join(hits.withColumn("true", F.lit(True)), ["a", "b"], "left").withColumn("true", F.coalesce("true", F.lit(False)))
+
+
+def usable_words(values: DataFrame, token_limit: int) -> DataFrame:
+    """(v, t): words of three letters or more that at most ``token_limit`` values have."""
     tokens = values.select("v", F.explode(F.array_distinct(words(F.col("v")))).alias("t")).where(F.char_length("t") >= 3)
-    usable = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= token_limit).select("t")
-    pair_tokens = links.select("a", "b", F.explode(F.array_intersect(words(F.col("a")), words(F.col("b")))).alias("t"))
-    shared = pair_tokens.join(usable, "t", "left_semi").select("a", "b").distinct().withColumn("token", F.lit(True))
-    ratio = F.least(F.char_length("a"), F.char_length("b")) / F.greatest(F.char_length("a"), F.char_length("b"))
-    return links.join(shared, ["a", "b"], "left").select(
-        "a", "b",
-        (F.substring("a", 1, 3) == F.substring("b", 1, 3)).alias("prefix"),
-        F.coalesce("token", F.lit(False)).alias("token"),
-        (ratio >= 0.25).alias("length"),
-    )
+    rare = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= token_limit).select("t")
+    return tokens.join(rare, "t")
 
 
-def blocking_coverage(links: DataFrame, values: DataFrame, token_limit: int = 200) -> DataFrame:
-    """Per strategy: comparisons it would propose (from block sizes) and true links it covers."""
-    flags = strategies(links, values, token_limit)
-    covered = flags.agg(
-        *[F.count_if(c).alias(c) for c in ("prefix", "token", "length")],
-        F.count_if(F.col("prefix") | F.col("token") | F.col("length")).alias("union"),
-        F.count(F.lit(1)).alias("links"),
-    )
-    prefixes = values.groupBy(F.substring("v", 1, 3).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    tokens = values.select(F.explode(F.array_distinct(words(F.col("v")))).alias("t")).where(F.char_length("t") >= 3)
-    blocks = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= token_limit)
-    lengths = values.select("v", F.lit("all").alias("block"), F.lit(1).cast("bigint").alias("spellings"))
-    proposed = F.coalesce(F.sum(pairs_of(F.col("n"))), F.lit(0))
-    wide = (
-        covered.withColumn("prefix_n", prefixes.agg(proposed).scalar())
-        .withColumn("token_n", blocks.agg(proposed).scalar())
-        .withColumn("length_n", val.visited_pairs(lengths, 0.25).scalar())
-    )
-    rows = F.array(
-        *[
-            F.struct(F.lit(c).alias("strategy"), F.col(f"{c}_n").alias("proposed"), F.col(c).alias("covered"))
-            for c in ("prefix", "token", "length")
-        ],
-        F.struct(
-            F.lit("union").alias("strategy"), F.lit(None).cast("bigint").alias("proposed"), F.col("union").alias("covered")
-        ),
+def length_pairs(values: DataFrame, by: list[str], ratio: float) -> Column:
+    """Scalar: pairs of ``values`` that agree in ``by`` and whose shorter length is ``ratio`` of the longer or more.
+
+    Counted from a running sum over the distinct lengths of each group: a length L meets the lengths from ratio * L on.
+    """
+    sizes = values.groupBy(*by, F.char_length("v").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(0).cast("bigint")
+    counts = sizes.select(*by, F.col("at").cast("double").alias("at"), "n", none.alias("asks"))
+    asked = sizes.select(*by, (F.ceil(F.col("at") * ratio - 1e-9) - 0.5).alias("at"), none.alias("n"), F.col("n").alias("asks"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, -1)
+    run = counts.unionByName(asked).withColumn("below", F.coalesce(F.sum("n").over(before), none))
+    # with all shorter lengths, less those that are too short
+    pairs = F.col("n") * F.col("below") + pairs_of(F.col("n")) - F.col("asks") * F.col("below")
+    return run.agg(F.coalesce(F.sum(pairs), none)).scalar()
+
+
+def word_pairs(forms: DataFrame, values: DataFrame, token_limit: int) -> DataFrame:
+    """(entity, a, b): true pairs with a usable word in common. A word is in few values, so its pairs are few."""
+    worded = forms.join(usable_words(values, token_limit), "v")
+    left, right = (worded.select("entity", "t", F.col("v").alias(c)) for c in "ab")
+    return left.join(right, ["entity", "t"]).where("a < b").select("entity", "a", "b").distinct()
+
+
+def uncovered(ratio: float) -> Column:
+    """A pair (a, b) that neither its first three letters nor its lengths propose."""
+    shorter, longer = F.least(F.char_length("a"), F.char_length("b")), F.greatest(F.char_length("a"), F.char_length("b"))
+    return (F.substring("a", 1, 3) != F.substring("b", 1, 3)) & (shorter < F.ceil(longer * ratio - 1e-9))
+
+
+def blocking_coverage(forms: DataFrame, values: DataFrame, ratios: tuple[float, ...] = (0.25, 0.7), token_limit: int = 200) -> DataFrame:
+    """Per strategy: comparisons it proposes on ``values`` (v) and true pairs of ``forms`` (entity, v) it covers.
+
+    Strategies: same first three letters, a usable word in common, length ratio of each of ``ratios``, and all together.
+    All pairs of distinct forms of an entity are true. None is listed but those with a usable word: prefixes and lengths
+    are counted by group, and the union by inclusion and exclusion.
+    """
+    forms = forms.where("entity is not null").withColumn("prefix", F.substring("v", 1, 3))
+    shared = checkpointed(word_pairs(forms.select("entity", "v"), values, token_limit))
+    n, total = F.count(F.lit(1)), F.coalesce(F.sum(pairs_of(F.col("n"))), F.lit(0))
+
+    def grouped(df: DataFrame, *by) -> Column:
+        return df.groupBy(*by).agg(n.alias("n")).agg(total).scalar()
+
+    prefix = grouped(forms, "entity", "prefix")
+    words_ = usable_words(values, token_limit)
+    lines = [("prefix", grouped(values, F.substring("v", 1, 3)), prefix), ("token", grouped(words_, "t"), shared.agg(n).scalar())]
+    for r in ratios:
+        length = length_pairs(forms, ["entity"], r)
+        lines.append((f"length_{r:g}", length_pairs(values, [], r), length))
+        rest = shared.where(uncovered(r)).agg(n).scalar()
+        lines.append((f"union_{r:g}", F.lit(None).cast("bigint"), prefix + length - length_pairs(forms, ["entity", "prefix"], r) + rest))
+    rows = F.array(*[F.struct(F.lit(name).alias("strategy"), p.cast("bigint").alias("proposed"), c.cast("bigint").alias("covered")) for name, p, c in lines])
+    links = forms.groupBy("entity").agg(n.alias("n")).agg(total.alias("links"))
+    return links.select(F.explode(rows).alias("r"), "links").select("r.*", "links")
+
+
+def orphans(forms: DataFrame, values: DataFrame, ratio: float = 0.7, token_limit: int = 200) -> DataFrame:
+    """(entity, a, b): true pairs that no strategy proposes.
+
+    Forms of an entity are first compared by class (first letters, length), so that only pairs of classes that neither
+    strategy covers are written out.
+    """
+    forms = forms.where("entity is not null")
+    classes = forms.select("entity", F.substring("v", 1, 3).alias("prefix"), F.char_length("v").alias("size")).distinct()
+    left, right = (classes.select("entity", F.col("prefix").alias(f"p{k}"), F.col("size").alias(f"n{k}")) for k in "12")
+    apart = left.join(right, "entity").where((F.col("p1") != F.col("p2")) & (F.col("n1") < F.ceil(F.col("n2") * ratio - 1e-9)))
+    first, second = (
+        forms.select("entity", F.substring("v", 1, 3).alias(f"p{k}"), F.char_length("v").alias(f"n{k}"), F.col("v").alias(f"v{k}")) for k in "12"
     )
-    return wide.select(F.explode(rows).alias("r"), "links").select("r.*", "links")
+    pairs = apart.join(first, ["entity", "p1", "n1"]).join(second, ["entity", "p2", "n2"])
+    pairs = pairs.select("entity", F.least("v1", "v2").alias("a"), F.greatest("v1", "v2").alias("b"))
+    return pairs.join(word_pairs(forms, values, token_limit), ["entity", "a", "b"], "left_anti")
 
 
-def orphans(links: DataFrame, values: DataFrame) -> DataFrame:
-    """True links no strategy proposes."""
-    return strategies(links, values).where(~(F.col("prefix") | F.col("token") | F.col("length"))).select("a", "b")
+def cap_loss(stream: DataFrame, cap: int) -> DataFrame:
+    """True pairs among the ranked candidates (a, b, containment, true) before and after a cap on the best."""
+    before = stream.agg(F.count_if(F.col("true")).alias("before_cap"))
+    after = pl.best_of(stream, cap).agg(F.count_if(F.col("true")))
+    return before.withColumn("after_cap", after.scalar()).withColumn("lost", F.col("before_cap") - F.col("after_cap"))
 
 
-def cap_loss(links: DataFrame, pairs: DataFrame, cap: int) -> DataFrame:
-    """True links among the candidates (a, b, containment) before and after a cap on the best pairs."""
-    kept = pairs.orderBy(F.desc("containment"), "a", "b").limit(cap)
-    before = links.join(pairs.select("a", "b"), ["a", "b"], "left_semi").agg(F.count(F.lit(1)).alias("before_cap"))
-    after = links.join(kept.select("a", "b"), ["a", "b"], "left_semi").agg(F.count(F.lit(1)).alias("n"))
-    return before.withColumn("after_cap", after.scalar()).withColumn("lost", F.col("before_cap") - F.col("after_cap"))
+def trigram_jaccard(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("jaccard", cand.jaccard(padded_trigrams(F.col("a")), padded_trigrams(F.col("b"))))
 
 
-def cap_strategies(links: DataFrame, pairs: DataFrame, members: DataFrame, cap: int, per_block: int) -> DataFrame:
-    """True links that survive a cap by length difference, a cap per block, and a cap by trigram similarity."""
+def cap_strategies(stream: DataFrame, members: DataFrame, cap: int, per_block: int) -> DataFrame:
+    """True pairs that survive a cap by length difference, a cap per block, and a cap by trigram similarity."""
     gap = F.abs(F.char_length("a") - F.char_length("b"))
     sides = members.select(F.col("v").alias("a"), "block"), members.select(F.col("v").alias("b"), "block")
-    in_block = pairs.join(sides[0], "a").join(sides[1], ["b", "block"])
+    in_block = stream.join(sides[0], "a").join(sides[1], ["b", "block"])
     order = Window.partitionBy("block").orderBy(gap, "a", "b")
     kept = {
-        "length_difference": pairs.orderBy(gap, "a", "b").limit(cap),
+        "length_difference": stream.orderBy(gap, "a", "b").limit(cap),
         "per_block": in_block.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_block),
-        "trigram": pairs.orderBy(F.desc("jaccard"), "a", "b").limit(cap),
+        "trigram": trigram_jaccard(stream).orderBy(F.desc("jaccard"), "a", "b").limit(cap),
     }
     out = None
     for name, table in kept.items():
-        chosen = table.select("a", "b").distinct()
-        alive = links.join(chosen, ["a", "b"], "left_semi").agg(F.count(F.lit(1)))
-        part = chosen.agg(F.count(F.lit(1)).alias("pairs")).select(F.lit(name).alias("strategy"), "pairs", alive.scalar().alias("survivors"))
+        chosen = table.select("a", "b", "true").distinct()
+        part = chosen.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("true")).alias("survivors"))
+        part = part.select(F.lit(name).alias("strategy"), "pairs", "survivors")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -236,18 +283,12 @@ def random_pairs(nodes: DataFrame, algorithm: str = "qgrams", sample: int = 200,
     )
 
 
-def lost_pairs(links: DataFrame, pairs: DataFrame, cap: int) -> DataFrame:
-    """Similarity of true links kept and lost by a cap: extremes, median and a 0.1-wide histogram per measure."""
-    kept = pairs.orderBy(F.desc("containment"), "a", "b").limit(cap).select("a", "b", F.lit(True).alias("kept"))
-    ga, gb = grams(F.concat(F.lit("##"), F.col("a"), F.lit("##"))), grams(F.concat(F.lit("##"), F.col("b"), F.lit("##")))
-    rows = links.join(kept, ["a", "b"], "left").select(
+def lost_pairs(stream: DataFrame, cap: int) -> DataFrame:
+    """Similarity of true pairs kept and lost by a cap: extremes, median and a 0.1-wide histogram per measure."""
+    kept = pl.best_of(stream, cap).select("a", "b", F.lit(True).alias("kept"))
+    rows = trigram_jaccard(stream.where(F.col("true"))).join(kept, ["a", "b"], "left").select(
         F.coalesce("kept", F.lit(False)).alias("kept"),
-        F.explode(
-            F.array(
-                F.struct(F.lit("jaccard").alias("measure"), cand.jaccard(ga, gb).alias("x")),
-                F.struct(F.lit("containment").alias("measure"), cand.containment(ga, gb).alias("x")),
-            )
-        ).alias("m"),
+        F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("x")) for m in ("jaccard", "containment")])).alias("m"),
     ).select("kept", "m.*")
     spread = rows.groupBy("kept", "measure").agg(
         F.round(F.min("x"), 4).alias("lowest"), F.round(F.median("x"), 4).alias("median"), F.round(F.max("x"), 4).alias("highest")
@@ -256,7 +297,17 @@ def lost_pairs(links: DataFrame, pairs: DataFrame, cap: int) -> DataFrame:
     return bins.join(F.broadcast(spread), ["kept", "measure"])  # at most four rows
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and order-free hash of a result, for comparing runs."""
-    names = sorted(df.columns)
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64(*[F.col(f"`{n}`").cast("string") for n in names])).alias("hash"))
+def fingerprint(groups: DataFrame, meta: DataFrame) -> DataFrame:
+    """One row that says whether two runs agree: sums over the rows of ``groups`` as a multiset, and a digest of ``meta``.
+
+    Of the md5 of every row as text the first and the next 15 hex digits are added up, so neither the order of rows nor
+    of partitions matters, and a row that occurs twice counts twice. ``meta`` has one row (score and counters).
+    """
+    def text(df: DataFrame) -> Column:
+        return F.md5(F.concat_ws("|", *[F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("null")) for n in sorted(df.columns)]))
+
+    def part(start: int) -> Column:
+        return F.coalesce(F.sum(F.conv(F.substring("h", start, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
+
+    rows = groups.select(text(groups).alias("h")).agg(F.count(F.lit(1)).alias("n_rows"), part(1).alias("rows_a"), part(16).alias("rows_b"))
+    return rows.withColumn("meta", meta.select(text(meta)).scalar())

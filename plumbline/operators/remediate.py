@@ -18,14 +18,22 @@ def drop_surplus(df: DataFrame, id_col: str, issues: DataFrame, column: str) ->
     return df.join(surplus.withColumnRenamed("record_id", id_col), id_col, "left_anti")
 
 
-def drop_duplicate_ids(df: DataFrame, id_col: str) -> DataFrame:
-    """One row per id: fewest missing fields, then smallest content; combined map-side."""
+def drop_duplicate_ids(df: DataFrame, id_col: str, issues: DataFrame) -> DataFrame:
+    """One row per id. Rows reported as not to keep go first, then all but the best of what is left.
+
+    ``issues``: the issue table, where uniqueness of ``id_col`` names a row to keep and others. Rows of an id are ranked
+    by fewest missing fields, then smallest content; as many as are reported leave from the end, so an id whose rows are
+    all reported goes. Ids that nobody reported keep their best row. Combined map-side, so a hot id is one row per task.
+    """
     from plumbline.operators.uniqueness import null_count
 
     others = [c for c in df.columns if c != id_col]
     rank = F.struct(null_count(df).alias("nulls"), *[F.col(f"`{c}`") for c in others])
-    best = df.groupBy(id_col).agg(F.min(rank).alias("r"))
-    return best.select(*[F.col(id_col) if c == id_col else F.col("r").getField(c).alias(c) for c in df.columns])
+    best = df.groupBy(id_col).agg(F.min(rank).alias("r"), F.count(F.lit(1)).alias("_n"))
+    mine = issues.where((F.col("column") == id_col) & (F.col("dimension") == "uniqueness") & (F.col("is_principal") == F.lit(False)))
+    reported = mine.groupBy(F.col("record_id").alias("_id")).agg(F.count(F.lit(1)).alias("_m"))
+    left = best.join(reported, F.col(id_col).eqNullSafe(F.col("_id")), "left").where(F.col("_n") > F.coalesce("_m", F.lit(0)))
+    return left.select(*[F.col(id_col) if c == id_col else F.col("r").getField(c).alias(c) for c in df.columns])
 
 
 def map_values(df: DataFrame, column: str, mapping: dict[str, str | None]) -> DataFrame:

@@ -110,6 +110,17 @@ def containment_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return joined_counting(probe, index, F.col("p.size") <= F.col("i.size"))
 
 
+def contained_in_blocks(sets: DataFrame, threshold: float) -> DataFrame:
+    """(block, a, b, containment) of the pairs of a block (block, v, trigram tokens) that reach ``threshold``, above 0."""
+    size = F.size("tokens")
+    required = F.greatest(_ceil(size * threshold), F.lit(1))
+    probe = sets.select("block", F.col("v").alias("x"), size.alias("m"), F.explode(F.slice("tokens", F.lit(1), size - required + 1)).alias("t"))
+    index = sets.select("block", F.col("v").alias("y"), size.alias("n"), F.explode("tokens").alias("t"))
+    met = probe.join(index, ["block", "t"]).where((F.col("x") != F.col("y")) & (F.col("m") <= F.col("n")))
+    pairs = met.select("block", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.withColumn("containment", containment(padded_trigrams(F.col("a")), padded_trigrams(F.col("b")))).where(F.col("containment") >= threshold)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return bind(
         F.struct(F.size(F.array_intersect(a, b)).alias("both"), (F.size(a) + F.size(b)).alias("sizes")),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import kernels
-from plumbline.functions.text import is_placeholder
+from plumbline.functions.text import is_placeholder, padded_trigrams
 from plumbline.operators.similarity import candidates as cand
 from plumbline.operators.similarity import values as val
 from plumbline.operators.similarity.components import connected_components
@@ -25,7 +25,8 @@ BIG_GROUP = 10
 UNRELIABLE_SHARE = 0.20
 SCORE_FLOOR = 50.0
 PARTIAL_CONTAINMENT = 0.65
-PAIR_CAP, TOLERANT_PAIR_CAP = 15_000, 50_000  # fixed values of the cap report
+PAIR_CAP, TOLERANT_PAIR_CAP = 15_000, 50_000  # fixed values: pairs that a capped run compares
+PAIRS_PER_BLOCK = 200  # fixed value: pairs of a block that enter the capped ranking
 
 
 def score_of(algorithm: str, a: Column, b: Column) -> Column:
@@ -92,7 +93,9 @@ class NearDuplicates:
     """One near-duplicate run. Pairs and components are computed once and cut from their lineage.
 
     All pairs above the threshold count. ``blocking`` keeps only pairs of a common block, as a walk through blocks
-    would find them; since large blocks are split, that answer depends on the other rows of the table.
+    would find them; since large blocks are split, that answer depends on the other rows of the table. ``cap`` is a
+    partial run: only the ``per_block`` best pairs of every block by trigram containment, and of those the ``cap`` best,
+    are compared; ``report`` says what was left out, and score and reliability take it into account.
     """
 
     def __init__(
@@ -104,12 +107,15 @@ class NearDuplicates:
         threshold: float = 92,
         normalise: bool = True,
         blocking: bool = False,
+        cap: int | None = None,
+        per_block: int = PAIRS_PER_BLOCK,
     ):
         if algorithm not in ALGORITHMS:
             raise ValueError(f"unknown algorithm {algorithm!r}; known: {ALGORITHMS}")
         self.df, self.id_col, self.column = df, id_col, column
         self.algorithm, self.threshold = algorithm, float(threshold)
         self.normalise, self.blocking = normalise, blocking
+        self.cap, self.per_block = cap, per_block
 
     @cached_property
     def raws(self) -> DataFrame:
@@ -123,9 +129,28 @@ class NearDuplicates:
     def block_limit(self) -> int:
         return val.AFFINE_BLOCK_LIMIT if self.algorithm == "affine_gap" else val.BLOCK_LIMIT
 
+    @cached_property
+    def block_members(self) -> DataFrame:
+        return checkpointed(val.split_blocks(self.nodes, self.block_limit).select("v", "block"))
+
+    @cached_property
+    def stream(self) -> DataFrame:
+        """(a, b, containment): the best pairs of every block."""
+        return pair_stream(self.nodes, self.block_members, self.per_block)
+
+    @cached_property
+    def report(self) -> DataFrame:
+        """What the cap leaves out (see ``cap_report``)."""
+        ratio = TOLERANT_RATIO if self.algorithm in LENGTH_TOLERANT else 0.0
+        one_each = self.block_members.withColumn("spellings", F.lit(1).cast("bigint"))
+        return checkpointed(cap_report(self.stream, val.visited_pairs(one_each, ratio), self.cap))
+
     @cached_property
     def pairs(self) -> DataFrame:
         """(a, b, similarity) between different normal forms."""
+        if self.cap is not None:
+            chosen = best_of(self.stream, self.cap).select("a", "b")
+            return checkpointed(cand.reaching(chosen, self.threshold, similarity=score_of(self.algorithm, F.col("a"), F.col("b"))))
         blocks = val.with_blocks(self.nodes, self.block_limit) if self.blocking else None
         return checkpointed(scored_pairs(self.nodes.select("v"), self.algorithm, self.threshold, blocks))
 
@@ -178,7 +203,7 @@ class NearDuplicates:
 
     @cached_property
     def members(self) -> DataFrame:
-        """Records of all groups: (record_id, value, component, similarity, rank)."""
+        """Records of all groups: (record_id, value, component, similarity, rank, copies); equal rows are one with copies."""
         rows = self.df.select(
             F.col(self.id_col).alias("record_id"),
             F.col(self.column).cast("string").alias("raw"),
@@ -187,11 +212,11 @@ class NearDuplicates:
                 (-F.char_length(F.col(self.column).cast("string"))).alias("length"),
                 F.col(self.id_col).cast("string").alias("id"),
                 F.xxhash64(*[F.col(f"`{c}`") for c in self.df.columns]).alias("content"),
-                F.monotonically_increasing_id().alias("position"),
             ).alias("rank"),
         )
         grouped = self.raws.select("raw", "v").join(self.components, "v").join(self.best, "v")
-        return rows.join(grouped.select("raw", "component", "similarity"), "raw")
+        found = rows.join(grouped.select("raw", "component", "similarity"), "raw")
+        return found.groupBy("record_id", "raw", "component", "similarity", "rank").agg(F.count(F.lit(1)).alias("copies"))
 
     def principals(self) -> DataFrame:
         """(component, group_id, best, keep_value, keep_id): fewest missing fields, longest value, smallest id text."""
@@ -204,10 +229,11 @@ class NearDuplicates:
 
     def groups(self) -> DataFrame:
         """One row per member of every group."""
-        keep = (F.col("rank") == F.col("best")) & ~F.col("dispersed")
+        keep = (F.col("rank") == F.col("best")) & (F.col("copy") == 1) & ~F.col("dispersed")  # of equal rows the first copy
         return (
             self.members.join(self.principals(), "component")
             .join(self.group_stats, "component")
+            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
             .select(
                 "record_id",
                 F.col("raw").alias("value"),
@@ -263,25 +289,30 @@ class NearDuplicates:
             )
         )
 
-    def meta(self, discarded_pct: float = 0.0, partial: bool = False) -> DataFrame:
-        """Counters, score and reliability. The two last arguments describe a capped run (see ``cap_report``)."""
+    def meta(self) -> DataFrame:
+        """Counters, score and reliability. A capped run that left out promising pairs is partial: its score has a ceiling."""
+        counts = self.counts
+        if self.cap is None:
+            counts = counts.withColumn("partial", F.lit(False)).withColumn("discarded_pct", F.lit(0.0))
+        else:
+            state = self.report.select(F.struct("partial", "discarded_pct"))
+            counts = counts.withColumn("state", state.scalar()).select("*", "state.*").drop("state")
         e, dispersed = F.col("evaluated"), F.col("dispersed_records")
         share = F.when(e > 0, dispersed / e).otherwise(0.0)
         plain = F.when(e > 0, F.round((1 - F.col("surplus") / e) * 100, 1)).otherwise(100.0)
         ceiling = F.when(F.col("dispersed_groups") > 0, F.greatest(F.lit(SCORE_FLOOR), 100 - share * 100)).otherwise(100.0)
-        cap = max(SCORE_FLOOR, 100.0 - discarded_pct) if partial else 100.0
+        cap = F.when(F.col("partial"), F.greatest(F.lit(SCORE_FLOOR), 100 - F.col("discarded_pct"))).otherwise(100.0)
         reliability = (
-            F.when(F.lit(partial), "unreliable")
+            F.when(F.col("partial"), "unreliable")
             .when(F.col("dispersed_groups") == 0, "reliable")
             .when(share >= UNRELIABLE_SHARE, "unreliable")
             .otherwise("partial")
         )
-        return self.counts.select(
+        return counts.select(
             "*",
             F.lit(self.algorithm).alias("algorithm"),
             F.lit(self.threshold).alias("threshold"),
-            F.lit(partial).alias("partial"),
-            F.round(F.least(plain, ceiling, F.lit(cap)), 1).alias("score"),
+            F.round(F.least(plain, ceiling, cap), 1).alias("score"),
             reliability.alias("reliability"),
         )
 
@@ -299,45 +330,95 @@ def near_duplicates(df: DataFrame, id_col: str, column: str, **params) -> NearDu
     return NearDuplicates(df, id_col, column, **params)
 
 
+#: Containments that pairs must reach in turn, until every place of a ranking is taken.
+FLOORS = (0.7, 0.3, 1e-6)
+
+
 def best_pairs(values: DataFrame, n: int, measure: str = "jaccard") -> DataFrame:
-    """The n most similar pairs by padded trigrams, ties by text. Exact: the floor is lowered until n pairs reach it."""
-    for floor in (0.8, 0.6, 0.4, 0.2):
-        found = cand.trigram_pairs(values, floor, measure)
+    """The n most similar pairs by padded trigrams, ties by text; fewer only where there are fewer pairs.
+
+    Exact: the floor is lowered until n pairs reach it; then pairs without a common trigram follow, by text.
+    """
+    for floor in FLOORS:
+        found = cand.trigram_pairs(values, floor, measure).select("a", "b", measure)
         if found.limit(n).count() >= n:
+            return found.orderBy(F.desc(measure), "a", "b").limit(n)
+    one = values.select("v").orderBy("v").limit(2 * n + 1).select(F.lit("").alias("block"), "v")
+    rest = without_trigrams(one, found.select(F.lit("").alias("block"), "a", "b"), n).select("a", "b", F.lit(0.0).alias(measure))
+    return found.unionByName(rest).orderBy(F.desc(measure), "a", "b").limit(n)
+
+
+def without_trigrams(members: DataFrame, sharing: DataFrame, k: int) -> DataFrame:
+    """(block, a, b): k pairs of every block, first by text, that are not among ``sharing``, which has fewer than k a block.
+
+    Of the first 2 k pairs by text at least k are not among them, and these lie among the first 2 k + 1 members.
+    """
+    by_text = Window.partitionBy("block").orderBy("v")
+    first = members.withColumn("at", F.row_number().over(by_text)).where(F.col("at") <= 2 * k + 1)
+    first = first.groupBy("block").agg(F.array_sort(F.collect_list("v")).alias("vs"))  # at most 2 k + 1
+    i, n = F.col("i"), F.size("vs")
+    pairs = first.where(n > 1).select("block", "vs", F.posexplode(F.slice("vs", F.lit(1), n - 1)).alias("i", "a"))
+    pairs = pairs.select("block", "a", F.explode(F.slice("vs", i + 2, F.size("vs") - i - 1)).alias("b"))
+    order = Window.partitionBy("block").orderBy("a", "b")
+    pairs = pairs.withColumn("at", F.row_number().over(order)).where(F.col("at") <= 2 * k).drop("at")
+    return pairs.join(sharing, ["block", "a", "b"], "left_anti")
+
+
+def ranked_in_blocks(values: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(block, rank, a, b, containment): the k best pairs of every block (v, block) by trigram containment, ties by text.
+
+    All pairs of a block are ranked, without a floor: a block has fewer than k only if it has fewer pairs. Pairs are
+    sought at falling floors; a block leaves once k of its pairs (or all it has) reach the floor, since no other can
+    then be better. Blocks that are left have fewer pairs with a common trigram; the others follow by text.
+    """
+    sets = checkpointed(cand.ranked(values.select("v"), padded_trigrams(F.col("v"))))
+    n = F.count(F.lit(1))
+    sizes = members.groupBy("block").agg(F.least(F.lit(k).cast("bigint"), (n * (n - 1) / 2).cast("bigint")).alias("want"))
+    open_, parts = checkpointed(sizes.where("want > 0")), []
+    order = Window.partitionBy("block").orderBy(F.desc("containment"), "a", "b")
+    for floor in FLOORS:
+        here = members.join(open_.select("block"), "block").join(sets, "v")
+        found = cand.contained_in_blocks(here, floor)
+        found = checkpointed(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        done = found.groupBy("block").agg(F.count(F.lit(1)).alias("n")).join(open_, "block").where("n >= want").select("block")
+        parts.append(found.join(done, "block", "left_semi"))
+        open_ = checkpointed(open_.join(done, "block", "left_anti"))
+        if open_.isEmpty():
             break
     else:
-        found = cand.trigram_pairs(values, EPS_FLOOR, measure)
-    return found.orderBy(F.desc(measure), "a", "b").limit(n)
+        some = found.join(open_.select("block"), "block", "left_semi").drop("rank")
+        rest = without_trigrams(members.join(open_.select("block"), "block"), some.select("block", "a", "b"), k)
+        both = some.unionByName(rest.withColumn("containment", F.lit(0.0)))
+        parts.append(both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("block", "rank", "a", "b", "containment")
 
 
-EPS_FLOOR = 1e-6
+def pair_stream(values: DataFrame, members: DataFrame, per_block: int = PAIRS_PER_BLOCK) -> DataFrame:
+    """(a, b, containment): the pairs that are among the ``per_block`` best of some block."""
+    return checkpointed(ranked_in_blocks(values, members, per_block).select("a", "b", "containment").distinct())
 
 
-def best_pairs_per_block(values: DataFrame, members: DataFrame, k: int, min_containment: float) -> DataFrame:
-    """Best k pairs of every block among those with enough containment, ties by text."""
-    pairs = cand.trigram_pairs(cand.settled(values.select("v")), min_containment, "containment").select("a", "b", "containment")
-    left = members.select(F.col("v").alias("a"), "block")
-    right = members.select(F.col("v").alias("b"), "block")
-    shared = pairs.join(left, "a").join(right, ["b", "block"])
-    order = Window.partitionBy("block").orderBy(F.desc("containment"), "a", "b")
-    return shared.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "block", "rank", "a", "b", "containment"
-    )
+def best_of(pairs: DataFrame, cap: int) -> DataFrame:
+    return pairs.orderBy(F.desc("containment"), "a", "b").limit(cap)
 
 
-def cap_report(pairs: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
-    """What a cap on the pairs would keep: counts, share discarded, containment of the last kept pair, partial flag.
+def cap_report(stream: DataFrame, visited: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
+    """What a run that compares the ``cap`` best pairs of ``stream`` (a, b, containment) leaves out.
 
-    A run without ``blocking`` discards no pair; this is the report on an (a, b, containment) table.
+    ``generated`` are the comparisons of a walk through all blocks (``visited``, one row, counted from sizes),
+    ``marginal_containment`` is that of the last pair compared, where the cap left out any. The run is partial if that
+    pair was still a promising one.
     """
-    total = pairs.agg(F.count(F.lit(1)).alias("generated"))
-    kept = pairs.orderBy(F.desc("containment"), "a", "b").limit(cap)
-    last = kept.agg(F.struct(F.count(F.lit(1)).alias("n"), F.min("containment").alias("c")).alias("s"))
-    out = total.withColumn("s", last.scalar())
-    fired = F.col("generated") > F.col("s.n")
+    last = best_of(stream, cap).agg(F.struct(F.count(F.lit(1)).alias("n"), F.min("containment").alias("c")).alias("s"))
+    out = stream.agg(F.count(F.lit(1)).alias("ranked")).withColumn("s", last.scalar()).withColumn("generated", visited.scalar())
+    fired = F.col("ranked") > F.col("s.n")
     margin = F.when(fired, F.col("s.c")).otherwise(0.0)
     return out.select(
         "generated",
+        "ranked",
         F.col("s.n").alias("evaluated"),
         F.when(F.col("generated") > 0, F.round((F.col("generated") - F.col("s.n")) / F.col("generated") * 100, 1))
         .otherwise(0.0)

@@ -46,9 +46,8 @@ def uniqueness_issues(df: DataFrame, id_col: str, column: str, principals: bool
                 F.struct(
                     null_count(df).alias("nulls"),
                     F.col(id_col).cast("string").alias("id"),
-                    # Rows equal in both only differ by these last two.
+                    # Rows equal in both only differ by their content; equal rows are counted.
                     F.xxhash64(*[F.col(f"`{n}`") for n in df.columns]).alias("content"),
-                    F.monotonically_increasing_id().alias("position"),
                 ).alias("rank")
             ]
             if principals
@@ -60,7 +59,12 @@ def uniqueness_issues(df: DataFrame, id_col: str, column: str, principals: bool
         rows.groupBy(F.col("value").alias("v")).agg(F.count(F.lit(1)).alias("n"), *best).where(F.col("n") > 1).drop("n")
     )
     joined = rows.join(repeated, F.col("value").eqNullSafe(F.col("v")))
-    keep = (F.col("rank") == F.col("best")) if principals else F.lit(None).cast("boolean")
+    keep = F.lit(None).cast("boolean")
+    if principals:
+        # rows that tie in everything are one with copies, of which the first is the one to keep
+        joined = joined.groupBy("record_id", "value", "rank", "best").agg(F.count(F.lit(1)).alias("copies"))
+        joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+        keep = (F.col("rank") == F.col("best")) & (F.col("copy") == 1)
     return joined.select(
         "record_id",
         F.lit(column).alias("column"),
