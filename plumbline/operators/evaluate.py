@@ -297,11 +297,11 @@ def lost_pairs(stream: DataFrame, cap: int) -> DataFrame:
     return bins.join(F.broadcast(spread), ["kept", "measure"])  # at most four rows
 
 
-def fingerprint(groups: DataFrame, meta: DataFrame) -> DataFrame:
+def fingerprint(groups: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     """One row that says whether two runs agree: sums over the rows of ``groups`` as a multiset, and a digest of ``meta``.
 
     Of the md5 of every row as text the first and the next 15 hex digits are added up, so neither the order of rows nor
-    of partitions matters, and a row that occurs twice counts twice. ``meta`` has one row (score and counters).
+    of partitions matters, and a row that occurs twice counts twice. ``meta`` has one row (score and counters); without it only the rows are compared.
     """
     def text(df: DataFrame) -> Column:
         return F.md5(F.concat_ws("|", *[F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("null")) for n in sorted(df.columns)]))
@@ -310,4 +310,4 @@ def fingerprint(groups: DataFrame, meta: DataFrame) -> DataFrame:
         return F.coalesce(F.sum(F.conv(F.substring("h", start, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
 
     rows = groups.select(text(groups).alias("h")).agg(F.count(F.lit(1)).alias("n_rows"), part(1).alias("rows_a"), part(16).alias("rows_b"))
-    return rows.withColumn("meta", meta.select(text(meta)).scalar())
+    return rows.withColumn("meta", F.lit(None).cast("string") if meta is None else meta.select(text(meta)).scalar())
