@@ -30,7 +30,9 @@ from plumbline.llm.shared import forgotten, kept
 from plumbline.llm.words import BLANKS, distinct_per_text, hashed_words, row_slices, shingles
 
 #: Text bytes behind one block of columns, and entries in one block of a product.
-COLUMN_BLOCK, ROW_BLOCK = 24 << 20, 2 << 20
+COLUMN_BLOCK, ROW_BLOCK = 12 << 20, 2 << 20
+#: Text bytes whose entries one task cuts at once.
+SLICE = 4 << 20
 #: Rows (of a few numbers) that are sent to all tasks at most; larger tables are shuffled.
 SENT = 1 << 17
 #: Cells of a product that are counted at once.
@@ -75,7 +77,7 @@ def incidence(docs: DataFrame, width: int, blocks: int) -> DataFrame:
 
     def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in (part for whole in batches for part in row_slices(whole, 1)):
+        for batch in (part for whole in batches for part in row_slices(whole, 1, SLICE)):
             values, bounds = distinct_per_text(*shingles(*hashed_words(batch.column(1), BLANKS, True), width))
             sizes = np.diff(bounds)
             names = set_names(values, bounds)
