@@ -2,9 +2,12 @@
 
 The pages of a host are merged into one tree whose nodes are paths of block elements with their classes. A node knows in
 how many ways pages lay out its children (presentation) and which texts stand in it (content), both as counts over the
-host. Entropy makes importances of them: a layout that varies is important, a text that all pages share isn't. Branches
-without an important node are removed from every page of the host. Elements whose tag, class or role says what they are
-(navigation, advert, form, ...) have importance 0, and the article of a page, if it is marked as such, has importance 1.
+host of its distinct pages, so that copies are no template. Entropy makes importances of them: a layout that varies is
+important, a text that all pages share isn't. Branches without an important node are removed from every page of the host.
+
+Marks of the page enter as importances. Elements whose tag, class or role says what they are (navigation, advert, form,
+...) have 0. The element marked as article or main has 1, and so has its h1; what lies below it goes by the tree, unless
+that would take most of the marked text. Important branches beside an article stay where they are the larger text.
 """
 
 from __future__ import annotations
@@ -36,10 +39,14 @@ NOISE_WORDS = frozenset(
     "skip legal copyright".split()
 )
 #: Words after the one that names an element, and words that say what an element has or lacks rather than what it is.
-BOXES = frozenset("list box area bar wrap wrapper container block section links buttons left right top bottom inner outer slot item items form".split())
+BOXES = frozenset("list box area bar wrap wrapper container block section links buttons left right top bottom inner outer slot item items form posts articles stories".split())
 RELATIONS = frozenset("has have no not with without hide show js".split())
 #: What a class or id never makes noise.
-WHOLE_TAGS = frozenset("html body main article".split())
+WHOLE_TAGS = frozenset("html body main".split())
+#: Noise that is text of its own, however long: never taken for the article while there is other text.
+READERS = frozenset("comment comments disqus reply replies respond related recommended recommendations".split())
+#: What says that an article element stands for another page.
+TEASERS = frozenset("teaser card preview excerpt snippet".split())
 MAIN_TAGS, MAIN_ROLES = frozenset(("article", "main")), frozenset(("main", "article"))
 INLINE_TAGS = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rt rp s samp small "
@@ -76,7 +83,9 @@ class Element:
     noise: bool
     main: bool
     named: bool = False
+    reader: bool = False
     at: int = -1
+    sole: bool = False
     children: list[str] = field(default_factory=list)
 
 
@@ -85,54 +94,83 @@ class Block:
     text: str
     path: str
     branches: tuple[str, ...]
+    #: In a marked element, and the branches below it; in the element that a page has once for its main text.
     main: bool
+    below: tuple[str, ...]
+    sole: bool
+    linked: int
+    #: In an element that was spared.
+    spared: bool
 
 
-def names_noise(name: str) -> bool:
-    """Whether a class or id says that its element is noise: by its head word, so not has-sidebar or social-science."""
+def head_word(name: str) -> str:
+    """The word of a class or id that says what its element is: empty for has-sidebar, science for social-science."""
     words = [w.lower() for w in PIECES.split(name) if w]
     while len(words) > 1 and words[-1] in BOXES:
         words.pop()
-    return bool(words) and words[-1] in NOISE_WORDS and not RELATIONS & set(words)
+    return words[-1] if words and not RELATIONS & set(words) else ""
 
 
-def _described(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """(label, noise, main, named) of a start tag; ``named``: a class or id says that it is noise."""
-    noise, main, named, label = tag in NOISE_TAGS, tag in MAIN_TAGS, False, tag
+def _described(tag: str, attributes: str) -> tuple[str, bool, bool, set[str], bool]:
+    """(label, noise, main, named, sole) of a start tag; ``named``: words of class and id that say that it is noise."""
+    noise, main, named, label, sole = tag in NOISE_TAGS, tag in MAIN_TAGS, set(), tag, tag == "main"
+    words = NOISE_WORDS | TEASERS if tag == "article" else NOISE_WORDS
     for name, value in NAMED.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
         if name == "role":
             noise |= bool({w.lower() for w in PIECES.split(value) if w} & NOISE_WORDS)
             main |= value.strip().lower() in MAIN_ROLES
+            sole |= value.strip().lower() == "main"
         elif name in ("class", "id"):
-            named |= any(map(names_noise, value.split()))
+            named |= words & set(map(head_word, value.split()))
             if name == "class":
                 label += "." + ".".join(value.split())
         else:
             noise |= name == "hidden" or value.lower() == "true" if name != "style" else bool(HIDDEN_STYLE.search(value))
-    return label, noise and not main, main, named
+    return label, noise and not main, main, named, sole
 
 
-def parsed(html: str | None, spared: frozenset[int] = frozenset()) -> tuple[list[Block], list[tuple[str, str]]]:
+def parsed(html: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
     """(blocks of text outside noise in page order, (path, layout of its children) of every element outside noise).
 
     White space in a block is one space; character references are decoded. Unclosed and stray tags are tolerated as
     browsers do: a block element ends an open paragraph, an end tag closes everything inside its element. An element that
-    is noise by its class or id alone isn't if it holds a marked article that isn't; ``spared``: places of such elements.
+    is noise by its class or id alone isn't if it is or holds a marked article with more text than all that is left of
+    the page. Comments and related articles have to be all there is.
     """
+    blocks, layouts, holders = _walked(html, frozenset())
+    quiet = frozenset(at for at, reader in holders.items() if not reader)
+    tries = [quiet] if quiet else []
+    if not blocks and len(quiet) < len(holders):
+        tries.append(frozenset(holders))
+    for spared in tries:
+        again, layouts_again, _ = _walked(html, spared)
+        if sum(len(b.text) for b in again if b.spared and b.main) > sum(len(b.text) for b in blocks):
+            return again, layouts_again
+    return blocks, layouts
+
+
+def _walked(html: str | None, spared: frozenset[int]) -> tuple[list[Block], list[tuple[str, str]], dict[int, bool]]:
+    """Blocks, layouts, and the places of named elements around marked articles: whether all of these are comments or related."""
     blocks: list[Block] = []
     layouts: list[tuple[str, str]] = []
     stack = [Element("", "", False, False)]
-    noise = main = 0
-    holders: set[int] = set()
+    noise = main = linked = 0
+    in_link = False
+    holders: dict[int, bool] = {}
     buffer: list[str] = []
 
     def flush() -> None:
+        nonlocal linked
         if buffer:
             text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
-                blocks.append(Block(text, stack[-1].path, tuple(dict.fromkeys(e.path for e in stack[1:])), main > 0))
+                mark = next((k for k, e in enumerate(stack) if e.main), len(stack) - 1)
+                below = tuple(dict.fromkeys(e.path for e in stack[mark + 1 :] if e.path != stack[mark].path))
+                held = any(e.at in spared for e in stack)
+                blocks.append(Block(text, stack[-1].path, tuple(dict.fromkeys(e.path for e in stack[1:])), main > 0, below, any(e.sole for e in stack), linked, held))
+            linked = 0
 
     def pop() -> None:
         nonlocal noise, main
@@ -147,6 +185,7 @@ def parsed(html: str | None, spared: frozenset[int] = frozenset()) -> tuple[list
         if not noise and found.start() > at:
             text = html[at : found.start()]
             buffer.append(entities.unescape(text) if "&" in text else text)
+            linked += len(text.strip()) if in_link else 0
         at = found.end()
         closing, name, attributes = found.groups()
         if name is None:
@@ -154,6 +193,7 @@ def parsed(html: str | None, spared: frozenset[int] = frozenset()) -> tuple[list
                 buffer.append(found.group()[9:-3])
             continue
         tag = name.lower()
+        in_link = not closing if tag == "a" else in_link
         if closing:
             if tag in INLINE_TAGS and not any(e.tag == tag for e in stack[-4:]):
                 continue
@@ -166,11 +206,14 @@ def parsed(html: str | None, spared: frozenset[int] = frozenset()) -> tuple[list
             elif tag not in INLINE_TAGS:
                 flush()
             continue
-        label, is_noise, is_main, says_noise = _described(tag, attributes)
-        is_named = says_noise and not is_noise and not is_main and tag not in WHOLE_TAGS and found.start() not in spared
-        is_noise |= is_named
-        if noise and is_main and not says_noise and all(e.named for e in stack if e.noise):
-            holders.update(e.at for e in stack if e.noise)
+        label, is_noise, is_main, words, is_sole = _described(tag, attributes)
+        is_named = bool(words) and not is_noise and tag not in WHOLE_TAGS and not is_sole and found.start() not in spared
+        reader = bool(words & READERS)
+        if is_main and (noise or is_named) and all(e.named for e in stack if e.noise):
+            around = [(e.at, e.reader) for e in stack if e.noise] + [(found.start(), reader)] * is_named
+            any_reader = any(r for _, r in around)
+            holders.update((place, any_reader and holders.get(place, True)) for place, _ in around)
+        is_noise, is_main = is_noise or is_named, is_main and not is_named
         if tag in RAW_TAGS:
             end = re.compile(f"</{re.escape(tag)}", re.I).search(html, at)
             at = html.find(">", end.end()) + 1 or len(html) if end else len(html)
@@ -197,7 +240,7 @@ def parsed(html: str | None, spared: frozenset[int] = frozenset()) -> tuple[list
             continue
         parent = stack[-1]
         path = parent.path if parent.path.rpartition("/")[2] == label else f"{parent.path}/{label}"
-        stack.append(Element(tag, path, is_noise, is_main, is_named, found.start()))
+        stack.append(Element(tag, path, is_noise, is_main, is_named, reader, found.start(), is_sole and is_main))
         noise += is_noise
         main += is_main
     if not noise and at < len(html):
@@ -205,15 +248,34 @@ def parsed(html: str | None, spared: frozenset[int] = frozenset()) -> tuple[list
     flush()
     while len(stack) > 1:
         pop()
-    return parsed(html, frozenset(holders)) if holders and not spared else (blocks, layouts)
+    return blocks, layouts, holders
 
 
 def main_text(blocks: list[Block], noisy: frozenset[int]) -> str:
-    """Blocks of the marked article; without one, blocks outside the noisy branches of the host."""
-    chosen = [b.text for b in blocks if b.main]
-    if not chosen:
-        chosen = [b.text for b in blocks if not any(stable(p) in noisy for p in b.branches)]
-    return "\n\n".join(chosen)
+    """The blocks of a page without the noisy branches of its host, in page order.
+
+    Of marked blocks those in a noisy branch below the mark go, but for an h1, if they are the smaller part of the marked
+    text. Blocks beside marked ones stay if none is in a main element, they are outside noisy branches, less than half of
+    each is links, and together they are longer than the marked text.
+    """
+
+    def outside(branches: tuple[str, ...]) -> bool:
+        return not any(stable(p) in noisy for p in branches)
+
+    def size(some: list[Block]) -> int:
+        return sum(len(b.text) for b in some)
+
+    marked = [b for b in blocks if b.main]
+    beside = [b for b in blocks if not b.main and outside(b.branches)]
+    if marked:
+        important = [b for b in marked if outside(b.below) or b.path.endswith("/h1")]
+        if 2 * size(important) > size(marked):
+            marked = important
+        beside = [] if any(b.sole for b in marked) else [b for b in beside if 2 * b.linked < len(b.text)]
+        if size(beside) <= size(marked):
+            beside = []
+    chosen = {id(b) for b in marked + beside}
+    return "\n\n".join(b.text for b in blocks if id(b) in chosen)
 
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -224,49 +286,51 @@ def hosts(pages: DataFrame):
     return F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), HOST, 1))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """The merged tree: host, kind (layout or text), path, branches above it, value, number of pages with it.
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """host, page (a hash of its html), nodes (is_text, path, value, branches above) of every distinct page of a host.
 
-    A task adds up what it reads, so a host or a text that many pages have is a few rows of each task.
+    Only hashes travel, so a page is a small part of its html here; copies are left out by the tasks that read them first.
     """
+    node = pa.struct([("is_text", pa.bool_()), ("path", pa.int64()), ("value", pa.int64()), ("branches", pa.list_(pa.int64()))])
 
     def grow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter = Counter()
-            branches: dict[int, list[int]] = {}
+            rows: dict[tuple[str, int], list[dict]] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                key = host, stable(page or "")
+                if key in rows:
+                    continue
                 blocks, layouts = parsed(page)
-                for path, layout in set(layouts):
-                    counts[host, False, stable(path), stable(layout)] += 1
-                seen = set()
-                for block in blocks:
-                    path = stable(block.path)
-                    if path not in branches:
-                        branches[path] = [stable(p) for p in block.branches]
-                    seen.add((host, True, path, stable(block.text)))
-                counts.update(seen)
-            rows = list(counts.items())
-            columns = list(zip(*(k for k, _ in rows))) or [(), (), (), ()]
-            kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64())
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            above = pa.array([branches[k[2]] if k[1] else [] for k, _ in rows], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*arrays, above, pa.array([n for _, n in rows], pa.int64())], ["host", "is_text", "path", "value", "branches", "n"])
-
-    schema = "host string, is_text boolean, path long, value long, branches array<long>, n long"
+                nodes = {(False, stable(path), stable(layout)): [] for path, layout in layouts}
+                nodes |= {(True, stable(b.path), stable(b.text)): [stable(p) for p in b.branches] for b in blocks}
+                rows[key] = [{"is_text": k[0], "path": k[1], "value": k[2], "branches": above} for k, above in nodes.items()]
+            names, hashes = [k[0] for k in rows], [k[1] for k in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(hashes, pa.int64()), pa.array(list(rows.values()), pa.list_(node))], ["host", "page", "nodes"])
+
+    schema = "host string, page long, nodes array<struct<is_text:boolean,path:long,value:long,branches:array<long>>>"
     rows = pages.select(hosts(pages).alias("host"), "html").mapInArrow(grow, schema)
-    return rows.groupBy("host", "is_text", "path", "value").agg(F.sum("n").alias("n"), F.first("branches").alias("branches"))
+    return rows.dropDuplicates(["host", "page"])
+
+
+def style_tree(distinct: DataFrame) -> DataFrame:
+    """The merged tree of ``page_nodes``: host, kind (layout or text), path, branches above it, value, pages with it.
+
+    A task adds up what it reads, so a host or a text that many pages have is a few rows of each task.
+    """
+    rows = distinct.select("host", F.inline("nodes"))
+    return rows.groupBy("host", "is_text", "path", "value").agg(F.count(F.lit(1)).alias("n"), F.first("branches").alias("branches"))
 
 
-def noisy_branches(tree: DataFrame, pages: DataFrame, threshold: float, gamma: float) -> DataFrame:
+def noisy_branches(distinct: DataFrame, threshold: float, gamma: float) -> DataFrame:
     """(host, noisy): the branches of each host whose nodes are all of low importance; a row per host.
 
-    m: pages of the host. Presentation: entropy of the layouts of a node to base m. Content: 1 - mean entropy, to base m,
+    m: distinct pages of the host. Presentation: entropy of the layouts of a node to base m. Content: 1 - mean entropy, to base m,
     of the texts of a node, so that a text of one page counts 1 and a text of all pages 0. Both are 1 on a host with one
     page. A node's importance is (1 - gamma ** layouts) * presentation + gamma ** layouts * content, as in the published
     style tree; a branch is as important as the most important text in it.
     """
-    m = pages.select(hosts(pages).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("m"))
-    nodes = tree.groupBy("host", "is_text", "path").agg(
+    m = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("m"))
+    nodes = kept(style_tree(distinct), "style-tree").groupBy("host", "is_text", "path").agg(
         F.sum("n").alias("all"), F.count(F.lit(1)).alias("values"), F.sum(F.col("n") * F.log("n")).alias("nlogn"),
         F.sum(F.log("n")).alias("logs"), F.first("branches").alias("branches"),
     )
@@ -288,10 +352,10 @@ def extracted(pages: DataFrame, threshold: float = 0.3, gamma: float = 0.9) -> D
 
     Blocks are joined in page order by two line feeds; inside a block white space is one space. Null and empty html, and
     pages without main text, give an empty text. A null or odd url belongs to the host without a name. Repeated rows are
-    rows of their own. An empty table gives no rows. Other columns are ignored.
+    rows of their own but count once in the tree. An empty table gives no rows. Other columns are ignored.
     """
-    tree = kept(style_tree(pages), "style-tree")
-    noisy = kept(noisy_branches(tree, pages, threshold, gamma), "noisy-branches", 8)
+    distinct = kept(page_nodes(pages), "page-nodes")
+    noisy = kept(noisy_branches(distinct, threshold, gamma), "noisy-branches", 8)
     rows = pages.select("page_id", "url", "html", hosts(pages).alias("host")).join(noisy, "host", "left").drop("host")
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

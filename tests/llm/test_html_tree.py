@@ -1,5 +1,11 @@
+import math
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
 from plumbline.llm import html_tree
-from plumbline.llm.html_tree import main_text, parsed
+from plumbline.llm.html_tree import main_text, parsed, stable
 
 NONE = frozenset()
 
@@ -68,3 +74,87 @@ def test_class_words_that_do_not_name_the_element():
     assert text("<p>in</p><div class='comments'><article class='comment'>c</article></div>") == "in"
     assert text("<article class='has-comments'><p>a</p><div class='ad-free'>b</div><div class='sidebar-left'>c</div></article>") == "a\n\nb"
     assert text("<div hidden><article>no</article></div><p>yes") == "yes"
+
+
+def test_articles_that_are_comments_or_stand_for_other_pages():
+    story = "<p>the long story of this page goes on and on</p>"
+    assert text(f"<div class=content>{story}</div><article class=teaser>read this</article>") == "the long story of this page goes on and on"
+    assert text(f"<div class=post>{story}</div><article class=comment>I say</article>") == "the long story of this page goes on and on"
+    assert text(f"<div class=post>{story}</div><section class=comments><article><p>{'I say ' * 40}</p></article></section>") == "the long story of this page goes on and on"
+    assert text(f"<article>{story}<div class=related-posts>more</div><article class='comment'>me too</article></article>") == "the long story of this page goes on and on"
+    # the larger text of a page is its article, whatever its class says; comments only where there is nothing else
+    assert text(f"<p>Home</p><article class='card'>{story}</article>") == "the long story of this page goes on and on"
+    assert text("<section class=comments><article>c</article></section>") == "c"
+    assert text("<article class=card><p>a</p></article><article class=card><p>b</p></article>") == "a\n\nb"
+
+
+def test_important_branches_beside_an_article():
+    long = "a text that is much longer than the article beside it"
+    assert text(f"<article><h1>T</h1></article><div>{long}</div>") == f"T\n\n{long}"
+    assert text(f"<article><h1>{long}</h1></article><div>short</div>") == long
+    assert text(f"<article><h1>T</h1></article><div><a href=x>{long}</a></div>") == "T"  # links
+    assert text(f"<main><h1>T</h1></main><div>{long}</div>") == "T"  # a page has one main
+
+
+def test_low_importance_branches_inside_marked_articles_go(spark):
+    rows = []
+    for k in range(20):
+        body = f"<h1>Always this title</h1><p>Paragraph {k} of the story</p><p>And {k} more</p><div class=hint>Like us everywhere</div>"
+        rows.append((k, "http://h.example.com/", f"<body><article>{body}</article></body>"))
+    rows += [rows[3]] * 50  # copies are no template
+    copies = [(100 + k, "http://copies.example.com/", "<article><p>one text</p><div class=hint>h</div></article>") for k in range(30)]
+    got = {r.page_id: r.text for r in html_tree.extracted(spark.createDataFrame(rows + copies, "page_id long, url string, html string")).collect()}
+    for k in range(20):
+        assert got[k] == f"Always this title\n\nParagraph {k} of the story\n\nAnd {k} more"
+    assert {got[100 + k] for k in range(30)} == {"one text\n\nh"}
+
+
+def plain_noisy(pages, threshold, gamma):
+    """The noisy branches of every host by counting page by page."""
+    hosts = defaultdict(set)
+    for url, page in pages:
+        hosts[url.split("/")[2]].add(page)
+    noisy = {}
+    for host, distinct in hosts.items():
+        layouts, texts, above = defaultdict(Counter), defaultdict(Counter), {}
+        for page in distinct:
+            blocks, shapes = parsed(page)
+            for path, shape in set(shapes):
+                layouts[path][shape] += 1
+            for path, words in {(b.path, b.text) for b in blocks}:
+                texts[path][words] += 1
+            above |= {b.path: b.branches for b in blocks}
+        m, best = len(distinct), {}
+        for path, counts in texts.items():
+            shapes, presentation, content = layouts[path], 1.0, 1.0
+            if m > 1:
+                total = sum(shapes.values())
+                presentation = -sum(n / total * math.log(n / total, m) for n in shapes.values()) if total else 0.0
+                content = 1 - sum(math.log(n, m) for n in counts.values()) / len(counts)
+            fade = gamma ** len(shapes)
+            for branch in above[path]:
+                best[branch] = max(best.get(branch, -1), (1 - fade) * presentation + fade * content)
+        low = {stable(b) for b, score in best.items() if score < threshold}
+        if low:
+            noisy[host] = low
+    return noisy
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tree_equals_counting_page_by_page(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for k in range(120):
+        parts = ["<div class=c0><p>w0</div>", f"<div class=c9><p>w{rng.randrange(2)}</div>"]
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.randrange(5)  # from the same words everywhere to words of one page
+            inner = "".join(f"<{t}>w{rng.randrange((1, 2, 3, 30, 900)[kind])}" for t in rng.sample(["p", "h2", "h3"], rng.randint(1, 2)))
+            parts.append(f"<div class=c{kind}>{inner}</div>")
+        rows.append((k, f"http://h{rng.randrange(4)}.example.com/{k}", "".join(parts)))
+    rows += rng.choices(rows, k=40)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    want = plain_noisy([r[1:] for r in rows], 0.3, 0.9)
+    got = {r.host: set(r.noisy) for r in html_tree.noisy_branches(html_tree.page_nodes(df), 0.3, 0.9).collect()}
+    assert got == want and want
+    texts = sorted(main_text(parsed(r[2])[0], frozenset(want.get(r[1].split("/")[2], ()))) for r in rows)
+    assert sorted(r.text for r in html_tree.extracted(df).collect()) == texts
