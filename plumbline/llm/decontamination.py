@@ -1,9 +1,10 @@
 """Benchmark decontamination with suffix arrays over shards of the training documents.
 
 Every task turns its documents into shards of about half a million words. A shard sorts the suffixes of its word sequence
-(those that begin with a few words that some benchmark item has in a row; no other suffix can hold a match), and every
-suffix and window of the benchmark is found in it by binary search. Documents never move; the benchmark goes to the
-tasks in blocks of bounded size, one after the other.
+(those that begin with a few words that some benchmark item has in a row; no other suffix can hold a match), and the
+longest verbatim match of every suffix of the benchmark is found in it by binary search. Where it is as long as the
+window that begins there, all places of the window are hits. Documents never move; the benchmark goes to the tasks in
+blocks of bounded size, one after the other.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import types as T
 from plumbline.llm.pretokens import mixed
 from plumbline.llm.words import NON_WORDS, hashed_words, row_slices
 
-#: Bytes of benchmark text that go to the tasks at once, words of a shard, words by which suffixes are sorted.
-ITEM_BLOCK, SHARD_WORDS, DEPTH = 8 << 20, 1 << 19, 64
+#: Bytes of benchmark text that go to the tasks at once, words of a shard, words by which suffixes are sorted (a window
+#: if that is longer), rows of words compared at once.
+ITEM_BLOCK, SHARD_WORDS, DEPTH, STEP = 8 << 20, 1 << 19, 64, 1 << 15
 
 
 @dataclass
@@ -45,9 +47,10 @@ class Items:
         item = np.repeat(np.arange(len(counts)), counts)
         inner = np.arange(len(self.words)) - self.bounds[:-1][item]
         size = np.minimum(counts, self.window)[item]
+        self.depth = max(DEPTH, self.window)
         self.bits = int(len(self.vocabulary) + 1).bit_length()
         self.per_key = 63 // self.bits
-        self.spaced = np.zeros(len(self.words) + len(counts) + DEPTH, np.int64)
+        self.spaced = np.zeros(len(self.words) + len(counts) + self.depth, np.int64)
         self.place = np.arange(len(self.words)) + item
         self.spaced[self.place] = self.words
         self.item, self.inner = item, inner
@@ -58,11 +61,13 @@ class Items:
         rows[np.arange(self.window)[None, :] >= self.window_sizes[:, None]] = 0
         # equal windows are looked for once
         self.windows, which = np.unique(np.column_stack([rows, self.window_sizes]), axis=0, return_inverse=True)
-        which = which.ravel()
-        pairs = np.unique(np.column_stack([which, item[starts]]), axis=0)
+        self.starts, self.which = starts, which.ravel()
+        pairs = np.unique(np.column_stack([self.which, item[starts]]), axis=0)
         self.window_items = pairs[:, 1]
         self.item_bounds = np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
-        self.leads = np.unique(lead_hashes(self.spaced, self.place[starts], self.lead))
+        self.suffixes = np.flatnonzero(inner <= counts[item] - self.lead)
+        self.suffix_leads = lead_hashes(self.spaced, self.place[self.suffixes], self.lead)
+        self.leads = np.unique(self.suffix_leads)
 
     def keys(self, rows: np.ndarray) -> np.ndarray:
         """Words packed into whole numbers, several to a key, in an order that is the order of the words."""
@@ -100,7 +105,7 @@ class Shard:
         at = np.searchsorted(items.vocabulary, hashes)
         at[at == len(items.vocabulary)] = 0
         known = items.vocabulary[at] == hashes if len(items.vocabulary) else np.zeros(len(hashes), bool)
-        self.spaced = np.zeros(len(hashes) + len(counts) + max(DEPTH, items.window), np.int32)
+        self.spaced = np.zeros(len(hashes) + len(counts) + items.depth, np.int32)
         self.place = np.arange(len(hashes)) + text
         self.spaced[self.place] = np.where(known, at + 1, 0)
         self.text_of = np.append(np.repeat(np.arange(len(counts)), counts + 1), len(counts))
@@ -109,9 +114,11 @@ class Shard:
         for k in range(1, items.lead):
             run = run & (self.spaced[k : k + len(run)] != 0)
         places = np.flatnonzero(run)
-        places = places[np.isin(lead_hashes(self.spaced, places, items.lead), items.leads)]
-        parts = [items.keys(words_at(self.spaced, places[k : k + 32768], DEPTH)) for k in range(0, len(places), 32768)]
-        keys = np.concatenate(parts) if parts else items.keys(np.zeros((0, DEPTH), np.int32))
+        leads = lead_hashes(self.spaced, places, items.lead)
+        known = np.isin(leads, items.leads)
+        places, self.leads = places[known], np.unique(leads[known])
+        parts = [items.keys(words_at(self.spaced, places[k : k + STEP], items.depth)) for k in range(0, len(places), STEP)]
+        keys = np.concatenate(parts) if parts else items.keys(np.zeros((0, items.depth), np.int32))
         order = np.lexsort(keys.T[::-1]) if len(places) else np.zeros(0, np.int64)
         self.suffixes, self.keys = places[order], keys[order]
 
@@ -132,9 +139,8 @@ class Shard:
             low[open_[before]] = mid[before] + 1
             high[open_[~before]] = mid[~before]
 
-    def occurrences(self) -> tuple[np.ndarray, np.ndarray]:
-        """(window, place) of every occurrence of every window."""
-        rows, sizes = self.items.windows[:, :-1], self.items.windows[:, -1]
+    def places_of(self, rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) of every suffix that begins with the first ``sizes`` words of a row; the row has 0 after them."""
         after = rows.copy()
         after[np.arange(len(rows)), sizes - 1] += 1
         low, high = self.lower(rows), self.lower(after)
@@ -142,29 +148,50 @@ class Shard:
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return np.repeat(np.arange(len(rows)), n), self.suffixes[np.repeat(low, n) + inner]
 
+    def sorted_matches(self) -> tuple[np.ndarray, np.ndarray]:
+        """(length, place) of the longest match of every suffix of every item within the sorted words, from ``lead`` words."""
+        items = self.items
+        best, where = np.zeros(len(items.words), np.int64), np.zeros(len(items.words), np.int64)
+        sought = items.suffixes[np.isin(items.suffix_leads, self.leads)]
+        for k in range(0, len(sought), STEP):
+            some = sought[k : k + STEP]
+            rows = words_at(items.spaced, items.place[some], items.depth)
+            low = self.lower(rows)
+            for side in (low, low - 1):  # the longest common beginnings are beside the place
+                ok = np.flatnonzero((side >= 0) & (side < len(self.suffixes)))
+                place = self.suffixes[side[ok]]
+                mine = words_at(self.spaced, place, items.depth)
+                same = np.where((mine != rows[ok]) | (mine == 0), 0, 1).cumprod(axis=1).sum(axis=1)
+                better = same > best[some[ok]]
+                best[some[ok[better]]], where[some[ok[better]]] = same[better], place[better]
+        return best, where
+
+    def occurrences(self) -> tuple[np.ndarray, np.ndarray]:
+        """(window, place) of every occurrence of every window: those that the longest match of their suffix covers."""
+        items = self.items
+        length, _ = self.sorted_matches()
+        found = np.unique(items.which[length[items.starts] >= items.window_sizes])
+        which, place = self.places_of(items.windows[found, :-1], items.windows[found, -1])
+        return found[which], place
+
     def longest(self) -> tuple[np.ndarray, np.ndarray]:
         """(length, place) of the longest match of every suffix of every item, of at least ``lead`` words."""
-        rows = words_at(self.items.spaced, self.items.place, DEPTH)
-        low = self.lower(rows)
-        best, where = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        for side in (low, low - 1):  # the longest common beginnings are beside the place
-            ok = np.flatnonzero((side >= 0) & (side < len(self.suffixes)))
-            place = self.suffixes[side[ok]]
-            mine = words_at(self.spaced, place, DEPTH)
-            same = np.where((mine != rows[ok]) | (mine == 0), 0, 1).cumprod(axis=1).sum(axis=1)
-            better = same > best[ok]
-            best[ok[better]], where[ok[better]] = same[better], place[better]
-        for k in np.flatnonzero(best == DEPTH).tolist():  # beyond the sorted words every equal suffix is compared
-            at, mine = int(low[k]), int(self.items.place[k])
-            for step in (1, -1):
-                spot = at if step > 0 else at - 1
-                while 0 <= spot < len(self.suffixes) and (self.spaced[self.suffixes[spot] : self.suffixes[spot] + DEPTH] == rows[k]).all():
-                    n, place = DEPTH, int(self.suffixes[spot])
-                    while self.spaced[place + n] and self.spaced[place + n] == self.items.spaced[mine + n]:
-                        n += 1
-                    if n > best[k]:
-                        best[k], where[k] = n, place
-                    spot += step
+        items, depth = self.items, self.items.depth
+        best, where = self.sorted_matches()
+        for k in np.flatnonzero(best == depth).tolist():  # beyond the sorted words every equal suffix is compared
+            mine = int(items.place[k])
+            _, places = self.places_of(words_at(items.spaced, items.place[k : k + 1], depth), np.array([depth]))
+            for a in range(0, len(places), STEP):
+                some = places[a : a + STEP]
+                length, open_ = np.full(len(some), depth), np.arange(len(some))
+                while len(open_):
+                    theirs = words_at(self.spaced, some[open_] + length[open_], depth)
+                    ours = words_at(items.spaced, mine + length[open_], depth)
+                    same = np.where((theirs != ours) | (theirs == 0), 0, 1).cumprod(axis=1).sum(axis=1)
+                    length[open_] += same
+                    open_ = open_[same == depth]
+                if length.max() > best[k]:
+                    best[k], where[k] = length.max(), some[length.argmax()]
         return best, where
 
 
@@ -183,7 +210,7 @@ def shards(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
 def item_blocks(items: DataFrame, window: int) -> list:
     """The benchmark as broadcast blocks of about ITEM_BLOCK bytes each; a longer item is a block of its own."""
     spark = items.sparkSession
-    texts = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), F.col("text")).where("text is not null")
+    texts = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), F.col("text")).where("text is not null").distinct()
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // ITEM_BLOCK))
     out = []
@@ -245,11 +272,11 @@ def matched(docs: DataFrame, items: DataFrame, window: int = 10) -> tuple[DataFr
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
+    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, places.
 
     Words are runs of ASCII letters and digits and of all characters beyond ASCII, with A-Z lower-cased. A window is
     ``window`` consecutive words of an item of ``items`` (item_id, text), or the whole item if it has fewer words. Every
-    word inside an occurrence of a window is hit.
+    word inside an occurrence of a window is hit. places: (first_word, n_words) of every stretch of hit words, in order.
 
     Null and empty texts have no words; items without words have no window. An item without item_id counts by the name
     null; items that share an item_id are one. Repeated documents are rows of their own, null doc_ids stay null. An
@@ -259,16 +286,24 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = [int(np.diff(np.frombuffer(s, "<i4").reshape(-1, 2)).sum()) for s in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.int64()), batch.column(3)], ["doc_id", "n_words", "n_hit", "items"])
-
-    rows = found.select("doc_id", "n_words", "spans", "items").mapInArrow(count, "doc_id long, n_words long, n_hit long, items array<string>")
+            spans = [np.frombuffer(s, "<i4").reshape(-1, 2) for s in batch.column(2).to_pylist()]
+            hits = [int(np.diff(s).sum()) for s in spans]
+            places = pa.array([[{"first_word": a, "n_words": b - a} for a, b in s.tolist()] for s in spans], place)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.int64()), batch.column(3), places], ["doc_id", "n_words", "n_hit", "items", "places"])
+
+    place = pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64())]))
+    schema = "doc_id long, n_words long, n_hit long, items array<string>, places array<struct<first_word:long,n_words:long>>"
+    rows = found.select("doc_id", "n_words", "spans", "items").mapInArrow(count, schema)
     digest = F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256)
-    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "places")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no window of ``items`` occurs."""
+    """The rows of ``docs``, all columns, in which no window of ``items`` occurs.
+
+    Rows with a null or empty text stay, repeated rows are judged alike, and columns may have any names. Without items
+    (or with none that has words) every row stays; an empty ``docs`` gives no rows.
+    """
     found, cols = matched(docs, items, window)
     return found.where(F.octet_length(cols["spans"]) == 0).select(*docs.columns)
 
@@ -277,7 +312,8 @@ def longest_matches(docs: DataFrame, items: DataFrame, window: int = 10) -> Data
     """The longest verbatim match of every suffix of every item: item_id, first_word, length, doc_id, at_word.
 
     Only matches of at least four words (of the shortest window, if that is shorter) are listed. Of equally long matches
-    the one with the smallest doc_id and place is named.
+    a task names the first in its sorted words, and of those of all tasks the one with the smallest doc_id and place is
+    named. Null and empty texts match nothing, items that share an item_id are one, empty tables give no rows.
     """
 
     def search(block):

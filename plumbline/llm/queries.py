@@ -120,7 +120,7 @@ CONTAMINATION_SQL = f"""
 def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that benchmark windows of ten words cover, and the items they come from."""
     rows = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
-    return rows.drop("items")
+    return rows.drop("items", "places")
 
 
 @query()

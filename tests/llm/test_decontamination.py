@@ -42,7 +42,7 @@ def test_windows_and_longest_matches_in_a_shard(trial):
     items = [" ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 2, 3, 5, 9, 10, 11, 14, 80]))) for _ in range(rng.randint(0, 5))]
     if items:
         texts.append(f"x {items[-1]} y {items[0]}")
-    window = rng.choice([3, 10])
+    window = rng.choice([3, 10, 70])
     block = Items.of([str(i) for i in range(len(items))], items, window)
     shard = Shard(block, *hashed_words(pa.array(texts), NON_WORDS))
     which, place = shard.occurrences()
@@ -62,8 +62,6 @@ def test_windows_and_longest_matches_in_a_shard(trial):
     lengths, _ = shard.longest()
     for q in range(len(block.words)):
         x = items[block.item[q]].split()
-        if block.inner[q] > len(x) - min(window, len(x)):
-            continue
         x, best = x[block.inner[q] :], 0
         for y in parts:
             for a in range(len(y)):
@@ -77,7 +75,7 @@ def test_windows_and_longest_matches_in_a_shard(trial):
 def rows_of(spark, docs, items, window=10):
     d = spark.createDataFrame([(i, t, "clash") for i, t in docs], "doc_id long, text string, n_hit string")
     b = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
-    return d, b, sorted(map(tuple, decontamination.contamination(d, b, window).drop("items").collect()), key=str)
+    return d, b, sorted(map(tuple, decontamination.contamination(d, b, window).drop("items", "places").collect()), key=str)
 
 
 def test_contamination_equals_brute_force(spark, monkeypatch):
@@ -110,3 +108,24 @@ def test_longest_match_across_shards(spark):
     assert (rows[0].length, rows[0].doc_id, rows[0].at_word) == (100, 2, 0)
     assert (rows[30].length, rows[30].doc_id) == (70, 2)
     assert np.all([rows[k].length == 100 - k for k in range(90)])
+
+
+def test_long_windows_places_and_ends_of_items(spark):
+    item = [f"q{i}" for i in range(100)]
+    docs = [(1, " ".join(["x", *item[:85], "y", *item[10:95]])), (2, " ".join(item[91:])), (3, " ".join(item[:79]))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(7, " ".join(item))] * 3, "item_id long, text string")
+    rows = {r.doc_id: r for r in decontamination.contamination(d, b, 80).collect()}
+    assert [tuple(p) for p in rows[1].places] == [(1, 85), (87, 85)] and rows[1].n_hit == 170
+    assert rows[2].places == [] and not rows[2].contaminated and not rows[3].contaminated
+    found = {r.first_word: r for r in decontamination.longest_matches(d.where("doc_id = 2"), b).collect()}
+    assert {k: r.length for k, r in found.items()} == {k: 100 - k for k in range(91, 97)}  # from four words
+
+
+def test_many_copies_of_a_long_match(spark):
+    item = " ".join(f"q{i}" for i in range(200))
+    d = spark.createDataFrame([(i, item + f" q{i}") for i in range(300)] + [(300, item)], "doc_id long, text string")
+    b = spark.createDataFrame([(7, item + " q42")], "item_id long, text string")
+    rows = {r.first_word: r for r in decontamination.longest_matches(d, b).collect()}
+    assert (rows[0].length, rows[0].doc_id, rows[0].at_word) == (201, 42, 0)
+    assert (rows[150].length, rows[150].doc_id) == (51, 42)
