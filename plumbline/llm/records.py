@@ -111,9 +111,10 @@ def scan_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def with_starts(index: DataFrame) -> DataFrame:
-    """Adds ``start``: the ids of all records before this one, by sums per file (file names follow the order)."""
+    """Adds ``start``: the ids of all records before this one, by sums per file (the numbers in file names give the order)."""
     sums = index.groupBy("file").agg(F.sum("n_tokens").alias("_n"))
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")  # five digits at least, more from 100,000 files on
+    earlier = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     return index.join(sums, "file").withColumn("start", F.col("_before") + F.col("in_file")).drop("_before")
 
