@@ -94,9 +94,9 @@ def quantile_columns(df: DataFrame, columns: list[str], points: list[float], met
     return {c: F.percentile_approx(number_of(df, c), F.array(*map(F.lit, points)), 10000) for c in columns}
 
 
-def column_info(df: DataFrame, quantiles: str = "exact") -> DataFrame:
-    """Name, type, rows, missing values; range and 5th/95th percentile of numeric columns."""
-    numeric, types = set(numeric_columns(df)), dict(df.dtypes)
+def column_info(df: DataFrame, quantiles: str | None = "exact") -> DataFrame:
+    """Name, type, rows, missing values; range and 5th/95th percentile of numeric columns (NULL without ``quantiles``)."""
+    numeric, types = set(numeric_columns(df)) if quantiles else set(), dict(df.dtypes)
     points = quantile_columns(df, [c for c in df.columns if c in numeric], [0.05, 0.95], quantiles)
 
     def metrics(c: str) -> dict[str, Column]:
@@ -138,31 +138,69 @@ def format_votes(df: DataFrame, columns: list[str] | None = None, counts: DataFr
     """Detected format per text column: the label of at least half (and three) of its values, else free text."""
     columns = string_columns(df) if columns is None else columns
     counts = cell_counts(df, columns) if counts is None else counts
-    label = vote_label(strip(F.col("value")))
-    votes = counts.where(F.col("value").isNotNull()).select("column", "n", label.alias("label"))
-    totals = votes.groupBy("column").agg(
-        F.sum("n").alias("filled"),
+    votes = counts.where(F.col("value").isNotNull()).select("column", "n", _label(F.col("value")).alias("label"))
+    return votes.groupBy("column").agg(*_votes()).select("column", _winner().alias("format"))
+
+
+def _label(value: Column) -> Column:
+    return F.coalesce(vote_label(strip(value)), F.lit("free_text"))
+
+
+def _votes() -> list[Column]:
+    """Votes for every label, and all votes, of rows with label and n."""
+    return [
+        F.sum(F.when(F.col("label").isNotNull(), F.col("n"))).alias("filled"),
         *[F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0)).alias(k) for k in VOTE_PRIORITY],
-    )
+    ]
+
+
+def _winner() -> Column:
     best = F.greatest(*VOTE_PRIORITY)
     winner = F.coalesce(*[F.when(F.col(k) == best, F.lit(k)) for k in VOTE_PRIORITY])
     enough = F.greatest(F.lit(3.0), F.col("filled") * 0.5)
-    return totals.select("column", F.when(best >= enough, winner).otherwise("free_text").alias("format"))
+    return F.when(F.col("filled") > 0, F.when(best >= enough, winner).otherwise("free_text"))
+
+
+def text_facts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Format, blank share, lengths, mixed case and a sketch of the distinct values of text columns.
+
+    All of it is added up in the tasks that read the rows, so that one row per column and task is shuffled.
+    ``few`` is true for every column with at most ``CATALOGUE`` distinct values, and for some with a few more: values
+    touch at most as many of the sketch's 512 registers as there are values, and the estimate then counts registers.
+    """
+    v, n = F.col("value"), F.lit(1)
+    rows = cells(df, columns).select(
+        "column", "value", n.alias("n"), F.when(v.isNotNull(), _label(v)).alias("label")
+    )
+    facts = rows.groupBy("column").agg(
+        *_votes(),
+        pct(F.count_if(is_blank(v)), F.count(n)).alias("blank_pct"),
+        F.min(F.char_length(v)).cast("bigint").alias("length_min"),
+        F.max(F.char_length(v)).cast("bigint").alias("length_max"),
+        F.coalesce(F.bool_or(v.rlike("[A-Z]") & v.rlike("[a-z]")), F.lit(False)).alias("mixed_case"),
+        (F.approx_count_distinct(v, 0.05) <= 2 * CATALOGUE).alias("few"),
+    )
+    return facts.select("column", _winner().alias("format"), "blank_pct", "length_min", "length_max", "mixed_case", "few")
 
 
 def distinct_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("column").agg(F.count_if(F.col("value").isNotNull()).alias("n_distinct"))
 
 
+def typed_routes(df: DataFrame) -> dict[str, str]:
+    """Profile kind of every column that isn't text: its type says it."""
+    numeric, dates = numeric_columns(df), date_columns(df)
+    return {
+        n: "numeric" if n in numeric else "date" if n in dates else "categorical" if t == "boolean" else "skipped"
+        for n, t in df.dtypes
+        if t != "string"
+    }
+
+
 def routes(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Profile kind of every column: numeric, date, categorical or text."""
     texts = string_columns(df)
-    fixed = [
-        (n, "numeric" if n in numeric_columns(df) else "date" if n in date_columns(df) else "categorical" if t == "boolean" else "skipped")
-        for n, t in df.dtypes
-        if n not in texts
-    ]
-    out = df.sparkSession.createDataFrame(fixed, "column string, kind string")
+    out = df.sparkSession.createDataFrame(list(typed_routes(df).items()), "column string, kind string")
     if not texts:
         return out
     counts = cell_counts(df, texts) if counts is None else counts

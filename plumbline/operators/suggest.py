@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from plumbline.functions.dates import moment
 from plumbline.functions.text import strip, words
 from plumbline.operators import profile as pf
 from plumbline.operators.rules import Rule
-from plumbline.session import checkpointed
 
 # Patterns proposed for a detected format.
 PATTERNS = {
@@ -65,42 +64,49 @@ DEFAULTS = {
 
 # Facts that the rules of a dimension look at, besides the basic ones of every column.
 FACTS = {
-    "completeness": {"text"}, "uniqueness": set(), "validity": {"text", "catalogue"}, "consistency": {"text", "catalogue", "date"},
+    "completeness": {"text"}, "uniqueness": {"distinct"}, "validity": {"text", "catalogue"}, "consistency": {"text", "catalogue", "date"},
     "accuracy": {"numeric"}, "validity_period": {"date"}, "precision": {"text"}, "reasonableness": {"numeric"},
-    "similarity": {"text", "catalogue"}, "timeliness": set(),
+    "similarity": {"text", "names", "catalogue"}, "timeliness": set(),
 }
 
 
 def context(df: DataFrame, as_of: str | None = None, quantiles: str = "exact", dimensions: list[str] | None = None) -> DataFrame:
     """One row per column: basic facts merged with the profile of its kind, gaps filled with defaults.
 
-    With ``dimensions`` only the facts are computed that these dimensions look at.
+    With ``dimensions`` only the facts are computed that these dimensions look at. The kind of a column is found first, by
+    a sketch where it has many values, so that values are only counted in columns that may be catalogues and dates only
+    read in columns that hold dates. Without text, catalogue or date facts the kind of text columns stays NULL.
     """
     wanted = set().union(*[FACTS[d] for d in (FACTS if dimensions is None else dimensions)])
-    texts = pf.string_columns(df)
-    numbers = pf.numeric_columns(df)
+    texts, numbers, dates = pf.string_columns(df), pf.numeric_columns(df), pf.date_columns(df)
     simple = [n for n, t in df.dtypes if not t.startswith(("array", "map", "struct", "binary"))]
-    # Every text metric below starts from the value counts: they are computed once, in the shared checkpoint folder.
-    every = checkpointed(pf.cell_counts(df, simple))
-    counts = every.where(F.col("column").isin(texts))
-    kinds = checkpointed(pf.routes(df, counts))
-    info = pf.column_info(df, quantiles).join(pf.distinct_counts(every), "column", "left")
-    out = info.join(kinds, "column", "left").withColumn("pct_null", F.col("n_nulls") / F.greatest("n_rows", F.lit(1)) * 100)
+    # One row per text column, added up where the rows are read, decides what is looked at more closely.
+    facts = pf.text_facts(df, texts).collect() if texts and wanted & {"text", "catalogue", "date"} else []
+    kinds = {**pf.typed_routes(df), **_kinds(df, facts)}
+    of_kind = {k: [c for c, kind in kinds.items() if kind == k and c in texts] for k in ("text", "categorical", "date")}
+    info = pf.column_info(df, quantiles if "numeric" in wanted else None)
+    if "distinct" in wanted:
+        info = info.join(pf.distinct_counts(pf.cell_counts(df, simple)), "column", "left")
+    listed = df.sparkSession.createDataFrame(list(kinds.items()), "column string, kind string")
+    out = info.join(F.broadcast(listed), "column", "left")  # one row per table column
+    out = out.withColumn("pct_null", F.col("n_nulls") / F.greatest("n_rows", F.lit(1)) * 100)
     if numbers and "numeric" in wanted:
         shape = pf.numeric_profile(df, numbers, quantiles).select("column", "negative_pct", "skew_label")
         out = out.join(shape, "column", "left").join(pf.outlier_counts(df, numbers, quantiles), "column", "left")
-    if texts and "text" in wanted:
-        text = pf.text_profile(df, texts, counts).select("column", "blank_pct", "length_min", "length_max", "mixed_case")
-        text = text.join(pf.format_votes(df, texts, counts), "column", "left")
-        text = text.join(pf.name_signals(df, texts, counts), "column", "left")
-        out = out.join(_only(text, kinds, "text"), "column", "left")
-    if texts and "catalogue" in wanted:
-        out = out.join(_only(_catalogue(df, texts, counts), kinds, "categorical"), "column", "left")
-    dates = [*pf.date_columns(df), *texts]
+    if of_kind["text"] and "text" in wanted:
+        schema = "column string, format string, blank_pct double, length_min long, length_max long, mixed_case boolean"
+        text = df.sparkSession.createDataFrame([r[:-1] for r in facts if r["column"] in of_kind["text"]], schema)
+        if "names" in wanted:
+            rows = pf.cells(df, of_kind["text"]).withColumn("n", F.lit(1))
+            text = text.join(pf.name_signals(df, of_kind["text"], rows), "column", "left")
+        out = out.join(text, "column", "left")
+    if of_kind["categorical"] and "catalogue" in wanted:
+        out = out.join(_catalogue(df, of_kind["categorical"], pf.cell_counts(df, of_kind["categorical"])), "column", "left")
+    dates = [*dates, *of_kind["date"]]
     if dates and "date" in wanted:
         dated = pf.date_profile(df, dates, as_of).select("column", "future_pct", "old_pct")
         formats = pf.date_formats(df, dates).groupBy("column").agg(F.count(F.lit(1)).alias("n_formats"))
-        out = out.join(_only(dated.join(formats, "column", "left"), kinds, "date"), "column", "left")
+        out = out.join(dated.join(formats, "column", "left"), "column", "left")
     return complete(out)
 
 
@@ -115,22 +121,24 @@ def complete(profile: DataFrame) -> DataFrame:
     return profile.withColumns({**filled, **missing})
 
 
-def _only(table: DataFrame, kinds: DataFrame, kind: str) -> DataFrame:
-    return table.join(kinds.where(F.col("kind") == kind).select("column"), "column", "left_semi")
+def _kinds(df: DataFrame, facts: list[Row]) -> dict[str, str]:
+    """Profile kind of the text columns; only columns whose sketch is small are counted exactly."""
+    maybe = [r["column"] for r in facts if r.few and r.format != "date"]
+    counted = pf.distinct_counts(pf.cell_counts(df, maybe)).collect() if maybe else []
+    few = {r["column"] for r in counted if r.n_distinct <= pf.CATALOGUE}
+    return {r["column"]: "date" if r.format == "date" else "categorical" if r["column"] in few else "text" for r in facts}
 
 
 def _catalogue(df: DataFrame, texts: list[str], counts: DataFrame) -> DataFrame:
     """Catalogue facts: dominance, top values, spellings of one value and whether they hold abbreviations."""
-    small = pf.distinct_counts(counts).where(F.col("n_distinct") <= pf.CATALOGUE).select("column")
-    few = counts.join(F.broadcast(small), "column", "left_semi")  # one row per table column
-    variants = pf.case_variants(df, texts, few).groupBy("column").agg(
+    variants = pf.case_variants(df, texts, counts).groupBy("column").agg(
         F.count_distinct("form").alias("n_variants"),
         F.bool_or(F.exists(words(strip(F.col("value"))), lambda w: w.rlike(r"^.{1,5}\.$"))).alias("abbreviations"),
     )
-    top = pf.top_values(df, texts, 10, few).groupBy("column").agg(
+    top = pf.top_values(df, texts, 10, counts).groupBy("column").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("top_values")
     )
-    shape = pf.categorical_profile(df, texts, few).select("column", "imbalanced", F.lit(True).alias("is_catalogue"))
+    shape = pf.categorical_profile(df, texts, counts).select("column", "imbalanced", F.lit(True).alias("is_catalogue"))
     return shape.join(top, "column", "left").join(variants, "column", "left")
 
 

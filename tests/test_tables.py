@@ -113,3 +113,25 @@ def test_no_python_in_plans_that_need_none(spark):
         plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan, name
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_context_of_columns_at_the_edge_of_a_catalogue(spark):
+    rows = [(f"a{i % 20}", f"b{i % 21}", f"c{i}", None, f"2024-01-{i % 28 + 1:02d}", " ", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, nothing string, day string, blank string, n int")
+    got = {r["column"]: r for r in sg.context(df, "2026-01-01").collect()}
+    kinds = {c: r.kind for c, r in got.items()}
+    assert kinds == {"a": "categorical", "b": "text", "c": "text", "nothing": "categorical", "day": "date", "blank": "categorical", "n": "numeric"}
+    assert [got[c].n_distinct for c in ("a", "b", "c", "nothing")] == [20, 21, 400, 0]
+    assert got["a"].is_catalogue and not got["b"].is_catalogue and not got["nothing"].is_catalogue
+    assert (got["c"].length_min, got["c"].length_max, got["a"].length_max) == (2, 4, None)
+    assert got["day"].n_formats > 0 and got["a"].n_formats == 0
+    empty = sg.context(df.limit(0), "2026-01-01").collect()
+    assert {r["column"] for r in empty} == set(kinds) and all(r.n_rows == 0 for r in empty)
+
+
+def test_sketch_never_misses_a_catalogue(spark):
+    from plumbline.operators import profile as pf
+
+    rows = [tuple(f"{c}-{i % 20}" for c in range(60)) for i in range(40)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{c} string" for c in range(60)))
+    assert all(r.few for r in pf.text_facts(df, df.columns).collect())
