@@ -73,3 +73,10 @@ def test_damage_is_seen(at):
         list(records.frames(bytes(data)))
     with pytest.raises(records.CorruptRecord):
         list(records.frames(bytes(data[:-3])))
+
+
+def test_files_are_in_the_order_of_their_numbers(spark):
+    files = [f"part-{k}-x.txt" for k in ("00000", "99999", "100000", "100001")]
+    index = spark.createDataFrame([(f, i, 10) for f in files for i in (0, 10)], "file string, in_file long, n_tokens long")
+    got = {(r.file, r.in_file): r.start for r in records.with_starts(index.repartition(3)).collect()}
+    assert [got[f, i] for f in files for i in (0, 10)] == list(range(0, 80, 10))
