@@ -5,14 +5,17 @@ Spark has no built-in for these five. Each function takes two string columns and
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.text import LEGAL_SUFFIXES, NAME_STOPWORDS
 
-AFFINE_LENGTH = 50  # fixed value: characters compared by the affine gap alignment
+CELLS = 4_000_000  # cells of one matrix of texts; longer batches are cut, longer texts first
 AFFINE_RATIO = 0.25  # fixed value: shorter/longer length below which the score is 0
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0  # fixed values of both alignments
 GAP_EXTEND = -0.1
@@ -70,10 +73,11 @@ def smith_waterman_batch(left: list[str], right: list[str]) -> np.ndarray:
     return best / np.maximum(MATCH * np.minimum(la, lb), 1.0)
 
 
-def affine_gap_batch(left: list[str], right: list[str]) -> np.ndarray:
+def affine_gap_batch(left: list[str], right: list[str], compared: int | None = None) -> np.ndarray:
+    """``compared``: only that many first characters are aligned; None aligns whole texts."""
     full = np.array([(len(x), len(y)) for x, y in zip(left, right)], dtype=float).reshape(-1, 2)
-    a, la = _codes([t[:AFFINE_LENGTH] for t in left], -1)
-    b, lb = _codes([t[:AFFINE_LENGTH] for t in right], -2)
+    a, la = _codes([t[:compared] for t in left], -1)
+    b, lb = _codes([t[:compared] for t in right], -2)
     size, width = len(left), b.shape[1]
     rows, step = np.arange(size), np.arange(width + 1, dtype=float)
     pair = np.full((size, width + 1), -np.inf)
@@ -127,10 +131,38 @@ def monge_elkan_batch(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
+def letters_allow(left: list[str], right: list[str], floor: float) -> np.ndarray:
+    """For each pair whether its common letters, all matched in order, reach a Jaro similarity of ``floor``."""
+    shared = np.zeros((len(left), len(right)), dtype=np.int32)
+    counts: dict[str, tuple[list, list]] = {}
+    for side, texts in enumerate((left, right)):
+        for row, text in enumerate(texts):
+            for letter, n in Counter(text).items():
+                counts.setdefault(letter, ([], []))[side].append((row, n))
+    for here, there in counts.values():
+        if here and there:
+            (i, m), (j, n) = np.array(here).T, np.array(there).T
+            shared[np.ix_(i, j)] += np.minimum.outer(m, n).astype(np.int32)
+    la = np.array([max(len(t), 1) for t in left], dtype=float).reshape(-1, 1)
+    lb = np.array([max(len(t), 1) for t in right], dtype=float).reshape(1, -1)
+    return (shared > 0) & ((shared / la + shared / lb + 1) / 3 >= floor)
+
+
+def _in_parts(batch, left: list[str], right: list[str]) -> np.ndarray:
+    """The kernel over rows of like length, few enough at once that no matrix exceeds CELLS (one pair can)."""
+    size = np.array([max(len(x), len(y), 1) for x, y in zip(left, right)])
+    out, order, start = np.zeros(len(left)), np.argsort(-size, kind="stable"), 0
+    while start < len(order):
+        part = order[start : start + max(1, CELLS // int(size[order[start]]))]
+        out[part] = batch([left[i] for i in part], [right[i] for i in part])
+        start += len(part)
+    return out
+
+
 def _pair_udf(batch):
     @F.pandas_udf(T.DoubleType())
     def kernel(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(batch(a.tolist(), b.tolist()) * 100 if len(a) else [], dtype="float64")
+        return pd.Series(_in_parts(batch, a.tolist(), b.tolist()) * 100 if len(a) else [], dtype="float64")
 
     return kernel
 
@@ -139,4 +171,7 @@ jaro = _pair_udf(lambda a, b: jaro_batch(a, b, winkler=False))
 jaro_winkler = _pair_udf(lambda a, b: jaro_batch(a, b, winkler=True))
 monge_elkan = _pair_udf(monge_elkan_batch)
 smith_waterman = _pair_udf(smith_waterman_batch)
-affine_gap = _pair_udf(affine_gap_batch)
+
+
+def affine_gap(a: Column, b: Column, compared: int | None = None) -> Column:
+    return _pair_udf(lambda x, y: affine_gap_batch(x, y, compared))(a, b)

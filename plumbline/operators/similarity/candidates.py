@@ -7,6 +7,8 @@ nothing else. What is left out can be shown to stay below the threshold; nothing
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from plumbline.session import checkpointed
 
 UNSHARED_IDF = 1.4054651081081644  # fixed value: 1 + ln(3/2), weight of a term in one of two texts
 EPS = 1e-9
+LETTER = "\u0001"  # marks numbered letters, so that they differ from pairs of characters
+TILE = 1024  # values on each side of a tile of letter counts
 SHARED_KEYS = 3  # rare keys a pair must share where that many can be shown to survive
 
 
@@ -201,47 +205,42 @@ def cosine_pairs(values: DataFrame, threshold: float) -> DataFrame:
     return joined(keyed, keyed, F.col("p.v") < F.col("i.v"))
 
 
-def edit_pairs(values: DataFrame, threshold: float, algorithm: str) -> DataFrame:
+def edit_pairs(values: DataFrame, threshold: float, algorithm: str, compared: int | None = None) -> DataFrame:
     """Alignments and edit distance: few n-grams of the shorter text can be damaged, so a rare intact one is shared.
 
-    The text is probed with its rarest 4-grams; where too many could be damaged, with shorter ones.
+    The shorter text is probed with its rarest 4-grams; where too many could be damaged, with shorter ones, at last with
+    its letters numbered by occurrence, of which one is always left. By edit distance the longer text is damaged as
+    little, so it too is found under its rarest n-grams alone; alignments reach into texts of any length, found under all.
+    ``compared``: the first characters that the affine gap reads, all by default.
     """
-    text = F.substring("v", 1, kernels.AFFINE_LENGTH) if algorithm == "affine_gap" else F.col("v")
+    text = F.substring("v", 1, compared) if algorithm == "affine_gap" and compared else F.col("v")
     sizes = (4, 3, 2, 1)
-    base = settled(
-        values.select("v", F.char_length("v").alias("len"), text.alias("x")).select(
-            "v", "len", F.char_length("x").alias("m"), *[grams(F.col("x"), q).alias(f"g{q}") for q in sizes]
-        )
-    )
+    tokens = {q: grams(F.col("x"), q) if q > 1 else F.transform(letters(F.col("x")), lambda t: F.concat(F.lit(LETTER), t)) for q in sizes}
+    texts = values.select("v", F.char_length("v").alias("len"), text.alias("x"))
+    base = settled(texts.select("v", "len", F.char_length("x").alias("m"), *[t.alias(f"g{q}") for q, t in tokens.items()]))
+    length = F.col("m")
     if algorithm == "levenshtein":
-        edits = _floor(_floor(F.col("len") / threshold) * (1 - threshold))
-        damage = {q: edits * q for q in sizes}
         ratio = threshold
+        edits = _floor(_floor(length / threshold) * (1 - threshold))  # with the longest partner
+        # The longer of two texts shares all its letters but one for each edit its own length allows.
+        damage = {q: edits * q if q > 1 else _floor(length * (1 - threshold)) for q in sizes}
     else:
-        budget = F.col("m") * 2 * (1 - threshold)
-        damage = {q: _floor(budget * (q - 1)) if q > 1 else _floor(budget / 2) for q in sizes}
         ratio = kernels.AFFINE_RATIO if algorithm == "affine_gap" else 0.0
-    # Longest n-grams of which the rarest two thirds are enough, else the longest of which more exist than can be
-    # damaged; 0 when even single letters are too few.
+        budget = length * 2 * (1 - threshold)
+        damage = {q: _floor(budget * (q - 1)) if q > 1 else _floor(budget / 2) for q in sizes}
+    # n-grams of which the rarest two thirds are enough, else the longest of which more exist than can be damaged.
     few = [F.when(F.size(f"g{q}") * 0.67 >= damage[q] + SHARED_KEYS, F.lit(q)) for q in sizes if q > 2]
-    usable = F.coalesce(*few, *[F.when(F.size(f"g{q}") > damage[q], F.lit(q)) for q in sizes], F.lit(0))
-    safe = base.withColumn("q", usable)
-    damaged = F.coalesce(*[F.when(F.col("q") == q, damage[q]) for q in sizes])
-    chosen = F.coalesce(*[F.when(F.col("q") == q, F.col(f"g{q}")) for q in sizes])
-    probing = safe.where(F.col("q") > 0).select("v", "len", damaged.alias("damaged"), F.explode(chosen).alias("t"))
-    rarity = base.select(F.explode(F.concat(*[f"g{q}" for q in sizes])).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    order = F.array_sort(F.collect_list(F.struct("df", "t")))
-    # Of any ``damaged + need`` grams at least ``need`` stay intact and are shared.
-    need = F.least(F.size("o") - F.col("damaged"), F.lit(SHARED_KEYS))
-    probe = probing.join(rarity, "t").groupBy("v", "len", "damaged").agg(order.alias("o")).select(
-        "v", "len", need.alias("need"), F.slice("o.t", 1, F.col("damaged") + need).alias("keys")
-    )
-    index = base.select("v", "len", F.concat(*[f"g{q}" for q in sizes]).alias("keys"))
-    if safe.where(F.col("q") == 0).limit(1).count() > 0:
-        # Texts with so few distinct letters that no n-gram is safe meet every longer text.
-        anything = F.array(F.lit("*"))
-        probe = probe.unionByName(safe.where(F.col("q") == 0).select("v", "len", F.lit(1).alias("need"), anything.alias("keys")))
-        index = index.unionByName(base.select("v", "len", anything.alias("keys")))
+    usable = F.coalesce(*few, *[F.when(F.size(f"g{q}") > damage[q], F.lit(q)) for q in sizes[:-1]], F.lit(1))
+    kinds = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), damage[q].alias("damaged"), F.col(f"g{q}").alias("t")) for q in sizes]))
+    long = base.select("v", "len", usable.alias("probed"), kinds.alias("k")).select("v", "len", "probed", "k.q", "k.damaged", F.explode("k.t").alias("t"))
+    rarity = long.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    by_rarity = F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("o")
+    ordered = settled(long.join(rarity, "t").groupBy("v", "len", "probed", "q", "damaged").agg(by_rarity))
+    # Of any ``damaged + need`` tokens at least ``need`` stay intact and are shared.
+    need = F.greatest(F.least(F.size("o") - F.col("damaged"), F.lit(SHARED_KEYS)), F.lit(1))
+    rarest = F.slice("o", F.lit(1), F.col("damaged") + need)
+    probe = ordered.where(F.col("q") == F.col("probed")).select("v", "len", need.alias("need"), rarest.alias("keys"))
+    index = ordered.select("v", "len", (rarest if algorithm == "levenshtein" else F.col("o")).alias("keys"))
     keep = (F.col("p.len") <= F.col("i.len")) & (F.col("p.len") >= F.col("i.len") * ratio - EPS)
     return joined_counting(probe, index, keep)
 
@@ -275,11 +274,46 @@ def _couples(tokens: Column) -> Column:
     )
 
 
+def letter_tiles(values: DataFrame, floor: float) -> DataFrame:
+    """Pairs whose common letters allow a Jaro similarity of ``floor``, whatever that is.
+
+    At two thirds and below a short text can reach texts of any length, so no letter is rare enough to join on. Letter
+    counts are compared in tiles of some thousand by thousand values, and only pairs that pass the bound leave a tile.
+    The work is one small addition per pair and letter; at such thresholds the pairs found grow alike.
+    """
+    groups = max(1, -(-values.count() // TILE))
+    group = F.pmod(F.xxhash64("v"), F.lit(groups)).cast("int")
+    partners = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda o: F.struct(F.least(o, F.col("own")).alias("g"), F.greatest(o, F.col("own")).alias("h")))
+    sent = values.select("v", group.alias("own")).select("v", "own", F.explode(partners).alias("tile")).select("v", "own", "tile.g", "tile.h")
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        left = rows.v[rows.own == key[0]].to_numpy()
+        right = left if key[0] == key[1] else rows.v[rows.own == key[1]].to_numpy()
+        near = kernels.letters_allow(list(left), list(right), floor - EPS)
+        i, j = np.nonzero(np.triu(near, 1) if key[0] == key[1] else near)
+        x, y = left[i], right[j]
+        swap = x > y
+        return pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y)})
+
+    return spread(sent.groupBy("g", "h").applyInPandas(compare, "a string, b string"))
+
+
+def sharing_block(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The pairs whose values have one of their ``blocks`` (v, blocks) in common."""
+    left = blocks.select(F.col("v").alias("a"), F.col("blocks").alias("ka"))
+    right = blocks.select(F.col("v").alias("b"), F.col("blocks").alias("kb"))
+    return pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("ka", "kb")).select("a", "b")
+
+
 def jaro_pairs(values: DataFrame, threshold: float, winkler: bool, blocks: DataFrame | None = None) -> DataFrame:
-    """Similar pairs have two of their rarest letters in common, and a block when ``blocks`` (v, blocks) is given."""
+    """Similar pairs have two of their rarest letters in common, and a block when ``blocks`` (v, blocks) is given.
+
+    Thresholds that bound no letters (two thirds and below) are compared by letter counts instead.
+    """
     floor = jaro_floor(threshold, winkler)
-    if floor <= 2 / 3:
-        raise ValueError("Jaro thresholds of 67 and below do not bound the shared letters; use a higher threshold")
+    if floor <= 2 / 3 + EPS:
+        pairs = letter_tiles(values, floor)
+        return pairs if blocks is None else sharing_block(pairs, blocks)
     sets = ranked(values, letters(F.col("v"))).withColumn("len", F.size("tokens"))
     if blocks is not None:
         sets = sets.join(blocks, "v")
@@ -307,7 +341,7 @@ def jaro_pairs(values: DataFrame, threshold: float, winkler: bool, blocks: DataF
 
 def monge_elkan_pairs(values: DataFrame, threshold: float, near: float = 0.8) -> DataFrame:
     """A value's rarest words must have a near word in the other value; near words come from the vocabulary."""
-    near = min(near, threshold - 0.05)
+    near = min(near, threshold - 0.05) if threshold > 0.1 else threshold / 2
     tokens = settled(values.select("v", clean_tokens(F.col("v")).alias("tokens"))).where(F.size("tokens") > 0)
     long = tokens.select("v", F.size("tokens").alias("n"), F.explode(F.array_distinct("tokens")).alias("t"))
     vocabulary = long.select(F.col("t").alias("v")).distinct()

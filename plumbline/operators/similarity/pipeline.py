@@ -29,8 +29,8 @@ PAIR_CAP, TOLERANT_PAIR_CAP = 15_000, 50_000  # fixed values: pairs that a cappe
 PAIRS_PER_BLOCK = 200  # fixed value: pairs of a block that enter the capped ranking
 
 
-def score_of(algorithm: str, a: Column, b: Column) -> Column:
-    """Similarity 0..100 of two different normal forms."""
+def score_of(algorithm: str, a: Column, b: Column, compared: int | None = None) -> Column:
+    """Similarity 0..100 of two different normal forms (``compared``: first characters the affine gap reads, else all)."""
     if algorithm == "levenshtein":
         return (1 - F.levenshtein(a, b) / F.greatest(F.char_length(a), F.char_length(b))) * 100
     if algorithm == "soundex":
@@ -46,14 +46,14 @@ def score_of(algorithm: str, a: Column, b: Column) -> Column:
         "jaro_winkler": kernels.jaro_winkler,
         "monge_elkan": kernels.monge_elkan,
         "smith_waterman": kernels.smith_waterman,
-        "affine_gap": kernels.affine_gap,
+        "affine_gap": lambda x, y: kernels.affine_gap(x, y, compared),
     }
     if algorithm not in kernel:
         raise ValueError(f"unknown algorithm {algorithm!r}; known: {ALGORITHMS}")
     return kernel[algorithm](a, b)
 
 
-def candidate_pairs(values: DataFrame, algorithm: str, threshold: float, blocks: DataFrame | None = None) -> DataFrame:
+def candidate_pairs(values: DataFrame, algorithm: str, threshold: float, blocks: DataFrame | None = None, compared: int | None = None) -> DataFrame:
     """(a, b): every pair that can reach the threshold; with ``blocks`` only pairs that share a block."""
     t = threshold / 100
     values = cand.settled(values.select("v"))
@@ -68,25 +68,21 @@ def candidate_pairs(values: DataFrame, algorithm: str, threshold: float, blocks:
     elif algorithm == "monge_elkan":
         pairs = cand.monge_elkan_pairs(values, t)
     elif algorithm in ("levenshtein", "smith_waterman", "affine_gap"):
-        pairs = cand.edit_pairs(values, t, algorithm)
+        pairs = cand.edit_pairs(values, t, algorithm, compared)
     else:
         raise ValueError(f"unknown algorithm {algorithm!r}; known: {ALGORITHMS}")
     if algorithm in LENGTH_TOLERANT and blocks is not None:
         shorter = F.least(F.char_length("a"), F.char_length("b"))
         pairs = pairs.where(shorter / F.greatest(F.char_length("a"), F.char_length("b")) >= TOLERANT_RATIO)
-    if blocks is not None:
-        left = blocks.select(F.col("v").alias("a"), F.col("blocks").alias("ka"))
-        right = blocks.select(F.col("v").alias("b"), F.col("blocks").alias("kb"))
-        pairs = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("ka", "kb")).select("a", "b")
-    return pairs
+    return pairs if blocks is None else cand.sharing_block(pairs, blocks)
 
 
 def scored_pairs(
-    values: DataFrame, algorithm: str, threshold: float, blocks: DataFrame | None = None
+    values: DataFrame, algorithm: str, threshold: float, blocks: DataFrame | None = None, compared: int | None = None
 ) -> DataFrame:
     """(a, b, similarity) of all different normal forms at or above the threshold."""
-    pairs = candidate_pairs(values, algorithm, threshold, blocks)
-    return cand.reaching(pairs, threshold, similarity=score_of(algorithm, F.col("a"), F.col("b")))
+    pairs = candidate_pairs(values, algorithm, threshold, blocks, compared)
+    return cand.reaching(pairs, threshold, similarity=score_of(algorithm, F.col("a"), F.col("b"), compared))
 
 
 class NearDuplicates:
@@ -95,7 +91,8 @@ class NearDuplicates:
     All pairs above the threshold count. ``blocking`` keeps only pairs of a common block, as a walk through blocks
     would find them; since large blocks are split, that answer depends on the other rows of the table. ``cap`` is a
     partial run: only the ``per_block`` best pairs of every block by trigram containment, and of those the ``cap`` best,
-    are compared; ``report`` says what was left out, and score and reliability take it into account.
+    are compared; ``report`` says what was left out, and score and reliability take it into account. ``compared`` limits
+    the affine gap to the first characters (whole texts by default).
     """
 
     def __init__(
@@ -109,13 +106,14 @@ class NearDuplicates:
         blocking: bool = False,
         cap: int | None = None,
         per_block: int = PAIRS_PER_BLOCK,
+        compared: int | None = None,
     ):
         if algorithm not in ALGORITHMS:
             raise ValueError(f"unknown algorithm {algorithm!r}; known: {ALGORITHMS}")
         self.df, self.id_col, self.column = df, id_col, column
         self.algorithm, self.threshold = algorithm, float(threshold)
         self.normalise, self.blocking = normalise, blocking
-        self.cap, self.per_block = cap, per_block
+        self.cap, self.per_block, self.compared = cap, per_block, compared
 
     @cached_property
     def raws(self) -> DataFrame:
@@ -150,9 +148,9 @@ class NearDuplicates:
         """(a, b, similarity) between different normal forms."""
         if self.cap is not None:
             chosen = best_of(self.stream, self.cap).select("a", "b")
-            return checkpointed(cand.reaching(chosen, self.threshold, similarity=score_of(self.algorithm, F.col("a"), F.col("b"))))
+            return checkpointed(cand.reaching(chosen, self.threshold, similarity=score_of(self.algorithm, F.col("a"), F.col("b"), self.compared)))
         blocks = val.with_blocks(self.nodes, self.block_limit) if self.blocking else None
-        return checkpointed(scored_pairs(self.nodes.select("v"), self.algorithm, self.threshold, blocks))
+        return checkpointed(scored_pairs(self.nodes.select("v"), self.algorithm, self.threshold, blocks, self.compared))
 
     @cached_property
     def components(self) -> DataFrame:

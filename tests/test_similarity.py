@@ -79,7 +79,9 @@ def random_names(n, seed):
 @pytest.mark.parametrize(
     "algorithm,threshold",
     [("jaro", 82), ("jaro_winkler", 86), ("jaro_winkler", 92), ("levenshtein", 70), ("qgrams", 50), ("soundex", 60), ("cosine", 55),
-     ("monge_elkan", 84), ("monge_elkan", 92), ("smith_waterman", 80), ("affine_gap", 78), ("affine_gap", 88)],
+     ("monge_elkan", 84), ("monge_elkan", 92), ("smith_waterman", 80), ("affine_gap", 78), ("affine_gap", 88),
+     ("jaro", 60), ("jaro", 30), ("jaro_winkler", 70), ("jaro_winkler", 60), ("monge_elkan", 70), ("monge_elkan", 55),
+     ("levenshtein", 86), ("levenshtein", 45), ("smith_waterman", 55), ("affine_gap", 50)],
 )
 def test_candidate_joins_lose_no_pair(spark, algorithm, threshold):
     """Every pair of the brute-force comparison is found, by the same score."""
