@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.text import LEGAL_SUFFIXES, NAME_STOPWORDS
 
+COLUMNS = 256  # letters of one matrix product
 CELLS = 4_000_000  # cells of one matrix of texts; longer batches are cut, longer texts first
 AFFINE_RATIO = 0.25  # fixed value: shorter/longer length below which the score is 0
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0  # fixed values of both alignments
@@ -133,22 +134,26 @@ def monge_elkan_batch(left: list[str], right: list[str]) -> np.ndarray:
 
 def letters_allow(left: list[str], right: list[str], floor: float) -> np.ndarray:
     """For each pair whether its common letters, all matched in order, reach a Jaro similarity of ``floor``."""
-    shared = np.zeros((len(left), len(right)), dtype=np.int32)
-    counts: dict[str, tuple[list, list]] = {}
-    for side, texts in enumerate((left, right)):
-        for row, text in enumerate(texts):
-            for letter, n in Counter(text).items():
-                counts.setdefault(letter, ([], []))[side].append((row, n))
-    for here, there in counts.values():
-        if here and there:
-            (i, m), (j, n) = np.array(here).T, np.array(there).T
-            shared[np.ix_(i, j)] += np.minimum.outer(m, n).astype(np.int32)
+    columns: dict[tuple[str, int], int] = {}
+    sides = []
+    for texts in (left, right):  # a letter that occurs n times has a column for each of its occurrences
+        held = [(columns.setdefault((c, k), len(columns)), row) for row, text in enumerate(texts) for c, n in Counter(text).items() for k in range(n)]
+        sides.append(np.array(sorted(held), dtype=np.int64).reshape(-1, 2))
+    shared = np.zeros((len(left), len(right)), dtype=np.float32)
+    for start in range(0, len(columns), COLUMNS):
+        blocks = []
+        for texts, held in zip((left, right), sides):
+            low, high = np.searchsorted(held[:, 0], [start, start + COLUMNS])
+            block = np.zeros((len(texts), COLUMNS), dtype=np.float32)
+            block[held[low:high, 1], held[low:high, 0] - start] = 1
+            blocks.append(block)
+        shared += blocks[0] @ blocks[1].T
     la = np.array([max(len(t), 1) for t in left], dtype=float).reshape(-1, 1)
     lb = np.array([max(len(t), 1) for t in right], dtype=float).reshape(1, -1)
     return (shared > 0) & ((shared / la + shared / lb + 1) / 3 >= floor)
 
 
-def _in_parts(batch, left: list[str], right: list[str]) -> np.ndarray:
+def in_parts(batch, left: list[str], right: list[str]) -> np.ndarray:
     """The kernel over rows of like length, few enough at once that no matrix exceeds CELLS (one pair can)."""
     size = np.array([max(len(x), len(y), 1) for x, y in zip(left, right)])
     out, order, start = np.zeros(len(left)), np.argsort(-size, kind="stable"), 0
@@ -162,7 +167,7 @@ def _in_parts(batch, left: list[str], right: list[str]) -> np.ndarray:
 def _pair_udf(batch):
     @F.pandas_udf(T.DoubleType())
     def kernel(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(_in_parts(batch, a.tolist(), b.tolist()) * 100 if len(a) else [], dtype="float64")
+        return pd.Series(in_parts(batch, a.tolist(), b.tolist()) * 100 if len(a) else [], dtype="float64")
 
     return kernel
 

@@ -7,6 +7,9 @@ nothing else. What is left out can be shown to stay below the threshold; nothing
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -275,16 +278,27 @@ def _couples(tokens: Column) -> Column:
 
 
 def letter_tiles(values: DataFrame, floor: float) -> DataFrame:
-    """Pairs whose common letters allow a Jaro similarity of ``floor``, whatever that is.
+    """Pairs with a Jaro similarity of ``floor``, whatever that is.
 
-    At two thirds and below a short text can reach texts of any length, so no letter is rare enough to join on. Letter
-    counts are compared in tiles of some thousand by thousand values, and only pairs that pass the bound leave a tile.
-    The work is one small addition per pair and letter; at such thresholds the pairs found grow alike.
+    Names use few letters, so no letter is rare enough to join on. Values are dealt to groups of some thousand, by length
+    bands of which only neighbours can reach the floor, and letter counts are compared group by group as one matrix
+    product. Pairs that pass the bound are compared, those that reach the floor leave the tile. Two thirds and below bound
+    no lengths: there is one band then. A value travels to all groups of its bands, so this grows with the square of the
+    values, by a small factor.
     """
-    groups = max(1, -(-values.count() // TILE))
-    group = F.pmod(F.xxhash64("v"), F.lit(groups)).cast("int")
-    partners = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda o: F.struct(F.least(o, F.col("own")).alias("g"), F.greatest(o, F.col("own")).alias("h")))
-    sent = values.select("v", group.alias("own")).select("v", "own", F.explode(partners).alias("tile")).select("v", "own", "tile.g", "tile.h")
+    ratio = min(3 * floor - 2, 0.9)  # of the lengths; a pair further apart stays below the floor
+    width = -0.5 * math.log(ratio) + 1e-6 if ratio > 0 else 0.0
+    band = F.floor(F.log(F.greatest(F.char_length("v"), F.lit(1))) / width).cast("int") if width else F.lit(0)
+    banded = values.select("v", band.alias("band"))
+    sizes = sorted(tuple(r) for r in banded.groupBy("band").count().collect())  # a row per power of the ratio
+    parts = {b: -(-n // TILE) for b, n in sizes}
+    first = dict(zip(parts, itertools.accumulate(parts.values(), initial=0)))
+    reached = {b: [first[c] + i for c in parts if abs(c - b) <= 2 for i in (0, parts[c] - 1)] for b in parts}
+    table = [(b, first[b], parts[b], reached[b][0], reached[b][-1]) for b in parts]
+    bands = values.sparkSession.createDataFrame(table, "band int, first int, parts int, low int, high int")
+    dealt = banded.join(F.broadcast(bands), "band").withColumn("own", F.col("first") + F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    partners = F.transform(F.sequence("low", "high"), lambda o: F.struct(F.least(o, F.col("own")).alias("g"), F.greatest(o, F.col("own")).alias("h")))
+    sent = dealt.select("v", "own", F.explode(partners).alias("tile")).select("v", "own", "tile.g", "tile.h")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left = rows.v[rows.own == key[0]].to_numpy()
@@ -292,6 +306,8 @@ def letter_tiles(values: DataFrame, floor: float) -> DataFrame:
         near = kernels.letters_allow(list(left), list(right), floor - EPS)
         i, j = np.nonzero(np.triu(near, 1) if key[0] == key[1] else near)
         x, y = left[i], right[j]
+        reach = kernels.in_parts(lambda a, b: kernels.jaro_batch(a, b, winkler=False), list(x), list(y)) >= floor - EPS
+        x, y = x[reach], y[reach]
         swap = x > y
         return pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y)})
 
@@ -306,37 +322,9 @@ def sharing_block(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def jaro_pairs(values: DataFrame, threshold: float, winkler: bool, blocks: DataFrame | None = None) -> DataFrame:
-    """Similar pairs have two of their rarest letters in common, and a block when ``blocks`` (v, blocks) is given.
-
-    Thresholds that bound no letters (two thirds and below) are compared by letter counts instead.
-    """
-    floor = jaro_floor(threshold, winkler)
-    if floor <= 2 / 3 + EPS:
-        pairs = letter_tiles(values, floor)
-        return pairs if blocks is None else sharing_block(pairs, blocks)
-    sets = ranked(values, letters(F.col("v"))).withColumn("len", F.size("tokens"))
-    if blocks is not None:
-        sets = sets.join(blocks, "v")
-    n = F.col("len")
-    short = F.greatest(_ceil(n * ((3 * floor - 1) / 2)), F.lit(2))
-    long = F.greatest(_ceil(n * (3 * floor - 2)), F.lit(2))
-    tokens = F.col("tokens")
-
-    def keys(shared: Column, single: Column) -> Column:
-        couples = _couples(F.slice(tokens, 1, F.greatest(n - shared + 2, F.lit(0))))
-        alone = F.when(single, F.transform(tokens, lambda t: F.xxhash64(t))).otherwise(F.array().cast("array<bigint>"))
-        if blocks is None:
-            return F.concat(couples, alone)
-        return bind(
-            F.concat(couples, alone),
-            lambda every: F.flatten(F.transform(F.col("blocks"), lambda b: F.transform(every, lambda k: F.xxhash64(b, k)))),
-        )
-
-    # A single letter cannot share two: it meets the texts short enough to reach the threshold with it.
-    probe = sets.select("v", "len", keys(short, n == 1).alias("keys"))
-    index = sets.select("v", "len", keys(long, n <= F.lit(1 / (3 * floor - 2) + EPS)).alias("keys"))
-    keep = (F.col("p.len") <= F.col("i.len")) & (F.col("p.len") >= F.col("i.len") * (3 * floor - 2) - EPS)
-    return joined(probe, index, keep)
+    """Pairs that can reach the threshold, of a common block when ``blocks`` (v, blocks) is given."""
+    pairs = letter_tiles(values, jaro_floor(threshold, winkler))
+    return pairs if blocks is None else sharing_block(pairs, blocks)
 
 
 def monge_elkan_pairs(values: DataFrame, threshold: float, near: float = 0.8) -> DataFrame:
