@@ -59,47 +59,55 @@ def _grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _samples(rows: DataFrame, n: int) -> DataFrame:
-    """(tree, x, h): for each tree the SAMPLE rows of the whole table with the lowest hashes of record and tree.
+    """(tree, x, h): for each tree SAMPLE rows of the whole table, those with the lowest hashes of record and tree.
 
-    Only rows whose hash is among the lowest few per mille are sent; should a tree lack rows, that part is widened.
+    One hash per row picks a pool with some rows to spare for all trees, whatever the table's size; only rows of the pool
+    are hashed for each tree, and only the lowest of those are sent. Should a tree lack rows, both parts are widened.
     """
-    hashes = lambda t: F.pmod(F.xxhash64("record_id", "x", t), F.lit(1 << 40))
-    share = 4 * SAMPLE / n
+    span = 1 << 40
+    share = 2 * SAMPLE / n
     while True:
-        low = F.lit(int(min(share, 1.0) * (1 << 40)))
-        trees = F.filter(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), hashes(t).alias("h"))), lambda s: s["h"] < low)
-        drawn = rows.select("x", F.explode(trees).alias("s")).select("s.tree", "x", "s.h")
+        pool = min(TREES * share, 1.0)
+        low = F.lit(int(min(share / pool, 1.0) * span))
+        drawn = rows.where(F.pmod(F.xxhash64("record_id", "x"), F.lit(span)) < F.lit(int(pool * span)))
+        hashed = lambda t: F.struct(t.alias("tree"), F.pmod(F.xxhash64("record_id", "x", t), F.lit(span)).alias("h"))
+        trees = F.filter(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), hashed), lambda s: s["h"] < low)
         order = Window.partitionBy("tree").orderBy("h", "x")
-        chosen = checkpointed(drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE).drop("r"))
+        ranked = drawn.select("x", F.explode(trees).alias("s")).select("s.tree", "x", "s.h").withColumn("r", F.row_number().over(order))
+        chosen = checkpointed(ranked.where(F.col("r") <= SAMPLE).drop("r"))
         if share >= 1 or chosen.count() == TREES * SAMPLE:
             return chosen
         share *= 8
 
 
-def _scorer(nodes: pd.DataFrame, sample: int) -> Column:
-    trees = [g.sort_values("node") for _, g in nodes.groupby("tree")]
-    packed = [(g.feature.to_numpy(), g.split.to_numpy(), g.low.to_numpy(), g.high.to_numpy(), g.depth.to_numpy()) for g in trees]
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores. A table of fewer files than cores is shuffled once, as scoring costs more than that."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def _scorer(nodes: pd.DataFrame, sample: int, columns: list[str]) -> Column:
+    """Anomaly of the ``columns``, a batch of rows at a time; the leaves are reached level by level in each tree."""
+    packed = []
+    for _, g in nodes.sort_values(["tree", "node"]).groupby("tree"):
+        leaf, own = g.feature.to_numpy() < 0, g.node.to_numpy()  # a leaf leads to itself, so all rows take equal steps
+        ways = np.stack([np.where(leaf, own, g.high), np.where(leaf, own, g.low)], axis=1).ravel()
+        steps = math.ceil(math.log2(max(sample, 2)))
+        packed.append((np.maximum(g.feature.to_numpy(), 0), g.split.to_numpy(), ways, g.depth.to_numpy(), steps))
     norm = mean_path(sample)
 
     @F.pandas_udf(T.DoubleType())
-    def score(x: pd.Series) -> pd.Series:
-        data = np.array(x.tolist(), dtype=float)
-        if not len(data):
-            return pd.Series([], dtype="float64")
-        rows, total = np.arange(len(data)), np.zeros(len(data))
-        for feature, split, low, high, depth in packed:
+    def score(*x: pd.Series) -> pd.Series:
+        data = np.column_stack([c.to_numpy(dtype=float) for c in x])
+        total, rows = np.zeros(len(data)), np.arange(len(data)) * data.shape[1]
+        for feature, split, ways, depth, steps in packed:
             at = np.zeros(len(data), dtype=np.int64)
-            while True:
-                f = feature[at]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                left = data[rows, np.maximum(f, 0)] <= split[at]
-                at = np.where(inner, np.where(left, low[at], high[at]), at)
+            for _ in range(steps):
+                at = ways.take(2 * at + (data.take(rows + feature.take(at)) <= split.take(at)))
             total += depth[at]
         return pd.Series(np.power(2.0, -total / len(packed) / norm))
 
-    return score
+    return score(*[F.col(c).cast("double") for c in columns])
 
 
 class ForestRun:
@@ -126,7 +134,7 @@ class ForestRun:
         chosen = _samples(rows, n)
         nodes = chosen.select("tree", "x", "h").groupBy("tree").applyInPandas(_grow, NODES).toPandas()
         size = min(SAMPLE, n)
-        return checkpointed(rows.withColumn("anomaly", _scorer(nodes, size)(F.col("x"))).drop("x"))
+        return checkpointed(_spread(self.complete).withColumn("anomaly", _scorer(nodes, size, self.columns)))
 
     @cached_property
     def cut(self) -> float | None:
