@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import kernels
+from plumbline.operators.similarity import candidates as cand
 from plumbline.operators.similarity import pipeline as pl
 from plumbline.operators.similarity import values as val
 from plumbline.operators.similarity.components import connected_components
@@ -187,3 +188,22 @@ def test_default_run_does_not_depend_on_other_rows(spark):
         {(r.a, r.b) for r in pl.near_duplicates(spark.createDataFrame(rows, "id int, name string"), "id", "name", threshold=97).pairs.collect()} for rows in (few, more)
     ]
     assert found[0] <= found[1] and found[0]
+
+
+def test_exploded_keys_are_not_broadcast(spark):
+    """Spark takes an exploded table to be as small as before; only the frequent tokens, which are bounded, are broadcast."""
+    table = spark.createDataFrame([(v,) for v in random_names(30, 2)], "v string")
+    for pairs in (cand.trigram_pairs(table, 0.5), cand.trigram_pairs(table, 0.65, "containment"), pl.scored_pairs(table, "qgrams", 70), pl.scored_pairs(table, "cosine", 60)):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line]
+        assert joins and all("SortMergeJoin" in j or "LeftOuter, BuildRight" in j for j in joins), joins
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_tokens(spark):
+    values = random_names(40, 6)
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", cand.padded_trigrams(F.col("v")).alias("t"))
+    rows = rows.withColumn("bits", cand.parity(F.col("t")))
+    both = rows.alias("x").crossJoin(rows.alias("y")).select(
+        cand.differing("x.bits", "y.bits").alias("bits"), (F.size("x.t") + F.size("y.t") - 2 * F.size(F.array_intersect("x.t", "y.t"))).alias("tokens")
+    )
+    assert both.where("bits > tokens").isEmpty() and not both.where("bits > 20").isEmpty()
