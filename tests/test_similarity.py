@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +191,23 @@ def test_default_run_does_not_depend_on_other_rows(spark):
     assert found[0] <= found[1] and found[0]
 
 
+def test_edits_leave_their_tiles_only_when_similar(spark):
+    """Names with common words: a pair below the threshold is no candidate, so it is neither shuffled nor counted."""
+    values = [f"{w} comercial andina" for w in random_names(40, 21)]
+    table = spark.createDataFrame([(v,) for v in values], "v string")
+    for algorithm, threshold in (("levenshtein", 80), ("smith_waterman", 86), ("affine_gap", 90)):
+        found = [(r.a, r.b) for r in pl.candidate_pairs(table, algorithm, threshold).collect()]
+        scored = spark.createDataFrame(list(itertools.combinations(sorted(values), 2)), "a string, b string").withColumn("s", pl.score_of(algorithm, F.col("a"), F.col("b")))
+        assert sorted(found) == sorted((r.a, r.b) for r in scored.where(F.col("s") >= threshold - 1e-6).collect())
+
+
+def test_strips_of_a_tile_miss_no_pair(monkeypatch):
+    values = random_names(40, 8)
+    whole = list(kernels.edits_allow(values, values, 0.7, "levenshtein"))[0][1]
+    monkeypatch.setattr(kernels, "STRIP", 7)
+    assert (whole == np.concatenate([a for _, a in kernels.edits_allow(values, values, 0.7, "levenshtein")])).all()
+
+
 def test_exploded_keys_are_not_broadcast(spark):
     """Spark takes an exploded table to be as small as before; only the frequent tokens, which are bounded, are broadcast."""
     table = spark.createDataFrame([(v,) for v in random_names(30, 2)], "v string")
