@@ -184,7 +184,9 @@ def blocking_coverage(forms: DataFrame, values: DataFrame, ratios: tuple[float,
     All pairs of distinct forms of an entity are true. None is listed but those with a usable word: prefixes and lengths
     are counted by group, and the union by inclusion and exclusion.
     """
-    forms = forms.where("entity is not null").withColumn("prefix", F.substring("v", 1, 3))
+    # Both are counted in many ways, and each would normalise all names again.
+    values = checkpointed(values.select("v"))
+    forms = checkpointed(forms.where("entity is not null").select("entity", "v")).withColumn("prefix", F.substring("v", 1, 3))
     shared = checkpointed(word_pairs(forms.select("entity", "v"), values, token_limit))
     n, total = F.count(F.lit(1)), F.coalesce(F.sum(pairs_of(F.col("n"))), F.lit(0))
 

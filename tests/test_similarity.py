@@ -225,3 +225,23 @@ def test_parities_differ_in_no_more_bits_than_sets_in_tokens(spark):
         cand.differing("x.bits", "y.bits").alias("bits"), (F.size("x.t") + F.size("y.t") - 2 * F.size(F.array_intersect("x.t", "y.t"))).alias("tokens")
     )
     assert both.where("bits > tokens").isEmpty() and not both.where("bits > 20").isEmpty()
+
+
+def test_soundex_pairs_leave_the_join_once_and_only_when_similar(spark):
+    values = [f"{w} comercial andina" for w in random_names(40, 23)] + ["lima", "lima lima", "callao"]
+    table = spark.createDataFrame([(v,) for v in values], "v string")
+    every = spark.createDataFrame(list(itertools.combinations(sorted(values), 2)), "a string, b string").withColumn("s", pl.score_of("soundex", F.col("a"), F.col("b")))
+    for threshold in (75, 50, 25):
+        pairs = pl.candidate_pairs(table, "soundex", threshold)
+        assert sorted((r.a, r.b) for r in pairs.collect()) == sorted((r.a, r.b) for r in every.where(F.col("s") >= threshold).collect())
+        assert "Exchange hashpartitioning(a" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_coverage_normalises_names_once(spark):
+    """Its tables are counted in many ways; the plan reads stored forms, not the raw names."""
+    from plumbline.operators import evaluate as ev
+
+    df = spark.createDataFrame([(1, "valle grande"), (1, "valle grandes"), (2, "otra cosa")], "e bigint, name string")
+    out = ev.blocking_coverage(ev.value_entities(df, "name", "e"), val.nodes(val.raw_values(df, "name")).select("v"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" not in plan and {r.links for r in out.collect()} == {1}
