@@ -1,9 +1,11 @@
 import itertools
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import kernels
 from plumbline.operators import evaluate as ev
 from plumbline.operators import remediate as rm
 from plumbline.operators.similarity import pipeline as pl
@@ -122,3 +124,30 @@ def test_coverage_and_orphans_over_all_true_pairs(spark, seed):
         assert got[f"length_{ratio:g}"][0] == len(pairs)
         lost = sorted(x[:3] for x in flags if not any(x[3:]))
         assert sorted(map(tuple, ev.orphans(f, v, ratio, 6).collect())) == lost and (ratio < 0.7 or lost)
+
+
+@pytest.mark.parametrize("limit", [1, 12, 1024])
+def test_small_blocks_are_ranked_without_a_join_of_trigrams(spark, monkeypatch, limit):
+    values, members = blocks_of(5)
+    values, members = [*values, "ñandú €", "ñandú 😀"], [*members, ("ñandú €", "b1"), ("ñandú 😀", "b1"), ("ñandú €", "pair"), ("ñandú 😀", "pair")]
+    monkeypatch.setattr(kernels, "PAIRS", 50)
+    if limit == 1024:  # before, the trigrams of every block were joined, which is many times the pairs of small blocks
+        monkeypatch.setattr(pl.cand, "contained_in_blocks", None)
+    want = []
+    for block in sorted({b for _, b in members}):
+        own = sorted(v for v, b in members if b == block)
+        pairs = sorted(itertools.combinations(own, 2), key=lambda p: (-containment(*p), p))
+        want += [(block, n, *p, containment(*p)) for n, p in enumerate(pairs[:7], 1)]
+    table = spark.createDataFrame([(v,) for v in values], "v string"), spark.createDataFrame(members, "v string, block string")
+    assert sorted(map(tuple, pl.ranked_in_blocks(*table, 7, limit).collect())) == sorted(want)
+
+
+def test_blocks_go_on_from_batch_to_batch():
+    rows = sorted((f"b{n % 5}", f"name {n * n % 97:02d}") for n in range(60))
+    table = pd.DataFrame(sorted(set(rows)), columns=["block", "v"])
+    run = kernels.ranked_blocks(4)
+    whole = pd.concat(run(iter([table])), ignore_index=True)
+    for step in (1, 7, 20):
+        cut = [table.iloc[a : a + step] for a in range(0, len(table), step)]
+        pd.testing.assert_frame_equal(pd.concat(run(iter([table.iloc[:0], *cut])), ignore_index=True), whole)
+    assert whole.groupby("block").size().eq(4).all() and not list(run(iter([])))
