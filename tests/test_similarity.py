@@ -227,6 +227,21 @@ def test_parities_differ_in_no_more_bits_than_sets_in_tokens(spark):
     assert both.where("bits > tokens").isEmpty() and not both.where("bits > 20").isEmpty()
 
 
+def test_contained_pairs_leave_the_join_only_when_their_parities_allow(spark):
+    starts = [f"{w}{n:02d}" for n, w in enumerate(random_names(30, 4))]
+    values = [f"{w} {tail}" for w in (x.replace(" ", "")[:7] + x[-2:] for x in starts) for tail in ("qwertyuiopaslk", "dfghjklzxcvbnm")]
+    values = sorted({*values, *(v + "x" for v in values[:6]), "", "a", "#", "####", *random_names(20, 9)})
+    table = spark.createDataFrame([(v,) for v in values], "v string")
+    every = spark.createDataFrame(list(itertools.combinations(values, 2)), "a string, b string")
+    ta, tb = cand.padded_trigrams(F.col("a")), cand.padded_trigrams(F.col("b"))
+    for floor in (0.65, 0.3, 1e-6):
+        want = {(r.a, r.b) for r in every.where(cand.containment(ta, tb) >= floor).collect()}
+        found = {(r.a, r.b) for r in cand.containment_pairs(cand.trigram_sets(table), floor).collect()}
+        assert want <= found
+        if floor == 0.65:  # before, all pairs with the same first word left the join
+            assert want and len(found) < len(want) + 15, (len(found), len(want))
+
+
 def test_soundex_pairs_leave_the_join_once_and_only_when_similar(spark):
     values = [f"{w} comercial andina" for w in random_names(40, 23)] + ["lima", "lima lima", "callao"]
     table = spark.createDataFrame([(v,) for v in values], "v string")
