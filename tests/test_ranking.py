@@ -151,3 +151,14 @@ def test_blocks_go_on_from_batch_to_batch():
         cut = [table.iloc[a : a + step] for a in range(0, len(table), step)]
         pd.testing.assert_frame_equal(pd.concat(run(iter([table.iloc[:0], *cut])), ignore_index=True), whole)
     assert whole.groupby("block").size().eq(4).all() and not list(run(iter([])))
+
+
+def test_spellings_are_not_broadcast(spark, tmp_path):
+    import catalog.queries  # noqa: F401  registers everything
+    from catalog.base import QUERIES
+
+    rows = [(n, f"hot ring {n}", f"Brand#{n % 4 + 1}") for n in range(12)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["sim_threshold"](spark, str(tmp_path))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("similarity = 100").count() > 0
