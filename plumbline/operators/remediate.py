@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import number, strip, strip_accents
+from plumbline.operators.similarity import candidates as cand
 
 
 def drop_surplus(df: DataFrame, id_col: str, issues: DataFrame, column: str) -> DataFrame:
@@ -13,9 +14,9 @@ def drop_surplus(df: DataFrame, id_col: str, issues: DataFrame, column: str) ->
     mine = issues.where((F.col("column") == column) & (F.col("dimension") == "similarity"))
     led = mine.where(F.coalesce("is_principal", F.lit(False))).select("group_id").distinct()
     kept = mine.where(F.coalesce("is_principal", F.lit(False))).select("record_id").distinct()
-    surplus = mine.where(~F.coalesce("is_principal", F.lit(False))).join(led, "group_id", "left_semi").select("record_id").distinct()
-    surplus = surplus.join(kept, "record_id", "left_anti")
-    return df.join(surplus.withColumnRenamed("record_id", id_col), id_col, "left_anti")
+    surplus = mine.where(~F.coalesce("is_principal", F.lit(False))).join(cand.shuffled(led), "group_id", "left_semi").select("record_id").distinct()
+    surplus = surplus.join(cand.shuffled(kept), "record_id", "left_anti")
+    return df.join(cand.shuffled(surplus.withColumnRenamed("record_id", id_col)), id_col, "left_anti")
 
 
 def drop_duplicate_ids(df: DataFrame, id_col: str, issues: DataFrame) -> DataFrame:

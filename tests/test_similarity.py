@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -260,3 +261,66 @@ def test_coverage_normalises_names_once(spark):
     out = ev.blocking_coverage(ev.value_entities(df, "name", "e"), val.nodes(val.raw_values(df, "name")).select("v"))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "translate" not in plan and {r.links for r in out.collect()} == {1}
+
+
+def broadcast_joins(*frames):
+    """Joins that send a table through the driver, but for the most frequent tokens (joined on t), which are bounded."""
+    joins = [line for df in frames for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert joins
+    return [j for j in joins if "SortMergeJoin" not in j and not re.search(r"BroadcastHashJoin \[t#\d+L?\], \[t#\d+L?\], LeftOuter, BuildRight", j)]
+
+
+@pytest.mark.parametrize("name", ["sim_candidate_pairs", "eval_exhaustive", "sim_trigram_jaccard", "sim_components"])
+def test_tables_of_a_query_are_merged(spark, tmp_path, monkeypatch, name):
+    """Also those joined in steps that are stored before the query returns."""
+    from catalog.base import QUERIES
+    import catalog.queries  # noqa: F401
+    from plumbline.operators import evaluate as ev
+    from plumbline.operators.similarity import components
+
+    spark.range(60).selectExpr("id AS p_partkey", "concat('ruedas ', id % 7) AS p_name", "concat('Brand#', 1 + id % 5) AS p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    stored = []
+    for module in (pl, ev, components):
+        kept = module.checkpointed
+        monkeypatch.setattr(module, "checkpointed", lambda df, kept=kept: stored.append(df) or kept(df))
+    out = QUERIES[name](spark, str(tmp_path))
+    assert broadcast_joins(out, *[df for df in stored if "Join" in df._jdf.queryExecution().executedPlan().toString()]) == []
+
+
+@pytest.fixture(scope="module")
+def small_run(spark, tmp_path_factory):
+    rows = [(i, i % 9, v) for i, v in enumerate([*COMPANY, *(v + tail for v in random_names(12, 31) for tail in ("", "s", " SAC"))])]
+    folder = f"{tmp_path_factory.mktemp('run')}/rows"
+    spark.createDataFrame(rows, "id bigint, entity bigint, name string").write.parquet(folder)  # Spark takes rows of its own to be many
+    return pl.near_duplicates(spark.read.parquet(folder), "id", "name", algorithm="qgrams", threshold=80)
+
+
+@pytest.mark.parametrize("step", ["record_metrics", "score", "detected_pairs", "fingerprint", "precision_recall", "drop_surplus", "density", "groups"])
+def test_tables_of_a_run_are_merged(small_run, step):
+    """Values, links, groups, members and records to drop all grow with the data, whatever Spark takes their size to be."""
+    from plumbline.operators import evaluate as ev
+    from plumbline.operators import remediate as rm
+
+    run_ = small_run
+    out = {
+        "record_metrics": lambda: run_.record_metrics(),
+        "score": lambda: run_.meta(),
+        "detected_pairs": lambda: ev.group_pairs(run_.groups(), "group_id"),
+        "fingerprint": lambda: ev.fingerprint(run_.groups().select("record_id", "group_id", "similarity_pct", "is_principal"), run_.meta().select("evaluated", "groups", "surplus", "score", "reliability")),
+        "precision_recall": lambda: ev.precision_recall(run_.df, "id", "entity", run_.groups().select("record_id", "group_id")),
+        "drop_surplus": lambda: rm.drop_surplus(run_.df, "id", run_.issues(), "name"),
+        "density": lambda: run_.group_stats,
+        "groups": lambda: run_.groups(),
+    }[step]()
+    assert broadcast_joins(out) == []
+
+
+def test_surplus_of_a_stored_report_is_merged(spark, small_run, tmp_path):
+    """Its file is small, its records are not."""
+    from plumbline.operators import remediate as rm
+
+    small_run.issues().write.parquet(f"{tmp_path}/issues")
+    left = rm.drop_surplus(small_run.df, "id", spark.read.parquet(f"{tmp_path}/issues"), "name")
+    assert broadcast_joins(left) == []
+    assert sorted(left.collect()) == sorted(rm.drop_surplus(small_run.df, "id", small_run.issues(), "name").collect())
+    assert 0 < left.count() < small_run.df.count()
