@@ -95,3 +95,14 @@ def test_long_texts_and_many_letters_are_compared_too(spark, algorithm, threshol
     found = {(r.a, r.b) for r in pl.scored_pairs(table, algorithm, threshold).collect()}
     every = spark.createDataFrame(list(itertools.combinations(values, 2)), "a string, b string").withColumn("s", pl.score_of(algorithm, F.col("a"), F.col("b")))
     assert found == {(r.a, r.b) for r in every.where(F.col("s") >= threshold).collect()} and any(len(a) > 64 for a, _ in found)
+
+
+def test_cosine_does_not_join_on_one_common_word(spark):
+    values = [f"{v.split()[0]}{k} {v.split()[1]}{k} hot bolt sac" for k, v in enumerate(company_names(60, 5))]
+    values += [v.replace("hot", "cold") for v in values[:10]] + ["hot bolt sac", "hot bolt", "lima lima lima hot", "lima lima"]
+    table = spark.createDataFrame([(v,) for v in sorted(set(values))], "v string")
+    found = {(r.a, r.b) for r in cand.cosine_pairs(table, 0.6).collect()}
+    every = spark.createDataFrame(list(itertools.combinations(sorted(set(values)), 2)), "a string, b string").withColumn("s", pl.score_of("cosine", F.col("a"), F.col("b")))
+    want = {(r.a, r.b) for r in every.where("s >= 60").collect()}
+    assert want <= found and len(want) > 10
+    assert len(found) < len(want) + 200  # before, all pairs with the same trade
