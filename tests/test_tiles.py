@@ -106,3 +106,15 @@ def test_cosine_does_not_join_on_one_common_word(spark):
     want = {(r.a, r.b) for r in every.where("s >= 60").collect()}
     assert want <= found and len(want) > 10
     assert len(found) < len(want) + 200  # before, all pairs with the same trade
+
+
+def test_monge_elkan_does_not_probe_common_words(spark, monkeypatch):
+    """At a threshold of 90 less than half of the words may go without a near one, so the common words of a name are not probed."""
+    values = [f"{v.split()[0]} {v.split()[1]} hot bolt sac" for v in company_names(60, 6)]
+    values = sorted({*values, *(v[:4] + v[5:] for v in values[:8])})
+    table = spark.createDataFrame([(v,) for v in values], "v string")
+    found = {(r.a, r.b) for r in cand.monge_elkan_pairs(table, 0.9).collect()}
+    every = spark.createDataFrame(list(itertools.combinations(values, 2)), "a string, b string").withColumn("s", pl.score_of("monge_elkan", F.col("a"), F.col("b")))
+    want = {(r.a, r.b) for r in every.where("s >= 90").collect()}
+    assert want <= found and len(want) > 4
+    assert len(found) < 0.5 * len(values) * (len(values) - 1) / 2  # before, all pairs with the same trade
