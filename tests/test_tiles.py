@@ -118,3 +118,36 @@ def test_monge_elkan_does_not_probe_common_words(spark, monkeypatch):
     want = {(r.a, r.b) for r in every.where("s >= 90").collect()}
     assert want <= found and len(want) > 4
     assert len(found) < 0.5 * len(values) * (len(values) - 1) / 2  # before, all pairs with the same trade
+
+
+def letters_lose_no_pair(monkeypatch, threshold, winkler, most):
+    from plumbline.functions import letters
+
+    values = company_names(400, 11)
+    random.Random(2).shuffle(values)
+    every = list(itertools.combinations(sorted(values), 2))
+    score = kernels.in_parts(lambda a, b: kernels.jaro_batch(a, b, winkler), *map(list, zip(*every)))
+    want = {p for p, s in zip(every, score) if s >= threshold}
+    matched, reaches = [], letters.jaro_reaches
+    monkeypatch.setattr(letters, "jaro_reaches", lambda t, i, j, f: matched.append(len(i)) or reaches(t, i, j, f))
+    floors, texts = cand.jaro_floors(threshold, winkler), letters.Texts(values)
+    for half in (0, 130):
+        matched.clear()
+        found = [letters.similar(texts, half, floors, beginning) for beginning in ((False, True) if winkler else (False,))]
+        pairs = [tuple(sorted((values[a], values[b]))) for i, j in found for a, b in zip(i, j)]
+        one = set(values[:half])
+        assert len(pairs) == len(set(pairs)) and {p for p in want if not half or (p[0] in one) != (p[1] in one)} <= set(pairs)
+        assert sum(matched) < most * len(every) and len(want) > 10  # before, far more pairs passed the count of letters
+    return letters
+
+
+def test_jaro_winkler_at_92_matches_few_pairs(monkeypatch):
+    letters_lose_no_pair(monkeypatch, 0.92, True, 0.01)
+
+
+def test_jaro_matches_few_pairs(monkeypatch):
+    letters_lose_no_pair(monkeypatch, 0.85, False, 0.2)
+
+
+def test_jaro_winkler_at_88_matches_few_pairs(monkeypatch):
+    letters_lose_no_pair(monkeypatch, 0.88, True, 0.05)
